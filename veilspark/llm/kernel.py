@@ -20,8 +20,11 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Every ASCII byte but letters parts words here; bytes of other characters belong to words.
+NOT_LETTER = np.arange(256) < 128
+NOT_LETTER[65:91] = NOT_LETTER[97:123] = False
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -65,10 +68,15 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
+        return self.head_hashes([0])[0]
+
+    def head_hashes(self, lengths: list[int]) -> list[np.ndarray]:
+        """For each length, hashes of the words' first bytes; 0 stands for the whole word, as does a short word's length."""
         n = len(self.data)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, "p", n), out=total[1:])
-        return mix((total[self.end] - total[self.start]) * _power(_INVERSE, "i", n + 1)[self.start])
+        low, back = total[self.start], _power(_INVERSE, "i", n + 1)[self.start]
+        return [mix((total[np.minimum(self.end, self.start + k) if k else self.end] - low) * back) for k in lengths]
 
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
@@ -89,8 +97,8 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.int64), np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
-def chunks(column: pa.Array, fold: bool = True, size: int = CHUNK_BYTES) -> Iterator[Words]:
-    """The words of a string column's documents; a null or empty text has none."""
+def chunks(column: pa.Array, parts: np.ndarray = SPACE, size: int = CHUNK_BYTES) -> Iterator[Words]:
+    """The words of a string column's documents; a null or empty text has none. parts: the bytes between words."""
     if not len(column):
         return
     at, data = _buffers(column)
@@ -98,9 +106,8 @@ def chunks(column: pa.Array, fold: bool = True, size: int = CHUNK_BYTES) -> Iter
     while low < len(at) - 1:
         high = max(low + 1, int(np.searchsorted(at, at[low] + size, "right")) - 1)
         own = at[low : high + 1] - at[low]
-        part = data[at[low] : at[high]]
-        part = _FOLD[part] if fold else part
-        space = _SPACE[part]
+        part = _FOLD[data[at[low] : at[high]]]
+        space = parts[part]
         edge = np.ones(len(part) + 1, bool)  # before each byte, and after the last: does no word go on here?
         edge[1:-1] = space[:-1]
         edge[own] = True

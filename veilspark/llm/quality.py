@@ -8,17 +8,20 @@ document is counted and judged, whole; nothing here runs outside the JVM.
 Nulls and edge cases: a null or empty text has no words and fails the base
 rules; repeated rows are counted and judged each; without any trusted document
 the ratio is 0 everywhere and the base rules decide alone; an empty table gives
-an empty result; extra columns are ignored by profile() and kept by keep().
+an empty result; extra columns are ignored by judge() and kept by kept().
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, words
 
-BUCKETS = 1 << 14
+BUCKET_BITS = 14
+BUCKETS = 1 << BUCKET_BITS
 THRESHOLD = -0.25
 #: At most so many trusted documents, those of the smallest hashed ids, make the target multinomial.
 TARGET_DOCS = 200_000
@@ -42,23 +45,22 @@ _REPEATED = """
 CASE WHEN size(array_distinct(_windows)) = size(_windows) THEN 0L ELSE
   aggregate(
     transform(array(sort_array(transform(_windows, (x, i) -> named_struct('x', x, 'i', i)))), s ->
-      array_sort(filter(transform(s, (e, k) ->
+      sort_array(filter(transform(s, (e, k) ->
         CASE WHEN get(s, k - 1).x = e.x OR get(s, k + 1).x = e.x THEN e.i END), p -> p IS NOT NULL)))[0],
     named_struct('n', 0L, 'last', -3),
     (a, p) -> named_struct('n', a.n + least(3, p - a.last), 'last', p)).n
 END
 """
 _WINDOWS = """
-CASE WHEN size(_words) < 3 THEN array() ELSE
-  transform(sequence(0, size(_words) - 3), i -> xxhash64(_words[i], _words[i + 1], _words[i + 2])) END
+CASE WHEN size(_hashes) < 3 THEN array() ELSE
+  transform(sequence(0, size(_hashes) - 3), i -> xxhash64(get(_hashes, i), get(_hashes, i + 1), get(_hashes, i + 2))) END
 """
-
-
-def profile(docs: DataFrame) -> DataFrame:
+def profile(docs: DataFrame, more: list[Column] = ()) -> DataFrame:
     """doc_id with the base counts and base_failed, and the text for what follows."""
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
     counted = base.withColumns(_base(F.col("text")))
-    counted = counted.withColumns({"n_words": F.size("_words").cast("long"), "_windows": F.expr(_WINDOWS)})
+    counted = counted.withColumns({"n_words": F.size("_words").cast("long"), "_hashes": _hashed(F.col("_words"))})
+    counted = counted.withColumn("_windows", F.expr(_WINDOWS))
     return counted.select(
         "doc_id",
         "text",
@@ -67,6 +69,7 @@ def profile(docs: DataFrame) -> DataFrame:
         "n_symbols",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.expr(_REPEATED).cast("long").alias("n_repeat_words"),
+        *(["_own"] if more else []),
     ).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
@@ -78,14 +81,19 @@ def tokens(text: Column) -> Column:
     return words(spaced)
 
 
-def _pairs(text: Column) -> Column:
-    """Each token with the one after it (null at the end)."""
-    own = tokens(text)
-    return F.transform(F.array(own), lambda t: F.arrays_zip(t.alias("a"), F.slice(t, 2, F.greatest(F.size(t), F.lit(1)))))[0]
+def _hashed(tokens: Column) -> Column:
+    return F.transform(tokens, lambda x: F.xxhash64(x))
+
 
+def _bucket(gram: Column) -> Column:
+    return F.shiftrightunsigned(gram, 64 - BUCKET_BITS).cast("int")
 
-def _bucket(*parts: Column) -> Column:
-    return F.pmod(F.xxhash64(*parts), F.lit(BUCKETS)).cast("int")
+
+def _total(ratio: Column, h: Column) -> Column:
+    """The sum of the ratios of a text's uni- and bigrams, from its token hashes (two at least)."""
+    of = lambda gram: F.get(ratio, _bucket(gram))
+    step = lambda s, i: s + of(F.get(h, i)) + of(F.xxhash64(F.get(h, i), F.get(h, i + 1)))
+    return F.aggregate(F.sequence(F.lit(0), F.size(h) - 2), of(F.element_at(h, -1)), step)
 
 
 def ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -96,9 +104,11 @@ def ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     few = trusted.where("doc_id IS NOT NULL").select("doc_id").distinct()
     few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_DOCS).withColumn("_good", F.lit(True))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.join(F.broadcast(few), "doc_id", "left").select("_good", F.explode(_pairs(F.col("text"))).alias("p"))
-    a, b = F.col("p")["a"], F.col("p")["1"]
-    buckets = rows.select("_good", F.explode(F.array(_bucket(a), F.when(b.isNotNull(), _bucket(a, b)))).alias("b"))
+    rows = rows.join(F.broadcast(few), "doc_id", "left").select("_good", _hashed(tokens(F.col("text"))).alias("h"))
+    rows = rows.select("_good", F.explode(F.expr("arrays_zip(h, slice(h, 2, greatest(size(h), 1)))")).alias("p"))
+    rows = rows.select("_good", F.col("p")["h"].alias("a"), F.col("p")["1"].alias("b"))
+    both = F.array(_bucket(F.col("a")), F.when(F.col("b").isNotNull(), _bucket(F.xxhash64("a", "b"))))
+    buckets = rows.select("_good", F.explode(both).alias("b"))
     counts = buckets.where("b IS NOT NULL").groupBy("b").agg(F.count("*").alias("r"), F.count("_good").alias("t"))
     every = docs.sparkSession.range(0, BUCKETS, 1, 1).select(F.col("id").cast("int").alias("b"))
     counts = every.join(counts, "b", "left").na.fill(0, ["r", "t"])
@@ -112,19 +122,21 @@ def ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return one.select(term.alias("ratio"))
 
 
-def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, the base counts, base_failed, llr (mean log ratio an n-gram) and kept."""
-    rows = profile(docs).withColumn("_pairs", _pairs(F.col("text")))
-    # one value of a fixed number of buckets, computed once before the scan
-    rows = rows.withColumn("_ratio", ratios(docs, trusted).scalar())
-    total = F.aggregate(
-        "_pairs",
-        F.lit(0.0),
-        lambda s, p: s
-        + F.get("_ratio", _bucket(p["a"]))
-        + F.when(p["1"].isNull(), F.lit(0.0)).otherwise(F.get("_ratio", _bucket(p["a"], p["1"]))),
-    )
-    rows = rows.withColumn("llr", total / F.greatest(2 * F.size("_pairs") - 1, F.lit(1)))
+def kept(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that the rules keep, each judged in its own row, with all their columns."""
+    own = F.struct(*[F.col(c) for c in docs.columns]).alias("_own")
+    rows = judge(docs, trusted, threshold, [own]).where("kept")
+    return rows.select(*[F.col("_own")[c].alias(c) for c in docs.columns])
+
+
+def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, more: list[Column] = ()) -> DataFrame:
+    """doc_id, the base counts, base_failed, llr (mean log ratio an n-gram) and kept, then further columns of docs."""
+    rows = profile(docs, more).withColumn("_tokens", _hashed(tokens(F.col("text"))))
+    # BUCKETS numbers, a constant of the scan; bound once a row, not copied into it
+    table = F.from_json(F.lit(json.dumps(ratios(docs, trusted).first()["ratio"])), "array<double>")
+    known = F.struct(table.alias("r"), F.col("_tokens").alias("h"))
+    judged = F.get(F.transform(F.array(known), lambda v: _total(v["r"], v["h"])), F.lit(0)) / (2 * F.size("_tokens") - 1)
+    rows = rows.withColumn("llr", F.when(~F.col("base_failed"), judged))
     return rows.select(
         "doc_id",
         "n_words",
@@ -133,6 +145,7 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
         "n_dup_lines",
         "n_repeat_words",
         "base_failed",
-        (~F.col("base_failed") & (F.col("llr") >= threshold)).alias("kept"),
+        F.coalesce(F.col("llr") >= threshold, F.lit(False)).alias("kept"),
         "llr",
+        *(["_own"] if more else []),
     )

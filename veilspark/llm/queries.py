@@ -5,11 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality
+from . import decontaminate, jaccard_join, mixing, quality, sharding
 from .common import read
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(read(spark, sf_dir, "documents"))
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.placed(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "source", "n_tokens", "weight", "epoch", "block", "block_key", "doc_key")
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels")
     return quality.judge(read(spark, sf_dir, "documents"), labels.where("quality = 1"))
