@@ -1,15 +1,17 @@
 """N-gram Jaccard join with several global token orders.
 
-Two sets of similarity at least t must share a token in the first
-n - ceil(t * n) + 1 tokens of each set, whatever the global order of tokens.  So
-a pair is verified only if it shares such a prefix token under every one of
-several orders.  The first order (tokens that are common in the corpus last, by a
-fixed-size count sketch) deals documents into buckets over the cluster; the
-others, and a size filter, are intersected before sets are compared.
-
-Equal sets form one class and only its smallest doc_id goes on.  Buckets with one
-size class of one set are dropped, and those of one leader (smallest doc_id in the
-bucket) are united, so each document goes to few groups.  A group over GROUP_TOKENS
+Two sets of similarity at least t must share k tokens in the first
+n - ceil(t * n) + k tokens of each set, whatever the global order of tokens.  So
+a pair is verified only if it shares such prefix tokens under every one of several
+orders.  The first order (tokens that are common in the corpus last, by a fixed-size
+count sketch) deals documents into buckets over the cluster; the others, and a size
+filter, are intersected before sets are compared.
+
+Equal sets form one class and only its smallest doc_id goes on.  A bucket holds one
+token and one size class.  A document with fewer than k tokens in buckets of two or
+more has no partner and goes no further (k is a fixed share of its size).  Buckets
+of one leader (smallest doc_id in the bucket) are united, so each of the others
+goes to few groups.  A group over GROUP_TOKENS
 tokens is dealt into blocks, and pairs of blocks are joined apart.  A group emits a
 spanning forest of its links, never its pairs; alternating stars over the forest
 give the components.  No link between different sets is lost.
@@ -34,6 +36,8 @@ from . import kernel
 from .common import BROADCAST_IDS, dropped, stored, with_ids
 
 SHINGLE, PERCENT = 4, 85
+#: Under the first order a pair must share one prefix token, and one more for so many tokens of the set.
+EACH = 40
 SKETCH_BITS = 18
 #: Seeds of the further orders, in which tokens are ranked by a mixed hash.
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344)
@@ -91,7 +95,7 @@ def _prefixes(docs: DataFrame, sketch, shingle: int, percent: int) -> DataFrame:
                 doc = np.repeat(np.arange(len(size)), size)
                 order = np.lexsort((tokens, counts[_slot(tokens)], doc))
                 rank = np.arange(len(tokens)) - np.repeat(first[:-1], size)
-                need = _need(size, percent)
+                need = np.minimum(size, _need(size, percent) + size // EACH)
                 total = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(kernel.mix(tokens ^ np.uint64(s)))]) for s in ORDERS]
                 sums = [(t[first[1:]] - t[first[:-1]]).view(np.int64) for t in total]
                 prefix = tokens[order][rank < np.repeat(need, size)].view(np.int64)
@@ -105,15 +109,23 @@ def _prefixes(docs: DataFrame, sketch, shingle: int, percent: int) -> DataFrame:
 
 
 def _groups(reps: DataFrame, percent: int) -> DataFrame:
-    """(leader, doc_id, n): documents that share a prefix token with one of a like size, under their buckets' leaders."""
+    """(leader, doc_id, n): documents that may have a partner, under the leaders of their buckets."""
     rows = reps.select("doc_id", "n", F.explode("prefix").alias("token"))
     shared = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    rows = rows.join(shared, "token")
+    rows = stored(rows.join(shared, "token").select("token", "doc_id", "n"))
     # sizes of a pair differ by a factor of 100 / percent at most, so their classes by one at most
     level = F.floor(F.log("n") / float(np.log(100 / percent) * (1 + 1e-9))).cast("int")
     rows = rows.select("token", "doc_id", "n", F.explode(F.array(level, level + 1)).alias("level"))
-    leaders = rows.groupBy("token", "level").agg(F.count("*").alias("c"), F.min("doc_id").alias("leader")).where("c > 1")
-    return rows.join(leaders.drop("c"), ["token", "level"]).select("leader", "doc_id", "n").distinct()
+
+    def buckets(rows):
+        many = rows.groupBy("token", "level").agg(F.count("*").alias("c"), F.min("doc_id").alias("leader"))
+        return rows.join(many.where("c > 1").drop("c"), ["token", "level"])
+
+    # the smallest partner's share is what must be met
+    need = F.floor(F.ceil(F.col("n") * percent / 100) / EACH) + 1
+    near = buckets(rows).select("doc_id", "n", "token").distinct().groupBy("doc_id", "n").agg(F.count("*").alias("c"))
+    rows = rows.join(near.where(F.col("c") >= need).select("doc_id"), "doc_id", "left_semi")
+    return buckets(rows).select("leader", "doc_id", "n").distinct()
 
 
 class _Forest:
@@ -205,7 +217,6 @@ def forest(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple
 
 def _links(docs: DataFrame, groups: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(u, v) with u > v: a spanning forest of each block's links."""
-    ids = groups.select("doc_id").distinct()
 
     def sets(batches):
         for batch in batches:
@@ -238,16 +249,18 @@ def _links(docs: DataFrame, groups: DataFrame, shingle: int, percent: int) -> Da
             a, b = (ids[list(x)] for x in zip(*pairs, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["u", "v"])
 
-    found = with_ids(docs.select("doc_id", "text"), ids, ids.count(), "left_semi")
-    found = found.mapInArrow(sets, "doc_id long, tokens array<long>")
     parts = F.greatest(F.ceil(F.sum("n") / GROUP_TOKENS), F.ceil(F.count("*") / GROUP_SETS))
     blocks = groups.groupBy("leader").agg(parts.cast("int").alias("k"))
     block = F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int")
     dealt = groups.join(blocks, "leader").select("leader", "doc_id", block.alias("block"), "k")
     pair = lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))
     others = F.transform(F.sequence(F.lit(0), F.col("k") - 1), pair)
-    dealt = dealt.select("leader", "doc_id", "block", F.inline(others))
-    rows = dealt.join(found, "doc_id").repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
+    dealt = stored(dealt.select("leader", "doc_id", "block", F.inline(others)))
+    n_dealt = dealt.count()
+    found = with_ids(docs.select("doc_id", "text"), dealt.select("doc_id").distinct(), n_dealt, "left_semi")
+    found = found.mapInArrow(sets, "doc_id long, tokens array<long>")
+    rows = found.join(F.broadcast(dealt) if n_dealt <= BROADCAST_IDS // 2 else dealt, "doc_id")
+    rows = rows.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
     return rows.mapInArrow(joined, "u long, v long")
 
 
@@ -280,18 +293,20 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     sketch = spark.sparkContext.broadcast(_sketch(docs, shingle))
     rows = stored(_prefixes(docs, sketch, shingle, percent))
     real = rows.where("doc_id IS NOT NULL AND n > 0")
-    classes = real.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("class_id"))
-    reps = real.join(
-        classes.withColumnRenamed("class_id", "doc_id"), ["doc_id", "h1", "h2", "n"], "left_semi"
-    )
+    classes = real.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("c"))
+    classes = stored(classes.where("c > 1").drop("c"))
+    copies = real.join(classes, ["h1", "h2", "n"]).where("doc_id <> class_id").select("doc_id", "h1", "h2").distinct()
+    copies = stored(copies)
+    reps = real.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS // 2 else copies, ["doc_id", "h1", "h2"], "left_anti")
     groups = stored(_groups(reps, percent))
-    # a doc_id that several different texts share is one node
-    shared = real.groupBy("doc_id").agg(F.count_distinct("h1", "h2").alias("c"), F.min("doc_id").alias("v")).where("c > 1")
     links = _links(docs, groups, shingle, percent)
-    same = real.join(shared, "doc_id", "left_semi").join(classes, ["h1", "h2", "n"]).select(F.col("doc_id").alias("u"), F.col("class_id").alias("v"))
-    tops = components_of(links.unionAll(same.where("u <> v")))
+    # a doc_id that several different texts share is one node
+    several = real.groupBy("doc_id").agg(F.count_distinct("h1", "h2").alias("c")).where("c > 1").select("doc_id")
+    same = real.join(several, "doc_id", "left_semi").join(classes, ["h1", "h2", "n"])
+    same = same.select(F.col("doc_id").alias("u"), F.col("class_id").alias("v")).where("u <> v")
+    tops = components_of(links.unionAll(same)).select(F.col("u").alias("class_id"), F.col("v").alias("top"))
     out = rows.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")
-    out = out.join(tops.select(F.col("u").alias("class_id"), F.col("v").alias("top")), "class_id", "left")
+    out = out.withColumn("class_id", F.coalesce("class_id", "doc_id")).join(tops, "class_id", "left")
     linked = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     return out.select(
         "doc_id",

@@ -39,28 +39,41 @@ def _base(text: Column) -> dict[str, Column]:
     }
 
 
-#: Words inside 3-word windows that occur twice: windows sorted by hash, equal neighbours marked,
-#: and the marked positions' windows united. Only texts with an equal pair are sorted.
-_REPEATED = """
-CASE WHEN size(array_distinct(_windows)) = size(_windows) THEN 0L ELSE
+#: A window's hash and place in one number, so that a plain sort brings like ones together: the place takes
+#: the low bits, and of the hash the high ones stay.
+_PLACE_BITS = 20
+_WINDOW = "xxhash64(get(_hashes, i), get(_hashes, i + 1), get(_hashes, i + 2))"
+_PACKED = f"""
+CASE WHEN size(_hashes) < 3 OR size(_hashes) > {1 << _PLACE_BITS} THEN array() ELSE
+  sort_array(transform(sequence(0, size(_hashes) - 3), i -> ({_WINDOW} & {-(1 << _PLACE_BITS)}L) | i)) END
+"""
+#: Places of the windows that may occur twice: those with a neighbour of equal high bits (in a longer text, all).
+_MAYBE = f"""
+CASE WHEN size(_hashes) > {1 << _PLACE_BITS} THEN sequence(0, size(_hashes) - 3) ELSE
+  transform(filter(_packed, (e, k) -> coalesce(shiftright(e ^ get(_packed, k + 1), {_PLACE_BITS}) = 0, false)
+      OR coalesce(shiftright(e ^ get(_packed, k - 1), {_PLACE_BITS}) = 0, false)),
+    e -> cast(e & {(1 << _PLACE_BITS) - 1} AS int)) END
+"""
+#: Words inside windows that do occur twice: of those places, windows are sorted by their whole hash, equal neighbours
+#: are marked, and the marked places' windows united.
+_REPEATED = f"""
+CASE WHEN size(_maybe) = 0 THEN 0L ELSE
   aggregate(
-    transform(array(sort_array(transform(_windows, (x, i) -> named_struct('x', x, 'i', i)))), s ->
+    transform(array(sort_array(transform(_maybe, i -> named_struct('x', {_WINDOW}, 'i', i)))), s ->
       sort_array(filter(transform(s, (e, k) ->
         CASE WHEN get(s, k - 1).x = e.x OR get(s, k + 1).x = e.x THEN e.i END), p -> p IS NOT NULL)))[0],
     named_struct('n', 0L, 'last', -3),
     (a, p) -> named_struct('n', a.n + least(3, p - a.last), 'last', p)).n
 END
 """
-_WINDOWS = """
-CASE WHEN size(_hashes) < 3 THEN array() ELSE
-  transform(sequence(0, size(_hashes) - 3), i -> xxhash64(get(_hashes, i), get(_hashes, i + 1), get(_hashes, i + 2))) END
-"""
+
+
 def profile(docs: DataFrame, more: list[Column] = ()) -> DataFrame:
     """doc_id with the base counts and base_failed, and the text for what follows."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
     counted = base.withColumns(_base(F.col("text")))
     counted = counted.withColumns({"n_words": F.size("_words").cast("long"), "_hashes": _hashed(F.col("_words"))})
-    counted = counted.withColumn("_windows", F.expr(_WINDOWS))
+    counted = counted.withColumn("_packed", F.expr(_PACKED)).withColumn("_maybe", F.expr(_MAYBE))
     return counted.select(
         "doc_id",
         "text",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, mixing, quality, sharding
+from . import chat, decontaminate, jaccard_join, language, line_dedup, lm, mixing, quality, sharding, sql, toxicity
 from .common import read
 
 
@@ -28,15 +28,60 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicated(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_lines",
+        "n_deleted",
+        F.array_join(F.col("deleted").cast("array<string>"), ",").alias("deleted_lines"),
+        F.length("text").cast("long").alias("kept_chars"),
+        F.md5("text").alias("kept_md5"),
+    )
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(read(spark, sf_dir, "documents"))
+
+
 def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.mixed(read(spark, sf_dir, "documents"))
+    found = mixing.mixed(read(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 9))
     return found.select("doc_id", "source", "n_tokens", "weight", "epoch", "block", "block_key", "doc_key")
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.segments(read(spark, sf_dir, "conversations"))
+    return found.select(
+        "conv_id",
+        "perspective",
+        F.col("position").cast("long").alias("position"),
+        "role_as",
+        "mask",
+        F.col("char_start").cast("long").alias("char_start"),
+        F.col("mask_start").cast("long").alias("mask_start"),
+        F.col("char_end").cast("long").alias("char_end"),
+        F.md5("segment").alias("segment_md5"),
+    )
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    found = language.classify(docs, docs.where(F.col("doc_id").isNotNull() & ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    labels = read(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("toxic").alias("label"))
+    found = toxicity.classify(read(spark, sf_dir, "documents"), labels)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels")
     return quality.judge(read(spark, sf_dir, "documents"), labels.where("quality = 1"))
@@ -47,4 +92,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only where SQL can say the same: checksums, ring walks, 64-bit hashes and learned models are tested in Python."""
+    return {
+        "op1_ngram_jaccard_join": sql.OP1,
+        "op3_line_dedup": sql.OP3,
+        "op5_mixing_sources": sql.OP5,
+        "op6_chat_formatting": sql.OP6,
+    }
