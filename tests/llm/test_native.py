@@ -5,7 +5,6 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from veilspark.llm import chat, line_dedup, mixing, quality, sharding
@@ -121,14 +120,30 @@ def test_mixing_odd_rows(spark):
 # -- quality rules
 
 
+def _murmur(data: bytes, seed: int) -> int:
+    """Spark's hash(): 32-bit murmur3, with the bytes after the last whole word mixed in one by one, signed."""
+    mask, h = 0xFFFFFFFF, seed
+    rotate = lambda x, r: (x << r | x >> 32 - r) & mask
+    whole = len(data) // 4 * 4
+    blocks = [int.from_bytes(data[i : i + 4], "little") for i in range(0, whole, 4)]
+    blocks += [(b - 256 if b > 127 else b) & mask for b in data[whole:]]
+    for k in blocks:
+        k = rotate(k * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
+        h = (rotate(h ^ k, 13) * 5 + 0xE6546B64) & mask
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & mask
+    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+    return h ^ h >> 16
+
+
 def _llr(rows, trusted, text):
     def grams(t):
         t = t.lower()
         for mark in quality.MARKS:
             t = t.replace(mark, f" {mark} ")
-        h = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in brute.tokens(t)]
-        pair = lambda a, b: xxhash.xxh64(b.to_bytes(8, "little"), seed=xxhash.xxh64(a.to_bytes(8, "little"), seed=42).intdigest()).intdigest()
-        return [x >> 64 - quality.BUCKET_BITS for x in h + [pair(a, b) for a, b in zip(h, h[1:], strict=False)]]
+        h = [_murmur(w.encode(), 42) for w in brute.tokens(t)]
+        pair = lambda a, b: _murmur(b.to_bytes(4, "little"), _murmur(a.to_bytes(4, "little"), 42))
+        return [x >> 32 - quality.BUCKET_BITS for x in h + [pair(a, b) for a, b in zip(h, h[1:], strict=False)]]
 
     raw, good = Counter(), Counter()
     for d, t in rows:

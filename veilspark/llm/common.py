@@ -52,5 +52,15 @@ def with_ids(df: DataFrame, ids: DataFrame, n_ids: int, how: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """Words of a text: runs of characters outside 0x20 and 0x09-0x0D. A null text has none."""
-    flat = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))
-    return F.array_remove(F.split(flat, " "), "")
+    return F.array_remove(F.split(flat(F.coalesce(text, F.lit(""))), " "), "")
+
+
+def flat(text: Column) -> Column:
+    """text with blanks for all other white space; replace() passes over a text that hasn't the character."""
+    for space in SPACES:
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return text
+
+
+def has_word(line: Column) -> Column:
+    return F.ltrim(line, F.lit(SPACES + " ")) != ""

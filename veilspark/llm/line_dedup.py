@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, stored, words
+from .common import has_word, stored, words
 
 MIN_WORDS = 50
 
@@ -33,10 +33,6 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _has_word(line: Column) -> Column:
-    return F.translate(line, SPACES + " ", "") != ""
-
-
 def _reach(counts: str, i: str, step: int, least: int) -> str:
     """How many lines from line i on, in steps of 1 or -1, hold `least` words; null if there are too few."""
     part = f"slice({counts}, {i} + 1, {least})" if step > 0 else f"reverse(slice({counts}, greatest(1, {i} + 2 - {least}), least({least}, {i} + 1)))"
@@ -49,7 +45,7 @@ def windows(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 
     content is a pair of hashes of the window's line hashes.
     """
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.filter(_lines(F.col("text")), _has_word).alias("l"))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.filter(_lines(F.col("text")), has_word).alias("l"))
     lines = lines.where(F.size("l") > 0)
     rows = lines.select(
         "doc_id",
@@ -98,7 +94,8 @@ def deduplicated(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     rows = rows.join(spans, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_hash")), "left")
     rows = rows.withColumn("_lines", F.when(F.col("_text").isNotNull(), _lines(F.col("_text"))))
     # numbers of the lines that have a word; a run counts only them
-    rows = rows.withColumn("_real", F.expr("filter(transform(_lines, (x, i) -> CASE WHEN {} THEN i END), i -> i IS NOT NULL)".format("translate(x, ' \\t\\n\\u000b\\f\\r', '') <> ''")))
+    real = F.filter(F.transform("_lines", lambda x, i: F.when(has_word(x), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("_real", real)
     gone = F.expr("array_distinct(flatten(transform(_spans, s -> slice(_real, s.low + 1, s.high - s.low))))")
     rows = rows.withColumn("_gone", F.coalesce(F.sort_array(gone), F.array().cast("array<int>")))
     kept = F.expr("array_join(filter(_lines, (x, i) -> NOT array_contains(_gone, i)), '\\n')")

@@ -18,7 +18,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, words
+from .common import has_word, words
 
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
@@ -30,11 +30,12 @@ MARKS = "#*$%&|<>!"
 
 
 def _base(text: Column) -> dict[str, Column]:
-    has_word = lambda line: F.translate(line, SPACES + " ", "") != ""
+    rest = text
+    for symbol in "#*$%&|<>":
+        rest = F.replace(rest, F.lit(symbol), F.lit(""))
     return {
         "_words": words(text),
-        "word_chars": F.length(F.translate(text, SPACES + " ", "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
+        "n_symbols": (F.octet_length(text) - F.octet_length(rest)).cast("long"),
         "_lines": F.filter(F.split(text, "\n", -1), has_word),
     }
 
@@ -72,13 +73,13 @@ def profile(docs: DataFrame, more: list[Column] = ()) -> DataFrame:
     """doc_id with the base counts and base_failed, and the text for what follows."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
     counted = base.withColumns(_base(F.col("text")))
-    counted = counted.withColumns({"n_words": F.size("_words").cast("long"), "_hashes": _hashed(F.col("_words"))})
+    counted = counted.withColumns({"n_words": F.size("_words").cast("long"), "_hashes": F.transform("_words", lambda x: F.xxhash64(x))})
     counted = counted.withColumn("_packed", F.expr(_PACKED)).withColumn("_maybe", F.expr(_MAYBE))
     return counted.select(
         "doc_id",
         "text",
         "n_words",
-        "word_chars",
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         "n_symbols",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.expr(_REPEATED).cast("long").alias("n_repeat_words"),
@@ -95,17 +96,18 @@ def tokens(text: Column) -> Column:
 
 
 def _hashed(tokens: Column) -> Column:
-    return F.transform(tokens, lambda x: F.xxhash64(x))
+    """32 bits a token: enough for what ends in BUCKETS."""
+    return F.transform(tokens, lambda x: F.hash(x))
 
 
 def _bucket(gram: Column) -> Column:
-    return F.shiftrightunsigned(gram, 64 - BUCKET_BITS).cast("int")
+    return F.shiftrightunsigned(gram, 32 - BUCKET_BITS)
 
 
 def _total(ratio: Column, h: Column) -> Column:
     """The sum of the ratios of a text's uni- and bigrams, from its token hashes (two at least)."""
     of = lambda gram: F.get(ratio, _bucket(gram))
-    step = lambda s, i: s + of(F.get(h, i)) + of(F.xxhash64(F.get(h, i), F.get(h, i + 1)))
+    step = lambda s, i: s + of(F.get(h, i)) + of(F.hash(F.get(h, i), F.get(h, i + 1)))
     return F.aggregate(F.sequence(F.lit(0), F.size(h) - 2), of(F.element_at(h, -1)), step)
 
 
@@ -120,7 +122,7 @@ def ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     rows = rows.join(F.broadcast(few), "doc_id", "left").select("_good", _hashed(tokens(F.col("text"))).alias("h"))
     rows = rows.select("_good", F.explode(F.expr("arrays_zip(h, slice(h, 2, greatest(size(h), 1)))")).alias("p"))
     rows = rows.select("_good", F.col("p")["h"].alias("a"), F.col("p")["1"].alias("b"))
-    both = F.array(_bucket(F.col("a")), F.when(F.col("b").isNotNull(), _bucket(F.xxhash64("a", "b"))))
+    both = F.array(_bucket(F.col("a")), F.when(F.col("b").isNotNull(), _bucket(F.hash("a", "b"))))
     buckets = rows.select("_good", F.explode(both).alias("b"))
     counts = buckets.where("b IS NOT NULL").groupBy("b").agg(F.count("*").alias("r"), F.count("_good").alias("t"))
     every = docs.sparkSession.range(0, BUCKETS, 1, 1).select(F.col("id").cast("int").alias("b"))
@@ -138,7 +140,9 @@ def ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 def kept(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the rules keep, each judged in its own row, with all their columns."""
     own = F.struct(*[F.col(c) for c in docs.columns]).alias("_own")
-    rows = judge(docs, trusted, threshold, [own]).where("kept")
+    # a row number keeps the filter above the projections: pushed down, it would compute them again inside itself
+    rows = judge(docs, trusted, threshold, [own]).withColumn("_row", F.monotonically_increasing_id())
+    rows = rows.where("kept AND _row >= 0")
     return rows.select(*[F.col("_own")[c].alias(c) for c in docs.columns])
 
 
