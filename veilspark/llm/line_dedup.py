@@ -46,7 +46,6 @@ def windows(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     content is a pair of hashes of the window's line hashes.
     """
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.filter(_lines(F.col("text")), has_word).alias("l"))
-    lines = lines.where(F.size("l") > 0)
     rows = lines.select(
         "doc_id",
         "text_hash",
@@ -54,11 +53,12 @@ def windows(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
         F.transform("l", lambda x: F.xxhash64(x, F.lit(7))).alias("h2"),
         F.transform("l", lambda x: F.size(words(x))).alias("n"),
     )
-    low = f"transform(sequence(0, size(n) - 1), i -> named_struct('low', i, 'size', {_reach('n', 'i', 1, least)}))"
-    back = f"transform(sequence(0, size(n) - 1), i -> transform(array({_reach('n', 'i', -1, least)}), k -> named_struct('low', i + 1 - k, 'size', k))[0])"
+    low = f"transform(slice(sequence(0, size(n)), 1, size(n)), i -> named_struct('low', i, 'size', {_reach('n', 'i', 1, least)}))"
+    back = f"transform(slice(sequence(0, size(n)), 1, size(n)), i -> transform(array({_reach('n', 'i', -1, least)}), k -> named_struct('low', i + 1 - k, 'size', k))[0])"
     spans = F.expr(f"array_distinct(filter(concat({low}, {back}), x -> x.size IS NOT NULL))")
-    rows = rows.withColumn("spans", spans).where(F.size("spans") > 0)
-    rows = rows.select("doc_id", "text_hash", "h", "h2", F.explode("spans").alias("s"))
+    rows = rows.withColumn("spans", spans)
+    # outer: a filter for empty arrays would be pushed down and compute all of this once more
+    rows = rows.select("doc_id", "text_hash", "h", "h2", F.explode_outer("spans").alias("s")).where("s IS NOT NULL")
     own, other = F.slice("h", F.col("s.low") + 1, F.col("s.size")), F.slice("h2", F.col("s.low") + 1, F.col("s.size"))
     return rows.select(
         "doc_id",

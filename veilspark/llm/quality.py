@@ -120,9 +120,10 @@ def ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_DOCS).withColumn("_good", F.lit(True))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.join(F.broadcast(few), "doc_id", "left").select("_good", _hashed(tokens(F.col("text"))).alias("h"))
-    rows = rows.select("_good", F.explode(F.expr("arrays_zip(h, slice(h, 2, greatest(size(h), 1)))")).alias("p"))
+    # outer: a filter for empty arrays would be pushed down and compute the tokens once more
+    rows = rows.select("_good", F.explode_outer(F.expr("arrays_zip(h, slice(h, 2, greatest(size(h), 1)))")).alias("p"))
     rows = rows.select("_good", F.col("p")["h"].alias("a"), F.col("p")["1"].alias("b"))
-    both = F.array(_bucket(F.col("a")), F.when(F.col("b").isNotNull(), _bucket(F.hash("a", "b"))))
+    both = F.array(F.when(F.col("a").isNotNull(), _bucket(F.col("a"))), F.when(F.col("b").isNotNull(), _bucket(F.hash("a", "b"))))
     buckets = rows.select("_good", F.explode(both).alias("b"))
     counts = buckets.where("b IS NOT NULL").groupBy("b").agg(F.count("*").alias("r"), F.count("_good").alias("t"))
     every = docs.sparkSession.range(0, BUCKETS, 1, 1).select(F.col("id").cast("int").alias("b"))
