@@ -230,7 +230,8 @@ def test_line_dedup_equals_plain_version(spark, least):
 
 
 def test_line_dedup_repeated_rows_and_nulls(spark):
-    text = "\n".join(" ".join(prose(random.Random(1), 20)) for _ in range(4))
+    rng = random.Random(1)
+    text = "\n".join(" ".join(prose(rng, 20)) for _ in range(4))
     rows = [(1, text), (1, text), (2, text), (None, text)]
     out = [(r.doc_id, r.n_deleted) for r in line_dedup.deduplicated(docs_of(spark, rows)).collect()]
     assert sorted(out, key=str) == [(1, 4), (1, 4), (2, 4), (None, 0)]
