@@ -1,0 +1,157 @@
+"""Assignment against a sequential model, and the invariants of names from a library."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from veilspark.functions import crypto, lookup
+from veilspark.operators import assign as A
+from veilspark.operators import store as M
+from veilspark.sources.tables import kept
+
+
+def _sequential(docs, mappings=()):
+    """docs: lists of (span_ord, text, type) in order of document; single words take what the rules give in turn."""
+    full, counters = {}, {"PERSON": 0, "LOCATION": 0, "ORG": 0}
+    role_of = []
+    for name, pseudonym in mappings:
+        full[name] = pseudonym
+        kind = {"PER": "PERSON", "LOC": "LOCATION", "ORG": "ORG"}[pseudonym[:3]]
+        counters[kind] = max(counters[kind], int(pseudonym[4:]))
+    out = {}
+    for d, spans in enumerate(docs):
+        here, cache = [], {}
+        for span_ord, text, kind in spans:
+            if text in cache:
+                out[d, span_ord] = cache[text]
+                continue
+            words = text.split()
+            if text in full:
+                p = full[text]
+            elif kind == "PERSON" and len(words) == 1 and (hit := _bearer(here, words[0])):
+                p = hit
+                cache[text] = p
+                out[d, span_ord] = p
+                continue
+            elif kind == "PERSON" and len(words) == 1 and (hit := _bearer(role_of, words[0])):
+                p = full[text] = hit
+            else:
+                counters[kind] += 1
+                p = full[text] = f"{A.PREFIX[kind]}-{counters[kind]:03d}"
+                if kind == "PERSON" and len(words) > 1:
+                    here.append((words, p))
+                    role_of.append((words, p))
+            cache[text] = p
+            out[d, span_ord] = p
+    return out
+
+
+def _bearer(bearers, word):
+    for words, p in bearers:
+        if words[0] == word:
+            return p + "-P"
+    for words, p in bearers:
+        if words[-1] == word:
+            return p + "-N"
+    return None
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_neutral_ids_equal_the_sequential_model(spark, seed, partitions):
+    rng = random.Random(seed)
+    names = ["Ana", "Bea", "Cal", "Dan"]
+    docs, rows = [], []
+    for d in range(40):
+        spans = []
+        for k in range(rng.randrange(0, 6)):
+            kind = rng.choice(["PERSON", "PERSON", "PERSON", "LOCATION"])
+            text = f"Ville{rng.randrange(5)}" if kind == "LOCATION" else " ".join(x + str(rng.randrange(3)) for x in rng.sample(names, rng.choice([1, 2])))
+            spans.append((k + 1, text, kind))
+        docs.append(spans)
+        rows += [(d, d, *s) for s in spans]
+    old = [("Ana0 Bea0", "PER-041"), ("Ville1", "LOC-007")] if seed % 2 else []
+    df = spark.createDataFrame(rows, "doc_id long, doc_ord long, span_ord int, text string, entity_type string").repartition(partitions)
+    mappings = None
+    if old:
+        mappings = spark.createDataFrame([(n, p, "PERSON" if p[0] == "P" else "LOCATION", None, None, None, None) for n, p in old], "full_name string, pseudonym_full string, entity_type string, first_name string, last_name string, pseudonym_first string, pseudonym_last string")
+    found = kept(A.neutral_ids(df, mappings))
+    assert {(r.doc_id, r.span_ord): r.pseudonym for r in found.collect()} == _sequential(docs, old)
+    new = kept(A.new_mappings(found))
+    assert new.groupBy("full_name").count().where("count > 1").count() == 0
+    again = A.neutral_ids(df, new) if not old else None
+    if again is not None:
+        stored = {r.full_name for r in new.collect()}
+        assert not [r for r in again.collect() if r.is_new and r.key in stored]
+
+
+def test_library_names_keep_the_invariants(spark):
+    rng = random.Random(1)
+    first = [n for kind in lookup.GENDERS.values() for n in kind] + [f"Nom{k}" for k in range(40)]
+    rows = [(d, d, k, f"{rng.choice(first)} {rng.choice(lookup.LAST_NAMES)}{rng.randrange(9)}", "PERSON") for d in range(30) for k in range(4)]
+    rows += [(d, d, 9, f"Cabinet {d}", "ORG") for d in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, doc_ord long, span_ord int, text string, entity_type string")
+    library = lookup.made_up_library()
+    pool = lookup.pool(spark, lookup.pool_rows(library))
+    genders = lookup.genders(spark)
+    df = kept(df)
+    out = A.library_names(df, pool, "plain", "secret", genders).collect()
+    people = [r for r in out if r.entity_type == "PERSON"]
+    for real, made in ((0, "pseudonym_first"), (1, "pseudonym_last")):
+        pairs = {(r.key.split()[real], r[made]) for r in people}
+        assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+    for r in people:
+        for g in ("male", "female"):
+            if r.key.split()[0] in lookup.GENDERS[g]:
+                assert r.pseudonym_first in library["first_names"][g]
+    assert len({r.pseudonym_full for r in out}) == len(out)
+    assert sum(r.pseudonym_full.startswith("Org-") for r in out) == 20  # 40 names for 60 organisations
+    assert sorted(A.library_names(df.repartition(9), pool, "plain", "secret", genders).collect()) == sorted(out)
+    other = {r.key: r.pseudonym_full for r in A.library_names(df, pool, "plain", "another", genders).collect()}
+    assert any(other[r.key] != r.pseudonym_full for r in out)
+
+
+def test_library_is_checked():
+    with pytest.raises(ValueError):
+        lookup.pool_rows(lookup.made_up_library(n=100))
+    with pytest.raises(ValueError):
+        lookup.pool_rows(lookup.made_up_library(), "another theme")
+
+
+def test_encryption(spark):
+    keys = crypto.derive("correct horse battery", b"s" * 32, 100)
+    df = spark.createDataFrame([(1, "Marie"), (2, "Marie"), (3, ""), (4, None), (5, "é\U0001f600")], "id int, full_name string")
+    secret = M.encrypted(df, keys)
+    found = {r.id: r.full_name for r in secret.collect()}
+    assert found[1] == found[2] != "Marie" and found[4] is None and found[3]
+    assert {r.id: r.full_name for r in M.decrypted(secret, keys).collect()} == {r.id: r.full_name for r in df.collect()}
+    wrong = crypto.derive("another", b"s" * 32, 100)
+    assert secret.select(crypto.decrypted("full_name", wrong, strict=False).alias("x")).where("x IS NOT NULL").count() == 0
+    assert crypto.fits(spark, crypto.canary(spark, keys), keys) and not crypto.fits(spark, crypto.canary(spark, keys), wrong)
+    assert "cipher" not in repr(keys)
+
+
+def test_store(spark):
+    base = spark.createDataFrame([("a1", "X Y", "P1"), ("a2", "Z", "P2")], "id string, full_name string, pseudonym_full string")
+    new = spark.createDataFrame([("b1", "Z", "P3"), ("b2", "W", "P4"), ("b3", "W", "P5")], "id string, full_name string, pseudonym_full string")
+    assert sorted(r.id for r in M.saved(base, new).collect()) == ["a1", "a2", "b2"]
+    with pytest.raises(ValueError):
+        M.saved(base, new, strict=True)
+    assert sorted((r.id, r.pseudonym_full) for r in M.replaced(base, new).collect()) == [("a1", "P1"), ("a2", "P3"), ("b2", "P4")]
+    with pytest.raises(KeyError):
+        M.deleted(base, "a")
+    left, gone = M.deleted(base, "X Y")
+    assert [r.id for r in gone.collect()] == ["a1"] and [r.id for r in left.collect()] == ["a2"]
+    meta = spark.createDataFrame([("k", "1", 1), ("l", "1", 1)], "key string, value string, updated_at int")
+    change = spark.createDataFrame([("k", "2", 2), ("l", None, 2)], "key string, value string, updated_at int")
+    assert [(r.key, r.value) for r in M.upserted(meta, change).collect()] == [("k", "2")]
+
+
+def test_erasure_row_has_no_names(spark):
+    from veilspark.operators import audit as U
+
+    goes = spark.createDataFrame([("a1", "Marie Dubois")], "id string, full_name string")
+    row = U.erasure(goes, F.to_timestamp(F.lit("2024-01-01"))).first()
+    assert "Marie" not in str(row) and row.entity_count == 1
+    assert U.erasure(goes.limit(0), F.current_timestamp()).count() == 0
