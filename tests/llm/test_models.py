@@ -265,7 +265,7 @@ def test_subword_ids_give_words_back():
 
 
 def test_model_beats_the_base_on_unseen_documents(spark, sf):
-    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/documents.parquet")
     out = [r for r in lm.scores(docs).collect() if r.held_out]
     assert all(zlib.crc32(str(r.doc_id).encode()) % 7 == 2 for r in out)
     assert sum(r.score for r in out) > sum(r.base_score for r in out)

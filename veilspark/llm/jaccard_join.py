@@ -185,7 +185,7 @@ def forest(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple
         own_prefix.append((tokens[head], np.concatenate([[0], np.cumsum(need)])))
     whole = _lists(tokens, owner)
     trees, out = _Forest(len(sets)), []
-    for x in range(len(sets) - 1):
+    for x in range(len(sets)):
         if both and side[x]:
             continue
         maybe = np.zeros(len(sets), bool)

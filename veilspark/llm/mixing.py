@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, words
+from .common import BROADCAST_IDS, stored, words
 
 MAX_REPEATS = 2.0
 BLOCKS = 1024
@@ -43,7 +43,8 @@ def _doc() -> Column:
 def weights(totals: DataFrame, max_repeats: float = MAX_REPEATS, entropy: float | None = None, budget: float | None = None) -> DataFrame:
     """source, tokens, weight and target (tokens to read), from a table of source and tokens.
 
-    The table has a row a source; the exponent is bisected on one row with an array of them.
+    The exponent is bisected on one row with an array of the sources' totals, so it is the number of sources, and not
+    that of documents, that has to fit a row.
     """
     one = totals.where("tokens > 0").agg(F.array_sort(F.collect_list(F.struct("tokens", "source"))).alias("s"))
     one = one.select("s", F.expr("aggregate(s, 0D, (a, x) -> a + x.tokens)").alias("total"))
@@ -67,16 +68,21 @@ def weights(totals: DataFrame, max_repeats: float = MAX_REPEATS, entropy: float
     return rows.select("source", "tokens", "alpha", "weight", F.round(F.col("weight") * F.col("spent")).cast("long").alias("target"))
 
 
-def _plan(rows: DataFrame, shares: DataFrame) -> DataFrame:
+def _few(sources: DataFrame, n: int) -> DataFrame:
+    """A table with a row a source, to be broadcast if there are few enough sources."""
+    return F.broadcast(sources) if n <= BROADCAST_IDS // 10 else sources
+
+
+def _plan(rows: DataFrame, shares: DataFrame, n: int) -> DataFrame:
     """source, weight, full (whole epochs), and where the epoch after them stops: block, then key and document."""
     plan = shares.select("source", "weight", F.floor(F.col("target") / F.col("tokens")).alias("full"), F.pmod("target", "tokens").alias("rest"))
-    blocks = rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("n")).join(F.broadcast(plan), "source")
+    blocks = rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("n")).join(_few(plan, n), "source")
     blocks = blocks.withColumn("rank", _key(F.lit("b"), F.col("full").cast("string"), F.col("block").cast("string")))
     # BLOCKS rows a source, however many documents it has
     before = F.expr("sum(n) OVER (PARTITION BY source ORDER BY rank, block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n")
     blocks = blocks.withColumn("before", before).where("before < rest AND before + n >= rest")
     stop = blocks.select("source", "full", F.col("rank").alias("stop_rank"), "block", (F.col("rest") - F.col("before")).alias("left"))
-    inside = rows.join(F.broadcast(stop), ["source", "block"])
+    inside = rows.join(_few(stop, n), ["source", "block"])
     inside = inside.withColumn("key", _key(F.lit("d"), F.col("full").cast("string"), F.col("doc")))
     inside = inside.groupBy("source", "left", "key", "doc").agg(F.sum("n_tokens").alias("n_tokens"))
     run = "sum(n_tokens) OVER (PARTITION BY source ORDER BY key, doc ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -94,9 +100,10 @@ def _read(docs: DataFrame, max_repeats: float, entropy: float | None, budget: fl
     counted = stored(rows.select("source", "block", "doc", "n_tokens"))
     totals = counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     shares = stored(weights(totals, max_repeats, entropy, budget))
-    plan = stored(_plan(counted, shares))
-    # a row a source; a source without tokens is read once
-    out = rows.join(F.broadcast(plan), "source", "left")
+    n = shares.count()
+    plan = stored(_plan(counted, shares, n))
+    # a source without tokens is read once
+    out = rows.join(_few(plan, n), "source", "left")
     rank = _key(F.lit("b"), F.col("full").cast("string"), F.col("block").cast("string"))
     key = _key(F.lit("d"), F.col("full").cast("string"), F.col("doc"))
     here, stop = F.struct(rank.alias("a"), F.col("block").alias("b")), F.struct(F.col("stop_rank").alias("a"), F.col("stop_block").alias("b"))

@@ -1,8 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A document is the set of its terms: words of letters and their first few bytes,
-hashed into BUCKETS.  The buckets most associated with the label are kept; the
-score is sigmoid(w0 + sum w_i + sum over pairs <v_i, v_j>), so that a pair of terms
+hashed into 2 ** BITS buckets, each with how often it occurs (LEVELS).  The ones
+most associated with the label are kept; the score is sigmoid(w0 + sum w_i + sum over pairs <v_i, v_j>), so that a pair of terms
 (an insult with a group's name) can weigh more, or less, than the two alone.
 
 Learning uses a bounded sample of labelled rows (SAMPLE of each label, those of the
@@ -10,7 +10,7 @@ smallest hashed ids, of texts up to SAMPLE_BYTES); every document is scored, who
 
 Nulls and edge cases: null and empty texts have no terms and score sigmoid(w0);
 labels other than 0 and 1, and null ids, are not learned from; without rows of both
-labels every score is 0; repeated rows are scored each; an empty table gives an
+labels, or any term that tells them apart, every score is 0; repeated rows are scored each; an empty table gives an
 empty result; extra columns are ignored.
 """
 
@@ -27,14 +27,18 @@ from . import kernel
 
 BITS, FEATURES, FACTORS = 20, 2048, 8
 HEADS = [0, 4, 5, 6, 7]
+#: A term that occurs so often is a term of its own, beside that of fewer times.
+LEVELS = (1, 2, 4)
 SAMPLE, SAMPLE_BYTES = 4000, 1 << 16
-STEPS, RATE, DECAY = 150, 0.05, 1e-4
+#: How far a term's shares under the two labels must differ for it to be kept, so that few are there by chance.
+CHI_SQUARE = 15.0
+STEPS, RATE, DECAY = 150, 0.05, 1e-3
 
 
 @dataclass
 class Machine:
     bias: float
-    index: np.ndarray  # bucket -> feature, or -1
+    index: np.ndarray  # term -> feature, or -1
     weight: np.ndarray
     factor: np.ndarray
 
@@ -59,9 +63,14 @@ def _terms(words: kernel.Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(buckets)
 
 
-def _distinct(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    code = np.unique(rows << BITS | values)
-    return code >> BITS, code & ((1 << BITS) - 1)
+def _leveled(rows: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (document, term) pairs from a document's buckets with repeats; a term is a bucket and a level."""
+    code, n = np.unique(rows << BITS | buckets, return_counts=True)
+    row, term = code >> BITS, (code & ((1 << BITS) - 1)) * len(LEVELS)
+    found = [(row[n >= least], term[n >= least] + k) for k, least in enumerate(LEVELS)]
+    row, term = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((term, row))
+    return row[order], term[order]
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -73,7 +82,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def terms(batches):
         for batch in batches:
             for words in kernel.chunks(batch.column("text"), kernel.NOT_LETTER):
-                rows, buckets = _distinct(*_terms(words))
+                rows, buckets = _leveled(*_terms(words))
                 at = np.searchsorted(rows, np.arange(words.n_docs + 1))
                 lists = pa.ListArray.from_arrays(at.astype(np.int32), pa.array(buckets.astype(np.int32)))
                 own = batch.column("label").slice(words.low, words.n_docs)
@@ -86,7 +95,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def learn(rows: pa.Table) -> Machine | None:
-    """A machine from a table of label and buckets; None without both labels. Deterministic: rows are sorted first."""
+    """A machine from a table of label and buckets; None without both labels or any term that tells. Rows are sorted first."""
     labels = rows.column("label").to_numpy()
     lists = rows.column("buckets").to_pylist()
     order = sorted(range(len(lists)), key=lambda i: (labels[i], lists[i]))
@@ -95,12 +104,16 @@ def learn(rows: pa.Table) -> Machine | None:
         return None
     doc = np.repeat(np.arange(len(order)), [len(lists[i]) for i in order])
     bucket = np.concatenate([np.asarray(lists[i], np.int64) for i in order])
-    pos, neg = (np.bincount(bucket[y[doc] == v], minlength=1 << BITS) for v in (1, 0))
+    pos, neg = (np.bincount(bucket[y[doc] == v], minlength=len(LEVELS) << BITS) for v in (1, 0))
     p, q = (pos + 0.5) / (y.sum() + 1), (neg + 0.5) / ((1 - y).sum() + 1)
-    gain = np.abs(np.log(p / q)) * np.abs(p - q) * (pos + neg >= 3)
+    share = (pos + neg + 1) / (len(y) + 2)
+    sure = (p - q) ** 2 / (share * (1 - share) * (1 / y.sum() + 1 / (1 - y).sum())) >= CHI_SQUARE
+    gain = np.abs(np.log(p / q)) * np.abs(p - q) * sure
     chosen = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
     chosen = chosen[gain[chosen] > 0]
-    index = np.full(1 << BITS, -1, np.int32)
+    if not len(chosen):
+        return None
+    index = np.full(len(LEVELS) << BITS, -1, np.int32)
     index[chosen] = np.arange(len(chosen))
     use = index[bucket] >= 0
     x = np.zeros((len(order), len(chosen)), np.float32)
@@ -132,13 +145,14 @@ def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
 
     def rows(batches):
         m = shared.value
+        known = (m.index.reshape(-1, len(LEVELS)) >= 0).any(1)  # buckets of which some level counts
         for batch in batches:
             for words in kernel.chunks(batch.column("text"), kernel.NOT_LETTER):
                 doc, bucket = _terms(words)
-                feature = m.index[bucket]
-                use = feature >= 0
-                doc, feature = _distinct(doc[use], feature[use].astype(np.int64))
-                margin = m.margins(doc, feature, words.n_docs)
+                use = known[bucket]
+                doc, term = _leveled(doc[use], bucket[use])
+                feature = m.index[term]
+                margin = m.margins(doc[feature >= 0], feature[feature >= 0], words.n_docs)
                 value = pa.array(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(words.low, words.n_docs), value], ["doc_id", "score"])
 
