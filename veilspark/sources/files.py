@@ -189,14 +189,16 @@ PARSERS: dict[str, Callable[[bytes], str]] = {".csv": text_of_csv, ".docx": text
 
 
 def write_text(docs: DataFrame, folder: str) -> None:
-    """A file a document: folder/<name>, from name and text. Written by the tasks that hold the rows, through Spark's file system."""
+    """A folder a document under folder, with its text in one file, through Spark's file system.
+
+    A text that doesn't end its last line gets that line end.
+    """
     (
-        docs.select("name", F.col("text").alias("value"))
+        docs.select("name", F.regexp_replace("text", "\n$", "").alias("value"))
         .withColumn("part", F.regexp_replace("name", "[^A-Za-z0-9._-]", "_"))
         .select("part", "value")
         .repartition("part")
         .write.mode("overwrite")
-        .option("lineSep", "")
         .partitionBy("part")
         .text(folder)
     )
