@@ -66,6 +66,17 @@ def test_decontamination_equals_plain_version(spark):
     assert len(want) > 20
 
 
+def test_no_allowed_change_escapes_the_masks():
+    for n in range(decontaminate.SPAN, decontaminate.WINDOW + 1):
+        changed = n - math.ceil(n * decontaminate.PERCENT / 100)
+        places = [sum(1 << p + j for j, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for p in range(n - len(m) + 1)]
+        for which in itertools.combinations(range(n), changed):
+            bits = sum(1 << i for i in which)
+            assert not all(bits & p for p in places)
+    for n in decontaminate.SHORT:
+        assert n - math.ceil(n * decontaminate.PERCENT / 100) == 1
+
+
 def test_every_exact_or_lightly_edited_passage_is_found(spark):
     rng = random.Random(6)
     item = prose(rng, 20, 1500)

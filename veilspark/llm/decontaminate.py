@@ -8,7 +8,8 @@ WINDOW aligned words (the whole item if shorter), PERCENT of the words agree.
 
 A fixed-size bit map of the benchmark's seeds drops most document seeds before
 the join; it only spares work, as the join is on the full hash.  An item with
-fewer words than a mask spans is sought as its whole word sequence.
+fewer words than the longest mask spans is sought as a whole, with each of its words
+ignored in turn.
 
 Nulls and edge cases: items and documents without text match nothing; items of
 fewer than MIN_WORDS words are not sought; a null doc_id or item_id takes no
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 from . import kernel
 from .common import stored, with_ids
 
-#: 1: the word counts; 0: any word may stand there.
-MASKS = ("1101101", "11010011", "110010011", "1010011001")
+#: 1: the word counts; 0: any word may stand there. In 10 to WINDOW words, however the changed ones that PERCENT allows
+#: lie, some place of some mask has none of them.
+MASKS = ("11111", "1101101", "11010011", "110010011", "1010011001")
 WINDOW, PERCENT, MIN_WORDS = 20, 80, 5
 MAP_BITS = 24
 
@@ -49,15 +51,17 @@ def _seeds(words: kernel.Words, hashes: np.ndarray):
         yield kernel.mix(total), pos
 
 
-def _plain(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """All n-word windows within documents."""
+def _short(hashes: np.ndarray, first: np.ndarray, n: int):
+    """(hashes, word positions) of all n-word windows within documents, with one word ignored, each in turn."""
     last = np.repeat(first[1:], np.diff(first))
     pos = np.arange(len(hashes))
     pos = pos[pos + n <= last]
-    total = np.full(len(pos), n, np.uint64)
-    for j in range(n):
-        total += hashes[pos + j] * np.uint64(pow(0x9FB21C651E98DF25, j + 1, 1 << 64))
-    return kernel.mix(total), pos
+    for skipped in range(n):
+        total = np.full(len(pos), n * 64 + skipped, np.uint64)
+        for j in range(n):
+            if j != skipped:
+                total += hashes[pos + j] * np.uint64(pow(0x9FB21C651E98DF25, j + 1, 1 << 64))
+        yield kernel.mix(total), pos
 
 
 SPAN = max(map(len, MASKS))
@@ -76,9 +80,9 @@ def _item_seeds(batches):
             counts, doc = words.counts, np.repeat(np.arange(words.n_docs), words.counts)
             found = [(s, p, np.zeros(len(p), np.int32)) for s, p in _seeds(words, h)]
             for n in SHORT:
-                s, p = _plain(h, words.first, n)
-                whole = counts[doc[p]] == n
-                found.append((s[whole], p[whole], np.full(whole.sum(), n, np.int32)))
+                for s, p in _short(h, words.first, n):
+                    whole = counts[doc[p]] == n
+                    found.append((s[whole], p[whole], np.full(whole.sum(), n, np.int32)))
             seeds, pos, short = (np.concatenate(x) for x in zip(*found, strict=True))
             at = (pos - words.first[doc[pos]]).astype(np.int32)
             columns = [seeds.view(np.int64), ids[doc[pos]].astype(np.int64), at, short]
@@ -123,9 +127,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
                 h = words.hashes()
                 found = [(s[k], p[k]) for s, p in _seeds(words, h) if (k := present[_bit(s)]).any()]
                 for n in short:
-                    s, p = _plain(h, words.first, n)
-                    k = present[_bit(s)]
-                    found.append((s[k], p[k]))
+                    found += [(s[k], p[k]) for s, p in _short(h, words.first, n) if (k := present[_bit(s)]).any()]
                 if not found:
                     continue
                 seed, pos = (np.concatenate(x) for x in zip(*found, strict=True))

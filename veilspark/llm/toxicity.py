@@ -32,7 +32,9 @@ LEVELS = (1, 2, 4)
 SAMPLE, SAMPLE_BYTES = 4000, 1 << 16
 #: How far a term's shares under the two labels must differ for it to be kept, so that few are there by chance.
 CHI_SQUARE = 15.0
-STEPS, RATE, DECAY = 150, 0.05, 1e-3
+#: So many of the most common terms, but those in nearly all documents, are kept whatever they tell alone.
+COMMON, COMMON_SHARE = 32, 0.6
+STEPS, RATE, DECAY = 150, 0.05, 2e-3
 
 
 @dataclass
@@ -109,8 +111,12 @@ def learn(rows: pa.Table) -> Machine | None:
     share = (pos + neg + 1) / (len(y) + 2)
     sure = (p - q) ** 2 / (share * (1 - share) * (1 / y.sum() + 1 / (1 - y).sum())) >= CHI_SQUARE
     gain = np.abs(np.log(p / q)) * np.abs(p - q) * sure
-    chosen = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
+    chosen = np.argsort(-gain, kind="stable")[:FEATURES]
     chosen = chosen[gain[chosen] > 0]
+    # terms that tell nothing alone may tell something in pairs; only common ones have pairs enough to learn from
+    common = np.where(share < COMMON_SHARE, pos + neg, 0)
+    common = np.argsort(-common, kind="stable")[:COMMON]
+    chosen = np.union1d(chosen, common[(pos + neg)[common] >= 3])
     if not len(chosen):
         return None
     index = np.full(len(LEVELS) << BITS, -1, np.int32)
