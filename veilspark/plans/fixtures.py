@@ -50,7 +50,7 @@ def docs_sql(d: str) -> str:
 
 def mappings_sql(d: str) -> str:
     k = "c_custkey"
-    first, last = pick(d, FIRST, k), f"{pick(d, LAST, div(d, k, 3))} || CAST({k} AS VARCHAR(20))"
+    first = pick(d, FIRST, k)
     cast = "STRING" if d == "spark" else "VARCHAR"
     last = f"{pick(d, LAST, div(d, k, 3))} || CAST({k} AS {cast})"
     kind = pick(d, ["PERSON", "PERSON", "LOCATION", "ORG"], k)
@@ -75,9 +75,9 @@ def operations_sql(d: str) -> str:
 def _span_rows(d: str) -> str:
     """A row a customer: spans with places and confidences by key, for the merge and the review."""
     k = "c_custkey"
-    return f"""SELECT {k} % 500 AS doc_id, {k} AS span_no,
+    return f"""SELECT {div(d, k, 3)} AS doc_id, {k} AS span_no,
       {pick(d, FIRST, k)} || ' ' || {pick(d, LAST, k)} AS name, {pick(d, ORGS, k)} AS org, {pick(d, CITIES, k)} AS city,
-      CAST(({k} * 31) % 97 AS INTEGER) AS a, CAST(2 + ({k} * 7) % 9 AS INTEGER) AS w FROM customer"""
+      CAST(({k} * 31) % 37 AS INTEGER) AS a, CAST(2 + ({k} * 7) % 9 AS INTEGER) AS w FROM customer"""
 
 
 def regex_spans_sql(d: str) -> str:
