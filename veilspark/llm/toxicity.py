@@ -98,15 +98,21 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def learn(rows: pa.Table) -> Machine | None:
     """A machine from a table of label and buckets; None without both labels or any term that tells. Rows are sorted first."""
-    labels = rows.column("label").to_numpy()
-    lists = rows.column("buckets").to_pylist()
-    order = sorted(range(len(lists)), key=lambda i: (labels[i], lists[i]))
-    y = labels[order].astype(np.float64)
+    labels = rows.column("label").to_numpy().astype(np.float64)
+    lists = rows.column("buckets").combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
+    term = lists.flatten().to_numpy()
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    # an order that doesn't depend on how the rows came in: by label and the sum of the terms' hashes
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(kernel.mix(term.astype(np.uint64)))])
+    edge = np.concatenate([[0], np.cumsum(sizes)])
+    order = np.lexsort((total[edge[1:]] - total[edge[:-1]], labels))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    y, doc = labels[order], place[doc]
     if not 0 < y.sum() < len(y):
         return None
-    doc = np.repeat(np.arange(len(order)), [len(lists[i]) for i in order])
-    bucket = np.concatenate([np.asarray(lists[i], np.int64) for i in order])
-    pos, neg = (np.bincount(bucket[y[doc] == v], minlength=len(LEVELS) << BITS) for v in (1, 0))
+    pos, neg = (np.bincount(term[y[doc] == v], minlength=len(LEVELS) << BITS) for v in (1, 0))
     p, q = (pos + 0.5) / (y.sum() + 1), (neg + 0.5) / ((1 - y).sum() + 1)
     share = (pos + neg + 1) / (len(y) + 2)
     sure = (p - q) ** 2 / (share * (1 - share) * (1 / y.sum() + 1 / (1 - y).sum())) >= CHI_SQUARE
@@ -121,9 +127,9 @@ def learn(rows: pa.Table) -> Machine | None:
         return None
     index = np.full(len(LEVELS) << BITS, -1, np.int32)
     index[chosen] = np.arange(len(chosen))
-    use = index[bucket] >= 0
+    use = index[term] >= 0
     x = np.zeros((len(order), len(chosen)), np.float32)
-    x[doc[use], index[bucket[use]]] = 1
+    x[doc[use], index[term[use]]] = 1
     rng = np.random.default_rng(9)
     params = [np.zeros(1), np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), FACTORS))]
     first, second = ([np.zeros_like(a) for a in params] for _ in range(2))
