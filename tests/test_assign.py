@@ -77,7 +77,12 @@ def test_neutral_ids_equal_the_sequential_model(spark, seed, partitions):
     if old:
         mappings = spark.createDataFrame([(n, p, "PERSON" if p[0] == "P" else "LOCATION", None, None, None, None) for n, p in old], "full_name string, pseudonym_full string, entity_type string, first_name string, last_name string, pseudonym_first string, pseudonym_last string")
     found = kept(A.neutral_ids(df, mappings))
-    assert {(r.doc_id, r.span_ord): r.pseudonym for r in found.collect()} == _sequential(docs, old)
+    got = found.collect()
+    assert {(r.doc_id, r.span_ord): r.pseudonym for r in got} == _sequential(docs, old)
+    assert all(r.doc_ord == r.doc_id for r in got)
+    by_id = A.neutral_ids(df.drop("doc_ord"), mappings).collect()
+    assert sorted((r.doc_id, r.span_ord, r.pseudonym, r.is_new) for r in by_id) == sorted((r.doc_id, r.span_ord, r.pseudonym, r.is_new) for r in got)
+    assert sum(r.is_new for r in got) == len({r.key for r in got if r.is_new})
     new = kept(A.new_mappings(found))
     assert new.groupBy("full_name").count().where("count > 1").count() == 0
     again = A.neutral_ids(df, new) if not old else None

@@ -101,9 +101,10 @@ def neutral_ids(rows: DataFrame, mappings: DataFrame | None = None) -> DataFrame
     made = made.withColumn("_b", F.col("known.bearer")).join(bearer, "_b", "left")
     made = made.select("key", "made_at", F.coalesce("given", F.concat("_bid", tail(F.col("known.role")))).alias("shared"))
     words = words.withColumn("_b", F.col("same.bearer")).join(bearer, "_b", "left")
-    words = words.select("doc_ord", F.col("key").alias("_w"), F.concat("_bid", tail(F.col("same.role"))).alias("in_doc"))
+    words = words.select(F.col("doc_ord").alias("_d"), F.col("key").alias("_w"), F.concat("_bid", tail(F.col("same.role"))).alias("in_doc"))
     out = m.join(ids, "key", "left").join(made, "key", "left")
-    out = out.join(words, (out["key"] == words["_w"]) & (out["doc_ord"] == words["doc_ord"]) & out["old"].isNull() & single, "left").drop(words["doc_ord"]).drop("_w")
+    same_word = (F.col("key") == F.col("_w")) & (F.col("doc_ord") == F.col("_d"))
+    out = out.join(words, same_word & F.col("old").isNull() & single, "left")
     stored = F.when(F.col("made_at").isNotNull() & (F.col("doc_ord") < F.col("made_at.doc_ord")), None).otherwise(F.coalesce("shared", "id"))
     name = F.when(F.col("old").isNotNull(), F.col("old")).when(single, F.coalesce(stored_when_known(stored), "in_doc", stored)).otherwise(F.col("id"))
     first = F.coalesce("made_at", "id_at")
