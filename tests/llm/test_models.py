@@ -233,6 +233,7 @@ def _trained(pieces, first, n_pieces):
 
 def test_probabilities_sum_to_one(monkeypatch):
     monkeypatch.setattr(attention, "ROWS", 100)
+    monkeypatch.setattr(attention, "STEPS", 40)
     pieces, first, n_pieces = _model()
     model = _trained(pieces, first, n_pieces)
     head = pieces[:37]
@@ -240,7 +241,8 @@ def test_probabilities_sum_to_one(monkeypatch):
     assert total == pytest.approx(1, abs=1e-4)
 
 
-def test_windows_score_each_target_once_and_causally():
+def test_windows_score_each_target_once_and_causally(monkeypatch):
+    monkeypatch.setattr(attention, "STEPS", 40)
     pieces, first, n_pieces = _model(1)
     model = _trained(pieces, first, n_pieces)
     doc, low, size = attention.windows(first)
@@ -257,7 +259,7 @@ def test_windows_score_each_target_once_and_causally():
 def test_gradients_reduce_the_loss(monkeypatch):
     pieces, first, n_pieces = _model(2)
     few, many = [], []
-    for steps, out in ((1, few), (150, many)):
+    for steps, out in ((1, few), (60, many)):
         monkeypatch.setattr(attention, "STEPS", steps)
         out.append(_trained(pieces, first, n_pieces).log_probabilities(pieces, first).mean())
     assert many[0] > few[0]
