@@ -178,3 +178,31 @@ def test_empty_inputs(spark, docs):
     assert S.detected(none).count() == 0
     assert R.rewritten(none, spark.createDataFrame([], "doc_id long, start_pos int, end_pos int, replacement string")).count() == 0
     assert docs.select(F.size(S.matches("text", "zzz")).alias("n")).where("n > 0").count() == 0
+
+
+def test_dictionaries_take_part_in_detection(spark):
+    text = "Marie  Dubois et M. Luc Martin sont à Lille; Paris attend Zoé Inconnue."
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    for engine in ("native", "arrow"):
+        got = {(r.text, r.entity_type, r.confidence, text[r.start_pos : r.end_pos]) for r in S.all_detected(docs, engine=engine).collect()}
+        want = {("Marie Dubois", "PERSON", 0.65, "Marie  Dubois"), ("Luc Martin", "PERSON", 0.65, "Luc Martin"), ("M. Luc Martin", "PERSON", 0.85, "M. Luc Martin")}
+        want |= {("à Lille", "LOCATION", 0.65, "à Lille"), ("Lille", "LOCATION", 0.6, "Lille"), ("Paris", "LOCATION", 0.6, "Paris")}
+        assert got == want
+    at = text.index("Paris")
+    tokens = spark.createDataFrame([(1, at, at + 5, "NOUN", "PER")], "doc_id long, start_pos int, end_pos int, pos string, ent_type string")
+    assert "Paris" not in {r.text for r in S.all_detected(docs, tokens=tokens).collect()}
+    names = spark.createDataFrame([("first", "Zoé"), ("last", "Inconnue")], "kind string, value string")
+    assert {"Zoé Inconnue", "Paris"} <= {r.text for r in S.all_detected(docs, names=names).collect()}
+
+
+def test_no_known_full_name_or_place_stays_in_clear(spark, sf):
+    from veilspark.functions import lookup
+    from veilspark.plans import queries
+
+    texts = "\n".join(r.text for r in queries.queries()["r2_all_patterns_rewritten"](spark, sf).collect())
+    first = [n for kind in lookup.GENDERS.values() for n in kind]
+    places = [v for kind in lookup.PLACES.values() for v in kind]
+    # after a hyphen it is the rest of a name that the title pattern cuts ("M. Jean-Pierre Martin"), which isn't the dictionaries' matter
+    full = rf"(?<!-)\b({'|'.join(first)})\s+({'|'.join(lookup.LAST_NAMES)})\b"
+    assert re.findall(full, texts) == []
+    assert re.findall(rf"\b(?:{'|'.join(places)})\b", texts) == []

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import lookup
 from ..functions import patterns as P
 from ..functions import text as T
 
@@ -236,9 +237,63 @@ def detector_spans(docs: DataFrame, detector: Callable[[], Callable[[str], list[
     return mapped_labels(docs.select("doc_id", "text").mapInArrow(run, schema)).drop("label")
 
 
-def detected(docs: DataFrame, ner: DataFrame | None = None, rules: Iterable[P.Pattern] = P.PATTERNS, engine: str = "native") -> DataFrame:
-    """Regex spans of docs, deduplicated and merged with a model's spans if there are any."""
-    regex = dedup_spans(regex_spans(docs, rules, engine=engine))
+def _in_dictionaries(rows: DataFrame, names: DataFrame | None, places: DataFrame | None) -> DataFrame:
+    """rows of regex_spans() without the candidates of FULL_NAME and GEOGRAPHY that aren't in the dictionaries; full names with one blank.
+
+    The dictionaries are broadcast: their size is that of a language's names and doesn't grow with the texts.
+    """
+    columns = rows.columns
+    if names is not None:
+        full = F.col("pattern") == P.FULL_NAME.name
+        parts = F.when(full, F.split(F.regexp_replace("text", r"(?U)\s+", " "), " "))
+        rows = rows.withColumns({"_first": F.get(parts, F.lit(0)), "_last": F.get(parts, F.lit(1))})
+        for part, kind in (("_first", "first"), ("_last", "last")):
+            rows = lookup.is_name(rows, part, F.broadcast(names.where(F.col("kind") == kind)), f"_is{part}")
+        rows = rows.where(~full | F.col("_is_first") & F.col("_is_last"))
+        rows = rows.withColumn("text", F.when(full, F.concat_ws(" ", "_first", "_last")).otherwise(F.col("text"))).select(*columns)
+    if places is not None:
+        geography = F.col("pattern") == P.GEOGRAPHY.name
+        own = places.select(F.col("value").alias("_place")).distinct()
+        rows = rows.join(F.broadcast(own), geography & (F.col("text") == F.col("_place")), "left").where(~geography | F.col("_place").isNotNull()).select(*columns)
+    return rows
+
+
+def detected(
+    docs: DataFrame,
+    ner: DataFrame | None = None,
+    rules: Iterable[P.Pattern] = P.PATTERNS,
+    engine: str = "native",
+    names: DataFrame | None = None,
+    places: DataFrame | None = None,
+    tokens: DataFrame | None = None,
+) -> DataFrame:
+    """Spans of rules and of the dictionaries that are given, deduplicated and merged with a model's spans if there are any.
+
+    names (kind, value) add full names, places (value) add place names, which a tagger's tokens, if given, are held against.
+    One scan finds the candidates of all.
+    """
+    more = ([P.FULL_NAME] if names is not None else []) + ([P.GEOGRAPHY] if places is not None else [])
+    found = _in_dictionaries(regex_spans(docs, [*rules, *more], engine=engine), names, places)
+    if places is not None and tokens is not None:
+        geography = F.col("pattern") == P.GEOGRAPHY.name
+        found = found.where(~geography).unionByName(pos_filtered(found.where(geography), tokens))
+    regex = dedup_spans(found)
     if ner is None:
         ner = regex.select("doc_id", "text", "entity_type", "start_pos", "end_pos", "confidence").limit(0)
     return merged(ner, regex)
+
+
+def all_detected(
+    docs: DataFrame,
+    ner: DataFrame | None = None,
+    rules: Iterable[P.Pattern] = P.PATTERNS,
+    engine: str = "native",
+    names: DataFrame | None = None,
+    places: DataFrame | None = None,
+    tokens: DataFrame | None = None,
+) -> DataFrame:
+    """detected() with both dictionaries, by default the ones of lookup."""
+    spark = docs.sparkSession
+    names = lookup.names(spark) if names is None else names
+    places = lookup.places(spark) if places is None else places
+    return detected(docs, ner, rules, engine, names, places, tokens)

@@ -242,5 +242,5 @@ def d25_positions(docs):
 
 @query("docs")
 def d0_all_patterns(docs):
-    """All patterns in one scan, deduplicated and merged without a model."""
-    return S.detected(docs, engine="arrow")
+    """All patterns and both dictionaries in one scan, deduplicated and merged without a model."""
+    return S.all_detected(docs, engine="arrow")

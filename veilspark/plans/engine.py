@@ -166,18 +166,21 @@ def themed(library: dict, secret: str) -> Assigner:
     return run
 
 
-def preview(docs: DataFrame, detector: Detector = spans.detected, assigner: Assigner = neutral, mappings: DataFrame | None = None) -> DataFrame:
-    """Each span with the replacement that it would get. Nothing is stored, so no number is used up."""
+def preview(docs: DataFrame, detector: Detector = spans.all_detected, assigner: Assigner = neutral, mappings: DataFrame | None = None) -> DataFrame:
+    """Each span that would be replaced, overlaps resolved as in rewriting, with its replacement. Nothing is stored, so no number is used up."""
     found = kept(detector(docs))
     none = docs.sparkSession.createDataFrame([], MAPPINGS)
     ids, _ = assigner(found, none if mappings is None else mappings)
-    rows = found.join(ids.select("doc_id", "span_ord", "pseudonym"), ["doc_id", "span_ord"], "left")
+    place = F.collect_list(F.struct("start_pos", "end_pos", "span_ord"))
+    replaced = found.groupBy("doc_id").agg(rewrite.resolved(place).alias("_s")).select("doc_id", F.explode("_s.span_ord").alias("span_ord"))
+    rows = found.join(replaced, ["doc_id", "span_ord"], "left_semi")
+    rows = rows.join(ids.select("doc_id", "span_ord", "pseudonym"), ["doc_id", "span_ord"], "left")
     shown = F.coalesce(F.concat(T.preview_title("text"), "pseudonym"), F.concat(F.lit("["), "entity_type", F.lit("_PREVIEW]")))
     return rows.withColumn("preview", F.when(F.col("entity_type") == "PERSON", shown).otherwise(F.coalesce("pseudonym", shown)))
 
 
 def process(
-    docs: DataFrame, keep: Store, detector: Detector = spans.detected, assigner: Assigner = neutral, types: list[str] = P.ENTITY_TYPES, theme: str = "neutral_id"
+    docs: DataFrame, keep: Store, detector: Detector = spans.all_detected, assigner: Assigner = neutral, types: list[str] = P.ENTITY_TYPES, theme: str = "neutral_id"
 ) -> DataFrame:
     """doc_id, text (rewritten) and n_replaced of docs(doc_id, text); new mappings and a log row go to the store."""
     began = time.time()

@@ -31,7 +31,7 @@ def mappings(spark: SparkSession, folder: str) -> DataFrame:
 def one_batch(docs: DataFrame, store: str, out: str, ner=None) -> None:
     """Rewrite docs(doc_id, text) into the folder out; new mappings go to the folder store."""
     spark = docs.sparkSession
-    found = kept(spans.detected(docs, ner, engine="arrow"))
+    found = kept(spans.all_detected(docs, ner, engine="arrow"))
     ids = kept(assign.neutral_ids(found, mappings(spark, store)))
     rows = found.join(ids.select("doc_id", "span_ord", "pseudonym"), ["doc_id", "span_ord"], "left")
     rows = rows.withColumn("replacement", F.concat(T.replacement_prefix("text", "entity_type"), "pseudonym"))
