@@ -156,6 +156,17 @@ def test_language_odd_rows(spark):
     assert language.classify(train.limit(0), train).count() == 0
 
 
+def test_long_pieces_take_part():
+    words = [b"internationalization", "международный".encode(), b"interna", b"internat"]
+    value = {language.key(bytes([b])): 1e-9 for b in range(256)} | {language.key(w): 0.25 for w in words}
+    keys = np.array(sorted(value), np.uint64)
+    table = language.Table.of(keys, np.array([0, *(value[k] for k in keys.tolist())])[:, None], ["x"])
+    for w, n in [*((w, 1) for w in words), (words[3] + words[1], 2)]:
+        assert language.log_likelihoods([np.frombuffer(w, np.uint8)[None, :]], table)[0][0, 0] == pytest.approx(n * np.log(0.25), abs=1e-4)
+    every = set(language.pieces().tolist())
+    assert language.key(b"international") in every and len(every) > 38_000
+
+
 # -- toxicity
 
 

@@ -20,7 +20,7 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,27 +29,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
+from .common import stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-#: Longest piece in bytes; longer ones of the vocabulary are left out.
-LONGEST = 6
+#: Pieces of up to so many bytes are keyed by their bytes, longer ones by a hash of 56 bits; the length is in both.
+EXACT = 7
 SAMPLE, SAMPLE_BYTES, LANGUAGES = 300, 1 << 15, 64
+#: Languages learned, or scored, at once.
+BLOCK = 64
 ROUNDS, SMOOTH = 3, 0.05
-#: Distinct words whose likelihoods a task remembers; beyond it, it starts anew.
+#: Distinct words whose likelihoods a task remembers, and bytes handled at once, fewer with more languages than BLOCK; beyond it, it starts anew.
 CACHE = 1 << 18
 CHUNK = 1 << 21
 
 
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _hashed(total: np.ndarray, length: int) -> np.ndarray:
+    """Keys of pieces of more than EXACT bytes, from sums of (byte + 1) * _BASE ** (bytes after it)."""
+    return kernel.mix(total) << np.uint64(8) | np.uint64(length)
+
+
+def key(piece: bytes) -> int:
+    if len(piece) <= EXACT:
+        return int.from_bytes(piece, "big") << 8 | len(piece)
+    total = 0
+    for byte in piece:
+        total = (total * int(_BASE) + byte + 1) % (1 << 64)
+    return int(_hashed(np.array([total], np.uint64), len(piece))[0])
+
+
 def pieces(path: str = VOCABULARY) -> np.ndarray:
-    """Sorted keys of the vocabulary's short pieces, lower case, and of all single bytes: bytes and length in a uint64."""
+    """Sorted keys of all pieces of the vocabulary that are of letters, lower case, and of all single bytes."""
     found = {bytes([b]) for b in range(256)}
     with open(path, "rb") as lines:
         for line in lines:
             piece = base64.b64decode(line.split()[0]).lower()
             piece = piece[1:] if piece[:1] == b" " else piece
-            if 0 < len(piece) <= LONGEST and not any(kernel.NOT_LETTER[list(piece)]):
+            if 0 < len(piece) < 256 and not any(kernel.NOT_LETTER[list(piece)]):
                 found.add(piece)
-    return np.array(sorted(int.from_bytes(p, "big") << 8 | len(p) for p in found), np.uint64)
+    keys = {key(p) for p in found}
+    assert len(keys) == len(found)
+    return np.array(sorted(keys), np.uint64)
 
 
 @dataclass
@@ -61,6 +83,7 @@ class Table:
     shift: int
     chance: np.ndarray  # (1 + pieces, languages)
     names: list[str]
+    longest: int  # piece, in bytes
 
     FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,7 +96,7 @@ class Table:
             while rows[at]:
                 at = (at + 1) % (1 << bits)
             slots[at], rows[at] = key, row
-        return cls(slots, rows, 64 - bits, chance, names)
+        return cls(slots, rows, 64 - bits, chance, names, int((keys & np.uint64(255)).max()))
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Rows of the keys, 0 for what is no piece."""
@@ -93,38 +116,48 @@ class Table:
 def _cut(words: np.ndarray, table: Table) -> np.ndarray:
     """For words of one length, as a byte matrix: rows of the piece that ends after byte j and has l bytes, at [j][l - 1]."""
     n, length = words.shape
-    out = np.zeros((length, LONGEST, n), np.int32)
-    key = np.zeros((LONGEST, n), np.uint64)
+    most = min(length, table.longest)
+    out = np.zeros((length, most, n), np.int32)
+    exact = np.zeros((min(most, EXACT), n), np.uint64)
+    before = np.zeros((length + 1, n), np.uint64)  # sums of the bytes up to each place
+    power = [np.uint64(pow(int(_BASE), k, 1 << 64)) for k in range(most + 1)]
     for j in range(length):
         byte = words[:, j].astype(np.uint64)
-        for k in range(min(j + 1, LONGEST), 1, -1):
-            key[k - 1] = key[k - 2] << np.uint64(8) | byte
-        key[0] = byte
-        m = min(j + 1, LONGEST)
-        out[j, :m] = table.find(key[:m] << np.uint64(8) | np.arange(1, m + 1, dtype=np.uint64)[:, None])
+        before[j + 1] = before[j] * _BASE + byte + np.uint64(1)
+        for k in range(min(j + 1, len(exact)), 1, -1):
+            exact[k - 1] = exact[k - 2] << np.uint64(8) | byte
+        exact[0] = byte
+        m = min(j + 1, len(exact))
+        out[j, :m] = table.find(exact[:m] << np.uint64(8) | np.arange(1, m + 1, dtype=np.uint64)[:, None])
+        longer = range(EXACT + 1, min(j + 1, most) + 1)
+        if longer:
+            out[j, EXACT : longer[-1]] = table.find(np.stack([_hashed(before[j + 1] - before[j + 1 - k] * power[k], k) for k in longer]))
     return out
 
 
-def _forward(rows: np.ndarray, chance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled forward sums at every position, (length + 1, words, languages), and the logs of the scales so far."""
-    length, _, n = rows.shape
-    alpha = np.zeros((length + 1, n, chance.shape[1]))
+def _forward(rows: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """Logs of the forward sums at every position, (length + 1, words, languages)."""
+    length, most, n = rows.shape
     scale = np.zeros((length + 1, n, chance.shape[1]))
-    alpha[0] = 1
     for j in range(1, length + 1):
-        total = np.zeros_like(alpha[0])
-        for k in range(1, min(j, LONGEST) + 1):
+        total = np.zeros_like(scale[0])
+        for k in range(1, min(j, most) + 1):
             row = rows[j - 1, k - 1]
             use = np.flatnonzero(row)
             if len(use):
-                total[use] += alpha[j - k, use] * chance[row[use]] * np.exp(scale[j - k, use] - scale[j - 1, use])
-        alpha[j], scale[j] = 1, scale[j - 1] + np.log(total)
-    return alpha, scale
+                total[use] += chance[row[use]] * np.exp(np.minimum(scale[j - k, use] - scale[j - 1, use], 700))
+        scale[j] = scale[j - 1] + np.log(total)
+    return scale
 
 
 def log_likelihoods(words: list[np.ndarray], table: Table) -> list[np.ndarray]:
     """For each byte matrix of words of one length: (words, languages) natural logs."""
-    return [_forward(_cut(w, table), table.chance)[1][-1] for w in words]
+    out = []
+    for w in words:
+        rows = _cut(w, table)
+        blocks = range(0, len(table.names), BLOCK)
+        out.append(np.concatenate([_forward(rows, table.chance[:, b : b + BLOCK])[-1] for b in blocks], 1))
+    return out
 
 
 def _by_length(data: np.ndarray, start: np.ndarray, end: np.ndarray):
@@ -174,34 +207,35 @@ def learn(words: pa.Table, keys: np.ndarray) -> Table | None:
         data = np.frombuffer(b"".join(texts[i] for i in order), np.uint8)
         end = np.cumsum([len(texts[i]) for i in order])
         start = end - np.array([len(texts[i]) for i in order])
-        groups = [(_cut(matrix, table), count[few]) for few, matrix in _by_length(data, start, end)]
+        groups = [(matrix, count[few]) for few, matrix in _by_length(data, start, end)]
         size = len(chance)
         seen = np.zeros(size)
-        for rows, n in groups:  # to begin with, every piece that occurs anywhere
+        for matrix, n in groups:  # to begin with, every piece that occurs anywhere
+            rows = _cut(matrix, table)  # cut anew each time: all cuts together would be many times the words
             seen += np.bincount(rows.ravel(), np.broadcast_to(n, rows.shape).ravel(), size)
         for _ in range(ROUNDS + 1):
             seen[0] = 0
             own_chance = (seen + SMOOTH) / (seen[1:].sum() + SMOOTH * (size - 1))
             own_chance[0] = 0
             seen = np.zeros(size)
-            for rows, n in groups:
-                seen += _expected(rows, n, own_chance, size)
+            for matrix, n in groups:
+                seen += _expected(_cut(matrix, table), n, own_chance, size)
         chance[:, k] = own_chance
     return table
 
 
 def _expected(rows: np.ndarray, n: np.ndarray, chance: np.ndarray, size: int) -> np.ndarray:
     """How often each piece is used, summed over all segmentations of the words."""
-    length = len(rows)
-    log_a = _forward(rows, chance[:, None])[1][:, :, 0]
+    length, most, _ = rows.shape
+    log_a = _forward(rows, chance[:, None])[:, :, 0]
     flipped = np.zeros_like(rows)
     for j in range(length):  # the piece of l bytes that starts before byte j, seen from the end
-        for k in range(1, min(length - j, LONGEST) + 1):
+        for k in range(1, min(length - j, most) + 1):
             flipped[length - 1 - j, k - 1] = rows[j + k - 1, k - 1]
-    log_b = _forward(flipped, chance[:, None])[1][:, :, 0][::-1]
+    log_b = _forward(flipped, chance[:, None])[:, :, 0][::-1]
     seen = np.zeros(size)
     for j in range(length):
-        for k in range(1, min(j + 1, LONGEST) + 1):
+        for k in range(1, min(j + 1, most) + 1):
             row = rows[j, k - 1]
             weight = n * chance[row] * np.exp(log_a[j + 1 - k] + log_b[j + 1] - log_a[-1])
             seen += np.bincount(row, weight, size)
@@ -213,14 +247,15 @@ def identify(docs: DataFrame, table: Table | None) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     if table is None:
         return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(table)  # of a fixed number of pieces and languages
+    shared = docs.sparkSession.sparkContext.broadcast(table)  # of a fixed number of pieces, for each language
 
     def rows(batches):
         t = shared.value
+        cache, chunk = (size * BLOCK // max(BLOCK, len(t.names)) for size in (CACHE, CHUNK))
         known, value = np.zeros(0, np.uint64), np.zeros((0, len(t.names)))
         for batch in batches:
             lower = pc.utf8_lower(batch.column("text"))
-            for words in kernel.chunks(lower, kernel.NOT_LETTER, CHUNK):
+            for words in kernel.chunks(lower, kernel.NOT_LETTER, chunk):
                 keys, first, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
                 at = np.searchsorted(known, keys)
                 old = (known[np.minimum(at, len(known) - 1)] == keys) if len(known) else np.zeros(len(keys), bool)
@@ -229,8 +264,8 @@ def identify(docs: DataFrame, table: Table | None) -> DataFrame:
                 new = np.flatnonzero(~old)
                 for few, matrix in _by_length(words.data, words.start[first[new]], words.end[first[new]]):
                     logs[new[few]] = log_likelihoods([matrix], t)[0]
-                if len(known) + len(new) > CACHE:
-                    known, value, new = known[:0], value[:0], np.arange(min(len(keys), CACHE))
+                if len(known) + len(new) > cache:
+                    known, value, new = known[:0], value[:0], np.arange(min(len(keys), cache))
                 order = np.argsort(joined := np.concatenate([known, keys[new]]))
                 known, value = joined[order], np.concatenate([value, logs[new]])[order]
                 total = np.zeros((words.n_docs, len(t.names)))
@@ -258,6 +293,18 @@ def _lettered(words: kernel.Words, texts: pa.Array) -> np.ndarray:
     return out
 
 
+def learned(words: DataFrame, keys: np.ndarray) -> Table | None:
+    """learn() from words (lang, word, n), a block of languages at a time."""
+    words = stored(words)
+    names = sorted(row[0] for row in words.select("lang").distinct().collect())  # the table has a column of each
+    parts = []
+    for low in range(0, len(names), BLOCK):
+        parts.append(learn(words.where(F.col("lang").isin(names[low : low + BLOCK])).toArrow(), keys))
+    if not parts:
+        return None
+    return replace(parts[0], chance=np.concatenate([p.chance for p in parts], 1), names=names)
+
+
 def classify(docs: DataFrame, train: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Learn from train (doc_id, text, lang) and name the language of every document of docs."""
-    return identify(docs, learn(_sample(train).toArrow(), pieces(vocabulary)))
+    return identify(docs, learned(_sample(train), pieces(vocabulary)))
