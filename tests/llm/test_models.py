@@ -156,6 +156,18 @@ def test_language_odd_rows(spark):
     assert language.classify(train.limit(0), train).count() == 0
 
 
+def test_no_language_is_dropped(spark, monkeypatch):
+    """More languages than a block, and one that has long texts only."""
+    monkeypatch.setattr(language, "SAMPLE_BYTES", 400)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    lang = lambda k: f"l{k:02d}"
+    word = lambda k: letters[k % 26] + letters[k // 26] + "q"
+    rows = [(k * 4 + i, " ".join([word(k)] * (200 if k == 69 else 9 + i)), lang(k), "s") for k in range(70) for i in range(4 if k < 60 else 2)]
+    docs = docs_of(spark, rows)
+    out = {r.doc_id: r.lang_pred for r in language.classify(docs, docs).collect()}
+    assert out == {r[0]: r[2] for r in rows}
+
+
 def test_long_pieces_take_part():
     words = [b"internationalization", "международный".encode(), b"interna", b"internat"]
     value = {language.key(bytes([b])): 1e-9 for b in range(256)} | {language.key(w): 0.25 for w in words}

@@ -7,9 +7,11 @@ word.  A text's score is the sum of its words' log likelihoods, and the language
 with the largest wins, with its posterior under equal priors.
 
 Piece probabilities are learned by a few rounds of expectation maximisation on the
-words of a bounded sample (SAMPLE documents a language, those of the smallest
-hashed ids, of texts up to SAMPLE_BYTES).  The vocabulary is never trained; its
-file is a parameter, read on the driver.
+words of a bounded sample of every language (SAMPLE documents each, those of the
+smallest hashed ids, of texts up to SAMPLE_BYTES; where these are fewer, the first
+SAMPLE_BYTES characters of longer ones).  No language is left out: they are learned
+and scored in blocks of BLOCK.  The vocabulary is never trained; its file is a
+parameter, read on the driver.
 
 Nulls and edge cases: a null text, or one without a letter, is `und` with score 0;
 rows with a null lang or text are not learned from; without any language all is
@@ -29,12 +31,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import stored
+from .common import BROADCAST_IDS, stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Pieces of up to so many bytes are keyed by their bytes, longer ones by a hash of 56 bits; the length is in both.
 EXACT = 7
-SAMPLE, SAMPLE_BYTES, LANGUAGES = 300, 1 << 15, 64
+SAMPLE, SAMPLE_BYTES = 300, 1 << 15
 #: Languages learned, or scored, at once.
 BLOCK = 64
 ROUNDS, SMOOTH = 3, 0.05
@@ -173,13 +175,13 @@ def _by_length(data: np.ndarray, start: np.ndarray, end: np.ndarray):
 
 def _sample(docs: DataFrame) -> DataFrame:
     """lang, word and n of the sampled documents."""
-    known = docs.where(F.col("lang").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
-    names = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("lang", "doc_id").withColumn("_r", F.row_number().over(order)).where(f"_r <= {SAMPLE}")
-    ids = ids.join(F.broadcast(names), "lang", "left_semi").drop("_r").distinct()
-    # SAMPLE * LANGUAGES ids at most
-    rows = known.join(F.broadcast(ids), ["lang", "doc_id"], "left_semi").select("lang", "text")
+    known = docs.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("_long", F.octet_length("text") > SAMPLE_BYTES)
+    order = Window.partitionBy("lang").orderBy("_long", F.xxhash64("doc_id"), "doc_id")
+    ids = known.select("lang", "doc_id", "_long").withColumn("_r", F.row_number().over(order)).where(f"_r <= {SAMPLE}")
+    ids = stored(ids.drop("_r").distinct())
+    near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    text = F.when(F.col("_long"), F.substring("text", 1, SAMPLE_BYTES)).otherwise(F.col("text"))
+    rows = known.join(near, ["lang", "doc_id", "_long"], "left_semi").select("lang", text.alias("text"))
 
     def counted(batches):
         for batch in batches:
