@@ -87,6 +87,19 @@ def test_every_exact_or_lightly_edited_passage_is_found(spark):
     assert {r.doc_id for r in got} == {d for d, _ in rows}
 
 
+def test_passages_cut_by_a_documents_edge_are_found(spark):
+    rng = random.Random(8)
+    item, other = [f"i{k}" for k in range(40)], prose(rng, 50)
+    docs = [item[10:29], other + item[:19], item[-19:] + other, item[3:19], other + item[:16], item[:9] + ["x"] + item[10:17]]
+    few = [item[3:18], other + item[:15], item[:8] + ["x", "y"] + item[10:17]]  # 15 words of 20
+    rows = [(d, " ".join(w)) for d, w in enumerate(docs + few)]
+    got = {r.doc_id: (r.n_agree, r.n_window) for r in decontaminate.overlaps(docs_of(spark, rows), _bench(spark, [(1, " ".join(item))])).collect()}
+    assert got == {0: (19, 20), 1: (19, 20), 2: (19, 20), 3: (16, 20), 4: (16, 20), 5: (16, 20)}
+    short = [(0, " ".join(item[:8])), (1, " ".join(item[:7])), (2, " ".join(other + item[:8]))]
+    got = decontaminate.overlaps(docs_of(spark, short), _bench(spark, [(1, " ".join(item[:9]))])).collect()
+    assert {r.doc_id for r in got} == {0, 2}
+
+
 def test_decontamination_odd_rows(spark):
     text = " ".join(prose(random.Random(2), 30))
     rows = [(None, text), (3, text), (3, text), (3, "short"), (4, None)]

@@ -5,6 +5,8 @@ word at an ignored place leaves the seed's hash as it is.  Seeds of benchmark
 items and of documents are joined on mask and hash; each hit fixes an alignment
 (document, item, offset), and an alignment is confirmed if, in some window of
 WINDOW aligned words (the whole item if shorter), PERCENT of the words agree.
+At a document's edge the window may reach beyond it; the words there count as
+different.
 
 A fixed-size bit map of the benchmark's seeds drops most document seeds before
 the join; it only spares work, as the join is on the full hash.  An item with
@@ -99,14 +101,16 @@ def _tokens(batches, key: str):
 def best_overlap(item: np.ndarray, doc: np.ndarray, offset: int) -> tuple[int, int, int]:
     """Agreeing words, window and document position of the best aligned window; item[i] stands at doc[offset + i].
 
-    The window has WINDOW words, or as many as the item; one that leaves the document doesn't count.
+    The window has WINDOW words, or as many as the item. Where the document begins or ends within it, the aligned words
+    that are left, MIN_WORDS at least, are held against the whole window.
     """
     low, high = max(0, -offset), min(len(item), len(doc) - offset)
     width = min(WINDOW, len(item))
-    if high - low < width:
+    inside = min(width, high - low)
+    if inside < MIN_WORDS:
         return 0, width, 0
     same = np.concatenate([[0], np.cumsum(item[low:high] == doc[low + offset : high + offset])])
-    total = same[width:] - same[:-width]
+    total = same[inside:] - same[:-inside]
     best = int(total.argmax())
     return int(total[best]), width, low + offset + best
 
