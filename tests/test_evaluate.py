@@ -79,6 +79,29 @@ def test_matches_are_one_to_one(spark):
     assert total.tp == len(pairs) and total.tp + total.fp == 60 and total.tp + total.fn == 40
 
 
+def test_nearest_matches_equal_plain_version(spark):
+    rng = random.Random(6)
+    places = rng.sample(range(500), 200)
+    p = [(rng.randrange(6), rng.choice(["A  b", "a\nb ", "C"]), "PERSON", k, k + 1, rng.choice(["ner", "regex"]), rng.choice([0.6, 0.8, 0.95])) for k in places[:120]]
+    g = [(rng.randrange(6), rng.choice(["a b", "c"]), "PERSON", k, k + 1) for k in places[120:]]
+    p += [(9, "x", "PERSON", 5, 6, "ner", 0.6), (9, "x", "PERSON", 100, 101, "regex", 0.95)]
+    g += [(9, "X", "PERSON", 100, 101)]
+    norm, free, want = lambda t: " ".join(t.lower().split()), sorted(p, key=lambda x: x[3]), set()
+    for own in sorted(g, key=lambda x: x[3]):
+        fit = [x for x in free if x[0] == own[0] and norm(x[1]) == norm(own[1])]
+        if fit:
+            best = min(fit, key=lambda x: abs(x[3] - own[3]))
+            free.remove(best)
+            want.add((best[0], best[3], own[3]))
+    predicted = spark.createDataFrame(p, "doc_id long, text string, entity_type string, start_pos int, end_pos int, source string, confidence double")
+    gold_ = spark.createDataFrame(g, "doc_id long, entity_text string, entity_type string, start_pos int, end_pos int")
+    assert {(r.doc_id, r.start_pos, r.gold_start) for r in E.nearest_matches(predicted, gold_).collect()} == want
+    assert {(r.source, r.tp, r.fp) for r in E.source_scores(predicted, gold_).collect()} == {
+        (k, sum(x[5] == k and x not in free for x in p), sum(x[5] == k for x in free)) for k in ("ner", "regex")
+    }
+    assert sum(r.tp for r in E.bucket_precision(predicted, gold_).collect()) == E.text_matches(predicted, gold_).where("entity_type IS NULL").first().tp == len(want)
+
+
 def test_scores_without_entities(spark):
     none = spark.createDataFrame([(0, 0, 0)], "tp int, fp int, fn int")
     row = E.with_scores(none).first()

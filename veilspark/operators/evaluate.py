@@ -26,9 +26,14 @@ def with_scores(rows: DataFrame) -> DataFrame:
     )
 
 
+def _norm(text: str) -> Column:
+    """A text as it is compared: without case and outer space, inner white space as one blank."""
+    return F.lower(T.strip(F.regexp_replace(F.col(text), r"(?U)\s+", " ")))
+
+
 def _cells(predicted: DataFrame, gold: DataFrame, by: list[str]) -> DataFrame:
-    """Numbers of predicted and gold entities of each document, text and type; texts are compared without case and outer space."""
-    one = lambda text: F.lower(T.strip(F.col(text))).alias("norm")
+    """Numbers of predicted and gold entities of each document, text and type; texts are compared as _norm() has them."""
+    one = lambda text: _norm(text).alias("norm")
     p = predicted.select("doc_id", one("text"), "entity_type", *by).groupBy("doc_id", "norm", "entity_type", *by).agg(F.count("*").alias("n_pred"))
     g = gold.select("doc_id", one("entity_text"), "entity_type").groupBy("doc_id", "norm", "entity_type").agg(F.count("*").alias("n_gold"))
     rows = p.join(g, ["doc_id", "norm", "entity_type"], "full")
@@ -44,37 +49,49 @@ def text_matches(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     )
 
 
+def _matched(predicted: DataFrame, gold: DataFrame, by: list[str]) -> DataFrame:
+    """doc_id, norm, entity_type, start_pos, end_pos, by..., gold_start and gold_end (null without a match) of every prediction.
+
+    In a document, gold entities of one text and type each take in order of place the unused prediction that begins
+    nearest, of equally near ones the first. A fold over the gold entities of such a cell does it.
+    """
+    key = ["doc_id", "norm", "entity_type"]
+    p = predicted.withColumn("norm", _norm("text")).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos", *by))).alias("p"))
+    g = gold.withColumn("norm", _norm("entity_text")).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos"))).alias("g"))
+    none = F.lit(None).cast("int")
+
+    def step(state: Column, own: Column) -> Column:
+        free = F.filter(state, lambda x: x["gold_start"].isNull())
+        near = F.array_min(F.transform(free, lambda x: F.struct(F.abs(x["s"]["start_pos"] - own["start_pos"]).alias("far"), x["k"].alias("k"))))
+        one = lambda x, field, at: F.when(x["k"] == near["k"], own[at]).otherwise(x[field]).cast("int").alias(field)
+        return F.transform(state, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), one(x, "gold_start", "start_pos"), one(x, "gold_end", "end_pos")))
+
+    open_ = F.transform("p", lambda s, k: F.struct(s.alias("s"), k.alias("k"), none.alias("gold_start"), none.alias("gold_end")))
+    rows = p.join(g, key, "left").select(*key, F.explode(F.when(F.col("g").isNull(), open_).otherwise(F.aggregate("g", open_, step))).alias("m"))
+    return rows.select(*key, "m.s.*", "m.gold_start", "m.gold_end")
+
+
 def nearest_matches(predicted: DataFrame, gold: DataFrame) -> DataFrame:
-    """Matched pairs of one text and type in a document, in order of place on both sides: pair k is the k-th of each.
+    """Matched pairs of one text and type in a document: each gold entity with the nearest unused prediction.
 
     One to one; as many pairs as text_matches() counts.
     """
-    one = lambda text: F.lower(T.strip(F.col(text)))
-    order = Window.partitionBy("doc_id", "norm", "entity_type").orderBy("start_pos", "end_pos")
-    p = predicted.select("doc_id", one("text").alias("norm"), "entity_type", "start_pos", "end_pos").withColumn("k", F.row_number().over(order))
-    g = gold.select("doc_id", one("entity_text").alias("norm"), "entity_type", "start_pos", "end_pos").withColumn("k", F.row_number().over(order))
-    g = g.withColumnsRenamed({"start_pos": "gold_start", "end_pos": "gold_end"})
-    return p.join(g, ["doc_id", "norm", "entity_type", "k"])
+    return _matched(predicted, gold, []).where("gold_start IS NOT NULL")
 
 
 def source_scores(predicted: DataFrame, gold: DataFrame) -> DataFrame:
-    """source, tp, fp and precision: predictions of a text's cell match in order of place."""
-    rows = predicted.withColumn("norm", F.lower(T.strip(F.col("text"))))
-    order = Window.partitionBy("doc_id", "norm", "entity_type").orderBy("start_pos", "end_pos", "source")
-    rows = rows.withColumn("_r", F.row_number().over(order))
-    g = gold.groupBy("doc_id", F.lower(T.strip(F.col("entity_text"))).alias("norm"), "entity_type").agg(F.count("*").alias("n_gold"))
-    rows = rows.join(g, ["doc_id", "norm", "entity_type"], "left")
-    hit = F.col("_r") <= F.coalesce("n_gold", F.lit(0))
-    out = rows.groupBy("source").agg(F.count_if(hit).alias("tp"), F.count_if(~hit).alias("fp"))
+    """source, tp, fp and precision, by the pairs of nearest_matches()."""
+    hit = F.col("gold_start").isNotNull()
+    out = _matched(predicted, gold, ["source"]).groupBy("source").agg(F.count_if(hit).alias("tp"), F.count_if(~hit).alias("fp"))
     return out.withColumn("precision", _ratio(F.col("tp"), F.col("tp") + F.col("fp")))
 
 
 def edge_case_recall(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     """edge_case, n_gold, n_found and recall; a gold entity belongs to all cases that fit."""
-    norm = F.lower(T.strip(F.col("entity_text")))
+    norm = _norm("entity_text")
     order = Window.partitionBy("doc_id", "norm", "entity_type").orderBy("start_pos", "end_pos")
     rows = gold.withColumn("norm", norm).withColumn("_r", F.row_number().over(order))
-    p = predicted.groupBy("doc_id", F.lower(T.strip(F.col("text"))).alias("norm"), "entity_type").agg(F.count("*").alias("n_pred"))
+    p = predicted.groupBy("doc_id", _norm("text").alias("norm"), "entity_type").agg(F.count("*").alias("n_pred"))
     rows = rows.join(p, ["doc_id", "norm", "entity_type"], "left").withColumn("hit", F.col("_r") <= F.coalesce("n_pred", F.lit(0)))
     rows = rows.withColumn("edge_case", F.explode(T.edge_cases("entity_text", "entity_type")))
     out = rows.groupBy("edge_case").agg(F.count("*").alias("n_gold"), F.count_if("hit").alias("n_found"))
@@ -82,12 +99,9 @@ def edge_case_recall(predicted: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def bucket_precision(predicted: DataFrame, gold: DataFrame) -> DataFrame:
-    """bucket, n, tp and precision by confidence."""
-    rows = predicted.withColumn("norm", F.lower(T.strip(F.col("text"))))
-    order = Window.partitionBy("doc_id", "norm", "entity_type").orderBy("start_pos", "end_pos", "confidence")
-    g = gold.groupBy("doc_id", F.lower(T.strip(F.col("entity_text"))).alias("norm"), "entity_type").agg(F.count("*").alias("n_gold"))
-    rows = rows.withColumn("_r", F.row_number().over(order)).join(g, ["doc_id", "norm", "entity_type"], "left")
-    hit = F.col("_r") <= F.coalesce("n_gold", F.lit(0))
+    """bucket, n, tp and precision by confidence, by the pairs of nearest_matches()."""
+    hit = F.col("gold_start").isNotNull()
+    rows = _matched(predicted, gold, ["confidence"])
     out = rows.groupBy(T.confidence_bucket("confidence").alias("bucket")).agg(F.count("*").alias("n"), F.count_if(hit).alias("tp"))
     return out.withColumn("precision", _ratio(F.col("tp"), F.col("n")))
 
