@@ -1,17 +1,16 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by the content of windows of lines.
 
 A document is its lines that have a word.  A run of lines is repeated if it has
 MIN_WORDS words or more and an equal run begins earlier in the corpus, in the order
 of doc_id and line.  Every line of a repeated run is deleted; the first run stays.
 
 From each line a window reaches just far enough, forwards and backwards, to hold
-MIN_WORDS words, so a repeated run is the union of repeated windows.  The line with
-the smallest hash in a window is the window's fingerprint; equal windows have equal
-fingerprints, so only windows whose fingerprint stands at several positions can be
-repeated, and only they are compared with each other.  Neighbouring windows mostly
-share a fingerprint, which is what makes the positions few.  A window's repeats
-are found by the smallest position of its content, so nothing is paired; windows
-that follow each other in both places extend the match both ways.
+MIN_WORDS words, so a repeated run is the union of repeated windows.  Windows are
+grouped by the hash of their whole content, and all but the first of a group are
+repeats; so nothing is paired, and no match is extended.  This stands in for
+winnowing: the line with the smallest hash in a window is kept as its fingerprint,
+but the filter on it counts windows, of which neighbouring ones mostly share
+theirs, so it drops few and decides nothing.
 
 Nulls and edge cases: a null or empty text has no lines and keeps its text; a null
 doc_id sorts before all others; rows that share doc_id and text are one occurrence,
@@ -74,7 +73,7 @@ def windows(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 def repeated(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_hash, low and high of every window whose content stands earlier in the corpus."""
     found = stored(windows(docs, least))
-    # positions of a fingerprint: documents and lines in which it is a window's minimum
+    # windows of a fingerprint, not positions: a filter that drops few
     prints = found.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
     near = found.join(prints, "print", "left_semi")
     at = F.struct("doc_id", "text_hash", "low")
