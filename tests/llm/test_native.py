@@ -150,7 +150,7 @@ def _llr(rows, trusted, text):
         raw.update(grams(t or ""))
         if d in trusted:
             good.update(grams(t or ""))
-    n, m, k = sum(raw.values()), sum(good.values()), quality.BUCKETS
+    n, m, k = sum(raw.values()), sum(good.values()), 1 << quality.BUCKET_BITS
     own = grams(text)
     return sum(math.log((good[g] + 1) / (m + k)) - math.log((raw[g] + 1) / (n + k)) for g in own) / len(own)
 
@@ -185,6 +185,16 @@ def test_quality_equals_plain_version(spark):
     assert {r.doc_id for r in kept.collect()} == {d for d, r in out.items() if r.kept}
 
 
+@pytest.mark.parametrize("limit", ["PLACE_BITS", "BROADCAST_IDS"])
+def test_quality_beyond_a_size_is_the_same(spark, monkeypatch, limit):
+    """Texts of more words than places have bits for, and more trusted documents than are broadcast."""
+    docs = docs_of(spark, _quality_rows())
+    labels = spark.createDataFrame([(d,) for d in range(30)], "doc_id long")
+    want = sorted(map(str, quality.judge(docs, labels).collect()))
+    monkeypatch.setattr(quality, limit, 3)
+    assert sorted(map(str, quality.judge(docs, labels).collect())) == want
+
+
 def test_quality_without_trusted_rows_or_documents(spark):
     rows = _quality_rows()
     none = spark.createDataFrame([], "doc_id long")

@@ -1,10 +1,14 @@
 """Quality rules: a fixed rule set, then a hashed n-gram likelihood ratio.
 
-Two multinomials over hashed uni- and bigrams are counted: one over documents
+Two multinomials over hashed uni- and bigrams are counted: one over all documents
 trusted to be good, one over all documents.  A document's verdict is the mean,
 over its n-grams, of the log ratio of the two, against a fixed threshold.  Every
 document is counted and judged, whole; nothing here runs outside the JVM.
 
+Up to BROADCAST_IDS trusted ids are broadcast, and one pass counts both.  With more,
+the trusted documents are found by a shuffled join and counted in a pass of their
+own, while the raw counts need no join.
+
 Nulls and edge cases: a null or empty text has no words and fails the base
 rules; repeated rows are counted and judged each; without any trusted document
 the ratio is 0 everywhere and the base rules decide alone; an empty table gives
@@ -18,13 +22,10 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import has_word, words
+from .common import BROADCAST_IDS, has_word, stored, words
 
-BUCKET_BITS = 14
-BUCKETS = 1 << BUCKET_BITS
+BUCKET_BITS = 16
 THRESHOLD = -0.25
-#: At most so many trusted documents, those of the smallest hashed ids, make the target multinomial.
-TARGET_DOCS = 200_000
 MIN_WORDS = 50
 MARKS = "#*$%&|<>!"
 
@@ -41,20 +42,28 @@ def _base(text: Column) -> dict[str, Column]:
 
 
 #: A window's hash and place in one number, so that a plain sort brings like ones together: the place takes
-#: the low bits, and of the hash the high ones stay.
-_PLACE_BITS = 20
+#: the low bits, and of the hash the high ones stay. In a text of more words every window is looked at as a whole.
+PLACE_BITS = 20
 _WINDOW = "xxhash64(get(_hashes, i), get(_hashes, i + 1), get(_hashes, i + 2))"
-_PACKED = f"""
-CASE WHEN size(_hashes) < 3 OR size(_hashes) > {1 << _PLACE_BITS} THEN array() ELSE
-  sort_array(transform(sequence(0, size(_hashes) - 3), i -> ({_WINDOW} & {-(1 << _PLACE_BITS)}L) | i)) END
-"""
-#: Places of the windows that may occur twice: those with a neighbour of equal high bits (in a longer text, all).
-_MAYBE = f"""
-CASE WHEN size(_hashes) > {1 << _PLACE_BITS} THEN sequence(0, size(_hashes) - 3) ELSE
-  transform(filter(_packed, (e, k) -> coalesce(shiftright(e ^ get(_packed, k + 1), {_PLACE_BITS}) = 0, false)
-      OR coalesce(shiftright(e ^ get(_packed, k - 1), {_PLACE_BITS}) = 0, false)),
-    e -> cast(e & {(1 << _PLACE_BITS) - 1} AS int)) END
-"""
+
+
+def _packed() -> Column:
+    return F.expr(f"""
+CASE WHEN size(_hashes) < 3 OR size(_hashes) > {1 << PLACE_BITS} THEN array() ELSE
+  sort_array(transform(sequence(0, size(_hashes) - 3), i -> ({_WINDOW} & {-(1 << PLACE_BITS)}L) | i)) END
+""")
+
+
+def _maybe() -> Column:
+    """Places of the windows that may occur twice: those with a neighbour of equal high bits (in a longer text, all)."""
+    return F.expr(f"""
+CASE WHEN size(_hashes) > {1 << PLACE_BITS} THEN sequence(0, size(_hashes) - 3) ELSE
+  transform(filter(_packed, (e, k) -> coalesce(shiftright(e ^ get(_packed, k + 1), {PLACE_BITS}) = 0, false)
+      OR coalesce(shiftright(e ^ get(_packed, k - 1), {PLACE_BITS}) = 0, false)),
+    e -> cast(e & {(1 << PLACE_BITS) - 1} AS int)) END
+""")
+
+
 #: Words inside windows that do occur twice: of those places, windows are sorted by their whole hash, equal neighbours
 #: are marked, and the marked places' windows united.
 _REPEATED = f"""
@@ -74,7 +83,7 @@ def profile(docs: DataFrame, more: list[Column] = ()) -> DataFrame:
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
     counted = base.withColumns(_base(F.col("text")))
     counted = counted.withColumns({"n_words": F.size("_words").cast("long"), "_hashes": F.transform("_words", lambda x: F.xxhash64(x))})
-    counted = counted.withColumn("_packed", F.expr(_PACKED)).withColumn("_maybe", F.expr(_MAYBE))
+    counted = counted.withColumn("_packed", _packed()).withColumn("_maybe", _maybe())
     return counted.select(
         "doc_id",
         "text",
@@ -96,64 +105,68 @@ def tokens(text: Column) -> Column:
 
 
 def _hashed(tokens: Column) -> Column:
-    """32 bits a token: enough for what ends in BUCKETS."""
+    """32 bits a token: enough for what ends in a table of buckets."""
     return F.transform(tokens, lambda x: F.hash(x))
 
 
-def _bucket(gram: Column) -> Column:
-    return F.shiftrightunsigned(gram, 32 - BUCKET_BITS)
+def _bucket(gram: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(gram, 32 - bits)
 
 
-def _total(ratio: Column, h: Column) -> Column:
+def _total(ratio: Column, h: Column, bits: int) -> Column:
     """The sum of the ratios of a text's uni- and bigrams, from its token hashes (two at least)."""
-    of = lambda gram: F.get(ratio, _bucket(gram))
+    of = lambda gram: F.get(ratio, _bucket(gram, bits))
     step = lambda s, i: s + of(F.get(h, i)) + of(F.hash(F.get(h, i), F.get(h, i + 1)))
     return F.aggregate(F.sequence(F.lit(0), F.size(h) - 2), of(F.element_at(h, -1)), step)
 
 
-def ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """One row with `ratio`: the log ratio of each bucket, target against raw, add-one smoothed.
+def ratios(docs: DataFrame, trusted: DataFrame, bits: int = BUCKET_BITS) -> DataFrame:
+    """One row with `ratio`: the log ratio of each of 2 ** bits buckets, target against raw, add-one smoothed.
 
-    trusted: doc_id of the trusted documents. The counts cover all documents.
+    trusted: doc_id of the trusted documents. The counts cover all documents and all trusted ones.
     """
-    few = trusted.where("doc_id IS NOT NULL").select("doc_id").distinct()
-    few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_DOCS).withColumn("_good", F.lit(True))
+    good = stored(trusted.where("doc_id IS NOT NULL").select("doc_id").distinct())
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.join(F.broadcast(few), "doc_id", "left").select("_good", _hashed(tokens(F.col("text"))).alias("h"))
+    if good.count() <= BROADCAST_IDS:
+        rows = rows.join(F.broadcast(good.withColumn("t", F.lit(1))), "doc_id", "left").select(F.lit(1).alias("r"), F.coalesce("t", F.lit(0)).alias("t"), "text")
+    else:
+        own = rows.join(good, "doc_id", "left_semi").select(F.lit(0).alias("r"), F.lit(1).alias("t"), "text")
+        rows = rows.select(F.lit(1).alias("r"), F.lit(0).alias("t"), "text").unionAll(own)
+    rows = rows.select("r", "t", _hashed(tokens(F.col("text"))).alias("h"))
     # outer: a filter for empty arrays would be pushed down and compute the tokens once more
-    rows = rows.select("_good", F.explode_outer(F.expr("arrays_zip(h, slice(h, 2, greatest(size(h), 1)))")).alias("p"))
-    rows = rows.select("_good", F.col("p")["h"].alias("a"), F.col("p")["1"].alias("b"))
-    both = F.array(F.when(F.col("a").isNotNull(), _bucket(F.col("a"))), F.when(F.col("b").isNotNull(), _bucket(F.hash("a", "b"))))
-    buckets = rows.select("_good", F.explode(both).alias("b"))
-    counts = buckets.where("b IS NOT NULL").groupBy("b").agg(F.count("*").alias("r"), F.count("_good").alias("t"))
-    every = docs.sparkSession.range(0, BUCKETS, 1, 1).select(F.col("id").cast("int").alias("b"))
+    rows = rows.select("r", "t", F.explode_outer(F.expr("arrays_zip(h, slice(h, 2, greatest(size(h), 1)))")).alias("p"))
+    rows = rows.select("r", "t", F.col("p")["h"].alias("a"), F.col("p")["1"].alias("b"))
+    both = F.array(F.when(F.col("a").isNotNull(), _bucket(F.col("a"), bits)), F.when(F.col("b").isNotNull(), _bucket(F.hash("a", "b"), bits)))
+    found = rows.select("r", "t", F.explode(both).alias("b"))
+    counts = found.where("b IS NOT NULL").groupBy("b").agg(F.sum("r").alias("r"), F.sum("t").alias("t"))
+    every = docs.sparkSession.range(0, 1 << bits, 1, 1).select(F.col("id").cast("int").alias("b"))
     counts = every.join(counts, "b", "left").na.fill(0, ["r", "t"])
     one = counts.agg(
         F.array_sort(F.collect_list(F.struct("b", "r", "t"))).alias("c"), F.sum("r").alias("R"), F.sum("t").alias("T")
     )
     term = F.expr(
         f"transform(c, x -> CASE WHEN T = 0 THEN 0D ELSE"
-        f" ln((x.t + 1) / (T + {BUCKETS}D)) - ln((x.r + 1) / (R + {BUCKETS}D)) END)"
+        f" ln((x.t + 1) / (T + {1 << bits}D)) - ln((x.r + 1) / (R + {1 << bits}D)) END)"
     )
     return one.select(term.alias("ratio"))
 
 
-def kept(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def kept(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, bits: int = BUCKET_BITS) -> DataFrame:
     """The documents that the rules keep, each judged in its own row, with all their columns."""
     own = F.struct(*[F.col(c) for c in docs.columns]).alias("_own")
     # a row number keeps the filter above the projections: pushed down, it would compute them again inside itself
-    rows = judge(docs, trusted, threshold, [own]).withColumn("_row", F.monotonically_increasing_id())
+    rows = judge(docs, trusted, threshold, [own], bits).withColumn("_row", F.monotonically_increasing_id())
     rows = rows.where("kept AND _row >= 0")
     return rows.select(*[F.col("_own")[c].alias(c) for c in docs.columns])
 
 
-def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, more: list[Column] = ()) -> DataFrame:
+def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, more: list[Column] = (), bits: int = BUCKET_BITS) -> DataFrame:
     """doc_id, the base counts, base_failed, llr (mean log ratio an n-gram) and kept, then further columns of docs."""
     rows = profile(docs, more).withColumn("_tokens", _hashed(tokens(F.col("text"))))
-    # BUCKETS numbers, a constant of the scan; bound once a row, not copied into it
-    table = F.from_json(F.lit(json.dumps(ratios(docs, trusted).first()["ratio"])), "array<double>")
+    # a fixed number of buckets, a constant of the scan; bound once a row, not copied into it
+    table = F.from_json(F.lit(json.dumps(ratios(docs, trusted, bits).first()["ratio"])), "array<double>")
     known = F.struct(table.alias("r"), F.col("_tokens").alias("h"))
-    judged = F.get(F.transform(F.array(known), lambda v: _total(v["r"], v["h"])), F.lit(0)) / (2 * F.size("_tokens") - 1)
+    judged = F.get(F.transform(F.array(known), lambda v: _total(v["r"], v["h"], bits)), F.lit(0)) / (2 * F.size("_tokens") - 1)
     rows = rows.withColumn("llr", F.when(~F.col("base_failed"), judged))
     return rows.select(
         "doc_id",
