@@ -93,7 +93,7 @@ def ring(ids: list, shards: int, vnodes: int) -> dict:
 
 
 def deleted_lines(rows: list[tuple], least: int) -> dict:
-    """(doc_id, text) rows to doc_id: numbers of the lines in runs of `least` words that stand earlier in the corpus."""
+    """(doc_id, text) rows to doc_id: numbers of the lines in runs of `least` words that stand earlier in the corpus, and end there before."""
     docs = []
     for doc, text in sorted(rows, key=lambda r: r[0]):
         docs.append((doc, [(i, x, len(tokens(x))) for i, x in enumerate((text or "").split("\n")) if tokens(x)]))
@@ -109,7 +109,7 @@ def deleted_lines(rows: list[tuple], least: int) -> dict:
                     runs.append((key, d, i, j))
     gone = defaultdict(set)
     for key, d, i, j in runs:
-        if first[key] < (d, i):
+        if first[key][0] < d or first[key][0] == d and first[key][1] + j - i < i:
             gone[docs[d][0]] |= {docs[d][1][k][0] for k in range(i, j + 1)}
     return {doc: sorted(gone[doc]) for doc, _ in docs}
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -239,6 +240,25 @@ def test_line_dedup_equals_plain_version(spark, least):
             assert out[d].text is None
 
 
+def test_line_dedup_keeps_the_first_run_of_periodic_text(spark):
+    line = " ".join(["word"] * 10)
+    rows = [(n, "\n".join([f"{line} {n}"] * n)) for n in (6, 9, 12, 23)] + [(90, "\n\n".join([f"{line} 23"] * 5))]
+    out = {r.doc_id: list(r.deleted) for r in line_dedup.deduplicated(docs_of(spark, rows)).collect()}
+    assert out == brute.deleted_lines(rows, line_dedup.MIN_WORDS)
+    assert out[6] == out[9] == [] and out[23] == list(range(5, 23)) and out[90] == [0, 2, 4, 6, 8]
+
+
+def test_line_dedup_is_linear_in_lines(spark):
+    rng = random.Random(3)
+    lines = [" ".join(prose(rng, 6, 10**6)) + f" {k}" for k in range(100_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n \n".join(lines[500:600] + ["other"]))]
+    began = time.time()
+    out = {r.doc_id: r for r in line_dedup.deduplicated(docs_of(spark, rows)).collect()}
+    assert out[1].n_deleted == 0 and out[2].n_deleted == 100
+    assert out[2].text == "\n".join([" "] * 100 + ["other"])
+    assert time.time() - began < 60
+
+
 def test_line_dedup_repeated_rows_and_nulls(spark):
     rng = random.Random(1)
     text = "\n".join(" ".join(prose(rng, 20)) for _ in range(4))

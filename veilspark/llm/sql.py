@@ -41,7 +41,9 @@ runs AS (
   FROM spans s JOIN cum c ON c.doc_id = s.doc_id AND c.r BETWEEN s.low AND s.high GROUP BY 1, 2, 3),
 later AS (
   SELECT doc_id, low, high FROM (
-    SELECT *, min(row(doc_id, low)) OVER (PARTITION BY content) AS first FROM runs) WHERE row(doc_id, low) > first),
+    SELECT *, first_value(doc_id) OVER win AS first_doc, first_value(low) OVER win AS first_low, first_value(high) OVER win AS first_high
+    FROM runs WINDOW win AS (PARTITION BY content ORDER BY doc_id, low))
+  WHERE doc_id <> first_doc OR low > first_high),
 gone AS (SELECT DISTINCT c.doc_id, c.i FROM later t JOIN cum c ON c.doc_id = t.doc_id AND c.r BETWEEN t.low AND t.high),
 kept AS (
   SELECT l.doc_id, string_agg(l.x, chr(10) ORDER BY l.i) AS text
