@@ -60,8 +60,11 @@ def test_null_ids_repeated_rows_and_shared_ids(spark):
     rows = [(None, a), (5, a), (5, a), (3, a), (9, a), (9, b), (11, b)]
     out = [(r.doc_id, r.component_id) for r in jaccard_join.components(docs_of(spark, rows)).collect()]
     assert sorted(out, key=str) == sorted([(None, None), (5, 3), (5, 3), (3, 3), (9, 3), (9, 3), (11, 3)], key=str)
-    kept = jaccard_join.keep_one(docs_of(spark, rows)).collect()
-    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id is not None) == [(3, a)]
+    docs = docs_of(spark, [*rows, (3, a), (3, a + " more"), (70, None), (70, None)], {"_own": 1})
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    kept = kept.collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id is not None) == [(3, a), (70, None)]
     assert sum(r.doc_id is None for r in kept) == 1
 
 
@@ -74,6 +77,7 @@ def test_empty_table(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 40), min_size=1, max_size=40), min_size=2, max_size=12), st.booleans())
 def test_forest_has_all_links(sets, two_sides):
+    counts = np.arange(1 << jaccard_join.SKETCH_BITS) * 7919 % 13
     arrays = [np.sort(np.array([x * 0x9E3779B97F4A7C15 % 2**64 for x in s], np.uint64)) for s in sets]
     side = np.array([two_sides and i % 2 == 1 for i in range(len(sets))])
 
@@ -86,7 +90,7 @@ def test_forest_has_all_links(sets, two_sides):
 
     both = side.any() and not side.all()
     all_links = [(a, b) for a in range(len(sets)) for b in range(a) if (not both or side[a] != side[b]) and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
-    assert groups(jaccard_join.forest(arrays, side, 85)) == groups(all_links)
+    assert groups(jaccard_join.forest(arrays, side, 85, counts)) == groups(all_links)
 
 
 def test_components_of_a_long_chain(spark):

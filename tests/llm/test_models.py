@@ -45,7 +45,7 @@ def _bench(spark, items):
     return spark.createDataFrame(items, "item_id long, text string")
 
 
-def test_decontamination_equals_plain_version(spark):
+def test_decontamination_equals_plain_version(spark, monkeypatch):
     rng = random.Random(4)
     items = [(i, " ".join(prose(rng, n, 1500))) for i, n in enumerate([40, 25, 20, 15, 9, 7, 5, 3, 60])] + [(50, None), (51, "")]
     rows = []
@@ -60,10 +60,23 @@ def test_decontamination_equals_plain_version(spark):
             words[at:at] = part if d % 6 else part[: len(part) // 2]
         rows.append((d, " ".join(words)))
     rows += [(400 + i, t) for i, t in enumerate(ODD) if len(t or "") < 1000]
-    got = decontaminate.overlaps(docs_of(spark, rows, {"item_id": 5, "tokens": 1}), _bench(spark, items)).collect()
-    want = brute.leaks(rows, [i for i in items if i[1]], decontaminate.WINDOW, decontaminate.PERCENT, decontaminate.MIN_WORDS)
-    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
-    assert len(want) > 20
+    docs, want = docs_of(spark, rows, {"item_id": 5, "tokens": 1}), {}
+    for least in (decontaminate.MIN_WORDS, 1):
+        got = decontaminate.overlaps(docs, _bench(spark, items), least).collect()
+        want[least] = brute.leaks(rows, [i for i in items if i[1]], decontaminate.WINDOW, decontaminate.PERCENT, least)
+        assert {(r.doc_id, r.item_id) for r in got} == want[least] and len(got) == len(want[least])
+    assert len(want[1]) > len(want[decontaminate.MIN_WORDS]) > 20
+    monkeypatch.setattr(decontaminate, "BROADCAST_IDS", 1)
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 1)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, _bench(spark, items)).collect()} == want[decontaminate.MIN_WORDS]
+
+
+def test_decontamination_of_long_texts(spark):
+    rng = random.Random(5)
+    item, other = prose(rng, 30, 10**5), prose(rng, 60_000)
+    rows = [(i, t) for i, t in enumerate(ODD)] + [(20, " ".join(other)), (21, " ".join(other[:55_555] + item[3:] + other[55_555:]))]
+    got = decontaminate.overlaps(docs_of(spark, rows), _bench(spark, [(1, " ".join(item))])).collect()
+    assert [(r.doc_id, r.n_agree, r.word_at) for r in got] == [(21, 20, 55_555)]
 
 
 def test_no_allowed_change_escapes_the_masks():
@@ -73,7 +86,7 @@ def test_no_allowed_change_escapes_the_masks():
         for which in itertools.combinations(range(n), changed):
             bits = sum(1 << i for i in which)
             assert not all(bits & p for p in places)
-    for n in decontaminate.SHORT:
+    for n in range(decontaminate.MIN_WORDS, decontaminate.SPAN):
         assert n - math.ceil(n * decontaminate.PERCENT / 100) == 1
 
 

@@ -11,10 +11,15 @@ different.
 A fixed-size bit map of the benchmark's seeds drops most document seeds before
 the join; it only spares work, as the join is on the full hash.  An item with
 fewer words than the longest mask spans is sought as a whole, with each of its words
-ignored in turn.
+ignored in turn where PERCENT allows a change.
+
+A document's row carries its words to its alignments.  Seeds and items are broadcast
+while there are few (BROADCAST_IDS seeds, ITEM_BYTES of text), so a phrase or an item
+that very many documents share is no hot key; beyond that, joins shuffle the
+alignments and Spark's skewed-join splitting deals hot ones.
 
 Nulls and edge cases: items and documents without text match nothing; items of
-fewer than MIN_WORDS words are not sought; a null doc_id or item_id takes no
+fewer than min_words words are not sought (MIN_WORDS by default: shorter ones stand in clean documents); a null doc_id or item_id takes no
 part; rows that share an id count as one, with the best overlap of any; repeated
 hits count once; empty tables give an empty result; extra columns are ignored by
 overlaps() and kept by clean().
@@ -28,13 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import stored, with_ids
+from .common import BROADCAST_IDS, stored, with_ids
 
 #: 1: the word counts; 0: any word may stand there. In 10 to WINDOW words, however the changed ones that PERCENT allows
 #: lie, some place of some mask has none of them.
 MASKS = ("11111", "1101101", "11010011", "110010011", "1010011001")
 WINDOW, PERCENT, MIN_WORDS = 20, 80, 5
 MAP_BITS = 24
+#: Items of at most so many bytes together are broadcast.
+ITEM_BYTES = 1 << 24
 
 
 def _mask_factors() -> list[list[tuple[int, np.uint64]]]:
@@ -54,11 +61,11 @@ def _seeds(words: kernel.Words, hashes: np.ndarray):
 
 
 def _short(hashes: np.ndarray, first: np.ndarray, n: int):
-    """(hashes, word positions) of all n-word windows within documents, with one word ignored, each in turn."""
+    """(hashes, word positions) of all n-word windows within documents, with one word ignored, each in turn, or none if all must agree."""
     last = np.repeat(first[1:], np.diff(first))
     pos = np.arange(len(hashes))
     pos = pos[pos + n <= last]
-    for skipped in range(n):
+    for skipped in range(n) if -(-PERCENT * n // 100) < n else [n]:
         total = np.full(len(pos), n * 64 + skipped, np.uint64)
         for j in range(n):
             if j != skipped:
@@ -67,25 +74,26 @@ def _short(hashes: np.ndarray, first: np.ndarray, n: int):
 
 
 SPAN = max(map(len, MASKS))
-SHORT = range(MIN_WORDS, SPAN)
 
 
 def _bit(seeds: np.ndarray) -> np.ndarray:
     return (seeds >> np.uint64(64 - MAP_BITS)).astype(np.int64)
 
 
-def _item_seeds(batches):
+def _item_seeds(batches, min_words: int):
     for batch in batches:
         for words in kernel.chunks(batch.column("text")):
             h = words.hashes()
             ids = batch.column("item_id").slice(words.low, words.n_docs).to_numpy(zero_copy_only=False)
             counts, doc = words.counts, np.repeat(np.arange(words.n_docs), words.counts)
             found = [(s, p, np.zeros(len(p), np.int32)) for s, p in _seeds(words, h)]
-            for n in SHORT:
+            for n in range(min_words, SPAN):
                 for s, p in _short(h, words.first, n):
                     whole = counts[doc[p]] == n
                     found.append((s[whole], p[whole], np.full(whole.sum(), n, np.int32)))
             seeds, pos, short = (np.concatenate(x) for x in zip(*found, strict=True))
+            enough = counts[doc[pos]] >= min_words
+            seeds, pos, short = seeds[enough], pos[enough], short[enough]
             at = (pos - words.first[doc[pos]]).astype(np.int32)
             columns = [seeds.view(np.int64), ids[doc[pos]].astype(np.int64), at, short]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["seed", "item_id", "at", "short"])
@@ -98,16 +106,16 @@ def _tokens(batches, key: str):
             yield pa.RecordBatch.from_arrays([batch.column(key).slice(words.low, words.n_docs).cast(pa.int64()), lists], [key, "tokens"])
 
 
-def best_overlap(item: np.ndarray, doc: np.ndarray, offset: int) -> tuple[int, int, int]:
+def best_overlap(item: np.ndarray, doc: np.ndarray, offset: int, min_words: int = MIN_WORDS) -> tuple[int, int, int]:
     """Agreeing words, window and document position of the best aligned window; item[i] stands at doc[offset + i].
 
     The window has WINDOW words, or as many as the item. Where the document begins or ends within it, the aligned words
-    that are left, MIN_WORDS at least, are held against the whole window.
+    that are left, min_words at least, are held against the whole window.
     """
     low, high = max(0, -offset), min(len(item), len(doc) - offset)
     width = min(WINDOW, len(item))
     inside = min(width, high - low)
-    if inside < MIN_WORDS:
+    if inside < min(min_words, width):
         return 0, width, 0
     same = np.concatenate([[0], np.cumsum(item[low:high] == doc[low + offset : high + offset])])
     total = same[inside:] - same[:-inside]
@@ -115,12 +123,12 @@ def best_overlap(item: np.ndarray, doc: np.ndarray, offset: int) -> tuple[int, i
     return int(total[best]), width, low + offset + best
 
 
-def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
+def overlaps(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, item_id, n_agree, n_window, word_at): each document with each benchmark item found in it."""
     spark = docs.sparkSession
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
     items = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text")
-    seeds = stored(items.mapInArrow(_item_seeds, "seed long, item_id long, at int, short int").distinct())
+    seeds = stored(items.mapInArrow(lambda b: _item_seeds(b, min_words), "seed long, item_id long, at int, short int").distinct())
     bits = spark.sparkContext.broadcast(_bit_map(seeds))
     short = [row[0] for row in seeds.select("short").where("short > 0").distinct().collect()]  # fewer than SPAN
 
@@ -141,9 +149,10 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["seed", "doc_id", "pos"])
 
     found = docs.mapInArrow(hits, "seed long, doc_id long, pos long")
-    lines = found.join(seeds, "seed").select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("offset"))
+    few = seeds.count() <= BROADCAST_IDS
+    lines = found.join(F.broadcast(seeds) if few else seeds, "seed").select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("offset"))
     lines = stored(lines.distinct())
-    return _confirmed(docs, items, lines)
+    return _confirmed(docs, items, lines, min_words)
 
 
 def _bit_map(seeds: DataFrame) -> np.ndarray:
@@ -155,19 +164,21 @@ def _bit_map(seeds: DataFrame) -> np.ndarray:
     return out
 
 
-def _confirmed(docs: DataFrame, items: DataFrame, lines: DataFrame) -> DataFrame:
+def _confirmed(docs: DataFrame, items: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     wanted = lines.select("doc_id").distinct()
     texts = with_ids(docs, wanted, wanted.count(), "left_semi").mapInArrow(lambda b: _tokens(b, "doc_id"), "doc_id long, tokens array<long>")
     own = items.mapInArrow(lambda b: _tokens(b, "item_id"), "item_id long, tokens array<long>")
-    # the alignments carry the item's words to the document's row, never the other way round
-    near = lines.join(own.withColumnRenamed("tokens", "item"), "item_id")
-    rows = near.join(texts, "doc_id").select("doc_id", "item_id", "offset", "item", _around("tokens").alias("part"), _low().alias("low"))
+    if size[0] + 100 * size[1] <= ITEM_BYTES:
+        own = F.broadcast(own)
+    # an item's words go to the document's row, never the other way round
+    rows = lines.join(texts, "doc_id").join(own.withColumnRenamed("tokens", "item"), "item_id").select("doc_id", "item_id", "offset", "item", _around("tokens").alias("part"), _low().alias("low"))
 
     def check(batches):
         for batch in batches:
             got = []
             for doc, item_id, offset, low, item, part in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item_id", "offset", "low")), batch.column("item"), batch.column("part"), strict=True):
-                agree, width, at = best_overlap(item.values.to_numpy(), part.values.to_numpy(), offset - low)
+                agree, width, at = best_overlap(item.values.to_numpy(), part.values.to_numpy(), offset - low, min_words)
                 if 100 * agree >= PERCENT * width:
                     got.append((doc, item_id, agree, width, at + low))
             if got:

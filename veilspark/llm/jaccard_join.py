@@ -4,8 +4,8 @@ Two sets of similarity at least t must share k tokens in the first
 n - ceil(t * n) + k tokens of each set, whatever the global order of tokens.  So
 a pair is verified only if it shares such prefix tokens under every one of several
 orders.  The first order (tokens that are common in the corpus last, by a fixed-size
-count sketch) deals documents into buckets over the cluster; the others, and a size
-filter, are intersected before sets are compared.
+count sketch) deals documents into buckets over the cluster; within united buckets
+all orders, the first again, and a size filter are intersected before sets are compared.
 
 Equal sets form one class and only its smallest doc_id goes on.  A bucket holds one
 token and one size class.  A document with fewer than k tokens in buckets of two or
@@ -166,10 +166,11 @@ def _gather(index: tuple[np.ndarray, np.ndarray, np.ndarray], tokens: np.ndarray
     return owner[np.arange(n.sum()) + shift]
 
 
-def forest(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def forest(sets: list[np.ndarray], side: np.ndarray, percent: int, counts: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links between the sets, as pairs of positions.
 
-    side: 0 or 1; where both occur, only links between the sides are looked for.
+    side: 0 or 1; where both occur, only links between the sides are looked for. counts: of the sketch's slots, which
+    give the first order.
     """
     sizes = np.array([len(s) for s in sets])
     both = side.any() and not side.all()
@@ -178,8 +179,11 @@ def forest(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple
     own_prefix, prefix_index = [], []
     need = _need(sizes, percent)
     rank = np.arange(len(tokens)) - np.repeat(first[:-1], sizes)
-    for seed in ORDERS:
-        order = np.lexsort((kernel.mix(tokens ^ np.uint64(seed)), owner))
+    orders = [(kernel.mix(tokens ^ np.uint64(seed)), owner) for seed in ORDERS]
+    if counts is not None:
+        orders.insert(0, (tokens, counts[_slot(tokens)], owner))
+    for keys in orders:
+        order = np.lexsort(keys)
         head = order[rank < np.repeat(need, sizes)]
         prefix_index.append(_lists(tokens[head], owner[head]))
         own_prefix.append((tokens[head], np.concatenate([[0], np.cumsum(need)])))
@@ -215,7 +219,7 @@ def forest(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple
     return out
 
 
-def _links(docs: DataFrame, groups: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, groups: DataFrame, sketch, shingle: int, percent: int) -> DataFrame:
     """(u, v) with u > v: a spanning forest of each block's links."""
 
     def sets(batches):
@@ -244,7 +248,7 @@ def _links(docs: DataFrame, groups: DataFrame, shingle: int, percent: int) -> Da
             return
         ids = np.array([m[0] for m in members])
         side = np.array([m[1] == key[2] and key[1] != key[2] for m in members])
-        pairs = forest([m[2] for m in members], side, percent)
+        pairs = forest([m[2] for m in members], side, percent, sketch.value)
         if pairs:
             a, b = (ids[list(x)] for x in zip(*pairs, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["u", "v"])
@@ -299,7 +303,7 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     copies = stored(copies)
     reps = real.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS // 2 else copies, ["doc_id", "h1", "h2"], "left_anti")
     groups = stored(_groups(reps, percent))
-    links = _links(docs, groups, shingle, percent)
+    links = _links(docs, groups, sketch, shingle, percent)
     # a doc_id that several different texts share is one node
     several = real.groupBy("doc_id").agg(F.count_distinct("h1", "h2").alias("c")).where("c > 1").select("doc_id")
     same = real.join(several, "doc_id", "left_semi").join(classes, ["h1", "h2", "n"])
@@ -317,7 +321,19 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents without those whose component has a smaller doc_id; all columns stay."""
-    found = components(docs, shingle, percent)
+    """One row of each component, of its smallest doc_id (of several rows with that id the least by text); all columns stay.
+
+    Rows without a doc_id are linked with nothing, so each of them stays.
+    """
+    found = stored(components(docs, shingle, percent))
     gone = stored(found.where("component_id < doc_id").select("doc_id").distinct())
-    return with_ids(docs, gone, gone.count(), "left_anti").select(*docs.columns)
+    left = with_ids(docs, gone, gone.count(), "left_anti").select(*docs.columns)
+    several = stored(found.where("doc_id IS NOT NULL AND component_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    n = several.count()
+    if not n:
+        return left
+    # only rows that share their id are dealt anew
+    own = F.struct(*[F.col(c) for c in docs.columns])
+    alike = with_ids(left, several, n, "left_semi")
+    least = alike.groupBy("doc_id").agg(F.min_by(own.alias("_own"), F.struct("text", F.xxhash64(*docs.columns))).alias("_own"))
+    return with_ids(left, several, n, "left_anti").select(*docs.columns).unionByName(least.select("_own.*"))
