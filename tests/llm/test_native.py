@@ -37,6 +37,19 @@ def test_ring_moves_few_rows(spark):
     assert sum(a[d] != b[d] for d in a) < 0.35 * len(a)
 
 
+def test_ring_deals_repetitions_apart(spark):
+    rows = [(d, f"text {d}") for d in range(300)]
+    docs = docs_of(spark, rows * 2 + rows[:50])
+    out = sharding.placed(docs, 10, 16, ["text", "lang"], True).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == sorted(rows * 2 + rows[:50])
+    assert len({(r.shard, r.slot) for r in out}) == 650
+    where = defaultdict(set)
+    for r in out:
+        where[r.doc_id].add(r.shard)
+    assert sum(len(s) > 1 for s in where.values()) > 200
+    assert sharding.placed(docs_of(spark, [(4, "x")] * 500 + [(None, None)] * 3), 10, apart=True).count() == 503
+
+
 def test_ring_odd_rows(spark, tmp_path):
     rows = [(None, t) for t in ODD] + [(4, "x")] * 5 + [(i, t) for i, t in enumerate(ODD)]
     docs = docs_of(spark, rows, {"shard": 99, "rank": 3, "arc": 1})

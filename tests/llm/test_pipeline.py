@@ -46,6 +46,25 @@ def test_stages_equal_plain_versions(spark, sf):
     ran = corpus_pipeline.run(spark, sf).collect()
     assert sorted((r.doc_id, r.text_crc32) for r in ran) == sorted((r.doc_id, r.text_crc32) for r in out)
     assert {(r.shard, r.slot) for r in ran} == {(r.shard, r.slot) for r in out}
+    text = {r.doc_id: (r.text, r.lang, r.source) for r in docs.collect()}
+    assert all((r.text, r.lang, r.source) == text[r.doc_id] for r in ran)
+
+
+def test_pipeline_odd_tables(spark, sf, tmp_path):
+    """Nulls, repeated rows and clashing columns pass; an empty table gives no rows."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    odd = docs.limit(3).selectExpr("cast(null AS long) AS doc_id", "text", "cast(null AS string) AS lang", "cast(null AS string) AS source", "n_chars")
+    blank = docs.limit(3).selectExpr("doc_id + 9000 AS doc_id", "cast(null AS string) AS text", "lang", "source", "cast(null AS long) AS n_chars")
+    rows = docs.unionAll(docs.limit(20)).unionAll(odd).unionAll(blank).selectExpr("*", "7 AS shard", "'x' AS kept", "1 AS epoch")
+    for folder, table in (("a", rows), ("b", rows.limit(0))):
+        for name in ("labels", "benchmark"):
+            spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{tmp_path}/{folder}/{name}.parquet")
+        table.write.parquet(f"{tmp_path}/{folder}/documents.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    plain = {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/a").where("text IS NOT NULL").collect()}
+    assert {r.doc_id for r in out if r.doc_id is not None} == plain - {None} and plain
+    assert {(r.shard, r.slot) for r in out} and len({(r.shard, r.slot) for r in out}) == len(out)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))

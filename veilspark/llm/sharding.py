@@ -14,7 +14,11 @@ a gapless slot at once, with one shuffle of ids and sizes and none of the texts.
 Nulls and edge cases: a null doc_id is placed by its text's checksum; a null text
 has no bytes and checksum 0; equal rows are interchangeable and take slots of
 their own; an empty table gives an empty result; extra columns are ignored by
-placed().
+placed() unless they are asked for.
+
+Rows that share a doc_id have one key and stand side by side.  With `apart` the second,
+third and further ones have keys of their own, so that repetitions of a document, as
+mixing makes them, are spread over the ring.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 SHARDS, VNODES = 40, 128
 ROW_BYTES = 16
 
@@ -66,17 +72,24 @@ def walk(counts: dict[int, int], ring: list[tuple[int, int]], shards: int) -> li
     return pieces
 
 
-def placed(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, columns: list[str] = ()) -> DataFrame:
+def placed(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, columns: list[str] = (), apart: bool = False) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row, then those of its columns that are asked for."""
     spark, ring = docs.sparkSession, points(shards, vnodes)
+    if apart:
+        docs = docs.select("doc_id", "text", F.struct(*columns).alias("_own")) if columns else docs.select("doc_id", "text", F.lit(None).alias("_own"))
+        # rows of one id and text are few: repetitions; without an id they count by text
+        same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
+        docs = stored(docs.withColumn("_copy", F.row_number().over(same) - 1))
     crc = F.coalesce(F.crc32("text"), F.lit(0)).cast("long")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("crc/"), crc.cast("string")))
+    if apart:
+        key = F.when(F.col("_copy") > 0, F.concat(key, F.lit("/"), F.col("_copy").cast("string"))).otherwise(key)
     at = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
     # the first point at or after the key, past the last one the first
     ends = F.array(*[F.lit(p) for p, _ in ring])
     arc = F.pmod(_first_at_least(ends, at, len(ring)), F.lit(len(ring)))
-    rest = F.struct(*columns) if columns else F.lit(None)
+    rest = F.lit(None) if not columns else F.col("_own") if apart else F.struct(*columns)
     rows = docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), at.alias("at"), rest.alias("_rest"))
     rows = rows.withColumn("_ends", ends).withColumn("arc", arc).drop("_ends")
     keys = docs.select(at.alias("at")).withColumn("_ends", ends).withColumn("arc", arc).groupBy("arc").count()
