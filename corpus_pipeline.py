@@ -32,8 +32,8 @@ def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row gets a shard and a slot."""
-    return sharding.placed(docs)
+    """Every row, with all its columns, gets a shard and a slot; the readings of a document are dealt one by one."""
+    return sharding.placed(docs, columns=[c for c in docs.columns if c != "doc_id"], apart=True)
 
 
 STAGES = [
