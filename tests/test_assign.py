@@ -117,6 +117,64 @@ def test_library_names_keep_the_invariants(spark):
     assert any(other[r.key] != r.pseudonym_full for r in out)
 
 
+def test_library_names_are_remembered(spark):
+    """Three runs on one mapping table: parts keep their names, nobody shares one, a surname alone is its bearer's."""
+    rng = random.Random(4)
+    pool, genders = lookup.pool(spark, lookup.pool_rows(lookup.made_up_library())), lookup.genders(spark)
+    firsts, lasts = ["Jean", "Paul", "Marie", "Claude", "Nom", "Autre"], ["Dupont", "Martin", "Petit", "Noir"]
+    mappings = spark.createDataFrame([], A.STORED + ", id string, theme string")
+    seen = {}
+    for run in range(3):
+        docs = [[f"{rng.choice(firsts)} {rng.choice(lasts)}" for _ in range(3)] + [rng.choice(lasts), f"Cabinet {run} {d}"] for d in range(4 + run)]
+        if run == 0:
+            docs[0] = ["Jean Dupont", "Dupont", "Jean", "Seul"]
+        if run == 1:
+            docs[0] = ["Paul Dupont", "Jean Martin", "Martin", "Dupont", "Jean  Dupont"]
+        rows = [(d, d, k, t, "ORG" if t.startswith("Cabinet") else "PERSON") for d, own in enumerate(docs) for k, t in enumerate(own)]
+        df = kept(spark.createDataFrame(rows, "doc_id long, doc_ord long, span_ord int, text string, entity_type string"))
+        found, new = A.library_ids(df, pool, "plain", "s", genders, mappings)
+        found = {(r.doc_id, r.span_ord): r.pseudonym for r in found.collect()}
+        assert len(found) == len(rows) and all(found.values()) and not any(x.startswith("~") for x in found.values())
+        mappings = kept(mappings.unionByName(new))
+        full = {r.full_name: r for r in mappings.collect()}
+        assert len(full) == mappings.count()
+        two = [r for r in full.values() if r.last_name and r.pseudonym_first]
+        for real, made in (("first_name", "pseudonym_first"), ("last_name", "pseudonym_last")):
+            pairs = {(r[real], r[made]) for r in two}
+            assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+        whole = [r.pseudonym_full for r in full.values() if r.last_name or r.entity_type == "ORG"]
+        assert len(whole) == len(set(whole))
+        for name, r in seen.items():
+            assert full[name] == r
+        seen = full
+        for d, own in enumerate(docs):  # with no more than one bearer before it in the document, a surname is that one's
+            bearers = {t for t in own[:3] if t.endswith(" " + own[3])} if len(own) == 5 and run != 1 else set()
+            if len(bearers) == 1 and own[3] not in full:
+                assert found[d, 3] == full[bearers.pop()].pseudonym_last
+        if run == 0:
+            assert found[0, 1] == full["Jean Dupont"].pseudonym_last and found[0, 2] == full["Jean Dupont"].pseudonym_first
+            assert len(found[0, 3].split()) == 2
+        if run == 1:
+            assert found[0, 3] == full["Jean Dupont"].pseudonym_last and found[0, 0] != full["Jean Dupont"].pseudonym_full
+            assert found[0, 1].split()[0] == full["Jean Dupont"].pseudonym_first and found[0, 4].startswith("Person-")
+    # a rerun makes no name: a word that had its document's bearer may now be stored with the bearer's part
+    parts = {x for r in seen.values() for x in (r.pseudonym_first, r.pseudonym_last)}
+    assert {r.pseudonym_full for r in A.library_ids(df, pool, "plain", "s", genders, mappings)[1].collect()} <= parts
+
+
+def test_numbered_names_never_meet(spark):
+    """Without a pool each part has a number of its own, also after earlier runs."""
+    pool = spark.createDataFrame([], "theme string, kind string, category string, ord int, value string")
+    mappings = spark.createDataFrame([("PERSON", "X", "Y", "X Y", "Person-007", "Person-003", "Person-007 Person-003")], A.STORED)
+    rows = [(1, 1, k, t, "PERSON") for k, t in enumerate(["Jean Dupont", "Paul Noir", "Jean Noir"])]
+    df = spark.createDataFrame(rows, "doc_id long, doc_ord long, span_ord int, text string, entity_type string")
+    out = A.library_names(df, pool, "plain", "s", lookup.genders(spark), False, mappings).collect()
+    parts = {(r.key.split()[0], r.pseudonym_first) for r in out} | {(r.key.split()[1], r.pseudonym_last) for r in out}
+    assert sorted(b for _, b in parts) == ["Person-008", "Person-009", "Person-010", "Person-011"]
+    with pytest.raises(ValueError):
+        A.library_names(df, pool, "plain", "s", lookup.genders(spark), True, mappings)
+
+
 def test_library_is_checked():
     with pytest.raises(ValueError):
         lookup.pool_rows(lookup.made_up_library(n=100))

@@ -39,7 +39,36 @@ def test_folder(spark, folder):
     assert again.mappings().count() == 3 and _texts(spark, folder / "out2") == texts
     row = again.erase("Anne Petit").first()
     assert row.operation_type == "ERASURE" and again.mappings().count() == 2
-    assert sorted(r.operation_type for r in again.operations().collect()) == ["ERASURE", "PROCESS", "PROCESS"]
+    assert sorted(p.name for p in (folder / "db").iterdir() if p.name.startswith("mappings")) == ["mappings-1"]
+    (folder / "db" / "mappings-2").mkdir()  # left by an attempt that failed
+    raw.pop()
+    spark.createDataFrame(raw, X.MAPPINGS).write.mode("overwrite").parquet(str(folder / "db" / "mappings-2"))
+    assert again.erase("Luc Dubois").first() and again.mappings().count() == 1
+    assert not [p for p in (folder / "db").iterdir() if p.name.startswith("_")]
+    assert sorted(r.operation_type for r in again.operations().collect()) == ["ERASURE", "ERASURE", "PROCESS", "PROCESS"]
+
+
+def test_equal_and_odd_names_keep_files_of_their_own(spark, tmp_path):
+    for name in ("x/a.txt", "y/a.txt", "é.txt", "è.txt", "e f.txt"):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_text(f"text of {name}\n")
+    keep = X.ParquetStore(spark, str(tmp_path / "db"))
+    out = X.process_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"), keep, recursive=True).collect()
+    assert sorted(r.output for r in out) == sorted(["x/a_pseudonymized.txt", "y/a_pseudonymized.txt", "é_pseudonymized.txt", "è_pseudonymized.txt", "e f_pseudonymized.txt"])
+    back = {r.part: r.value for r in spark.read.text(str(tmp_path / "out"), wholetext=True).collect()}
+    assert {k: v.strip() for k, v in back.items()} == {r.output: "text of " + r.output.replace("_pseudonymized", "") for r in out}
+
+
+def test_a_batch_that_is_run_again_writes_once(spark, tmp_path):
+    from veilspark.streaming import incremental
+
+    store, out = str(tmp_path / "store"), str(tmp_path / "out")
+    for k in (0, 1, 1):
+        docs = spark.createDataFrame([(k, f"Voir M. Luc Dubois et Mme Anne Petit{k}.")], "doc_id long, text string")
+        incremental.one_batch(docs, store, out, k)
+    names = [r.full_name for r in incremental.mappings(spark, store).collect()]
+    assert len(names) == len(set(names)) and "Luc Dubois" in names
+    assert sorted(r.doc_id for r in spark.read.parquet(out).collect()) == [0, 1]
 
 
 def test_preview_and_themes(spark):

@@ -5,7 +5,7 @@ one, in the order of their first mention, so the result depends neither on
 partitions nor on the order of rows.  Numbers come from row_number over distinct
 keys only.  Pseudonym names come from a pool in the order of a keyed hash, matched
 by rank with the names they stand for, so that equal components have equal
-pseudonyms and different ones different ones.
+pseudonyms and different ones different ones, over all runs on one mapping table.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lookup
 from ..functions import text as T
+from ..sources.tables import kept
 
 PREFIX = {"PERSON": "PER", "LOCATION": "LOC", "ORG": "ORG"}
 FALLBACK = {"PERSON": "Person", "LOCATION": "Location", "ORG": "Org"}
@@ -46,7 +47,7 @@ def counters(mappings: DataFrame, table: dict[str, str] = PREFIX) -> DataFrame:
     return found.groupBy(back.alias("entity_type")).agg(F.max("n.number").alias("base"))
 
 
-def neutral_ids(rows: DataFrame, mappings: DataFrame | None = None) -> DataFrame:
+def neutral_ids(rows: DataFrame, mappings: DataFrame | None = None, labels: dict[str, str] = PREFIX) -> DataFrame:
     """Each mention with its `pseudonym`, and `is_new` where the mention is the first of a new mapping.
 
     rows: doc_id, doc_ord, span_ord, text, entity_type. A person's single word takes, in this order: a mapping of that
@@ -68,9 +69,9 @@ def neutral_ids(rows: DataFrame, mappings: DataFrame | None = None) -> DataFrame
     parts = whole.select("key", "at", F.explode(F.array(F.struct(F.lit(0).alias("role"), F.col("first").alias("part")), F.struct(F.lit(1).alias("role"), F.col("last").alias("part")))).alias("p"))
     parts = parts.select(F.col("key").alias("bearer"), F.col("at").alias("b_at"), "p.role", F.col("p.part").alias("part"))
     if mappings is not None:
-        mapped = mappings.where("entity_type = 'PERSON' AND last_name IS NOT NULL")
+        mapped = mappings.where("entity_type = 'PERSON' AND last_name IS NOT NULL AND pseudonym_first IS NOT NULL")
         old_parts = mapped.select(F.explode(F.array(F.struct(F.lit(0).alias("role"), F.col("first_name").alias("part"), F.col("pseudonym_first").alias("given")), F.struct(F.lit(1).alias("role"), F.col("last_name").alias("part"), F.col("pseudonym_last").alias("given")))).alias("p"))
-        old_parts = old_parts.groupBy("p.part").agg(F.min_by("p.given", F.struct("p.role", "p.given")).alias("given"))
+        old_parts = old_parts.where("p.given IS NOT NULL").groupBy("p.part").agg(F.min_by("p.given", F.struct("p.role", "p.given")).alias("given"))
     words = new.where(single).groupBy("doc_ord", "key").agg(F.min("span_ord").alias("span_ord"))
     words = words.withColumn("w_at", at)
     near = words.join(parts, words["key"] == parts["part"])
@@ -95,7 +96,7 @@ def neutral_ids(rows: DataFrame, mappings: DataFrame | None = None) -> DataFrame
     else:
         ids = ids.withColumn("base", F.lit(0))
     number = F.col("n") + F.coalesce("base", F.lit(0))
-    ids = ids.select("key", F.format_string("%s-%03d", _label(PREFIX, F.col("entity_type")), number).alias("id"), F.col("at").alias("id_at"))
+    ids = ids.select("key", F.format_string("%s-%03d", _label(labels, F.col("entity_type")), number).alias("id"), F.col("at").alias("id_at"))
     tail = lambda role: F.when(role == 0, "-P").otherwise("-N")
     bearer = ids.select(F.col("key").alias("_b"), F.col("id").alias("_bid"))
     made = made.withColumn("_b", F.col("known.bearer")).join(bearer, "_b", "left")
@@ -148,13 +149,23 @@ def new_mappings(assigned: DataFrame, theme: str = "neutral_id") -> DataFrame:
 # -- names from a library
 
 
-def _ranked(rows: DataFrame, value: str, secret: str, *by: str) -> DataFrame:
-    order = F.sha2(F.concat_ws("|", F.lit(secret), value), 256)
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(order, value) if by else Window.orderBy(order, value)))
+def _ranked(rows: DataFrame, value: str, secret: str) -> DataFrame:
+    """rows with _n, the rank of a value by its keyed hash.
+
+    The hash's first digits deal values into ranges in that very order, so each range is sorted apart, and only the
+    ranges' counts, a fixed number of them, are added up in one place.
+    """
+    rows = rows.withColumn("_h", F.sha2(F.concat_ws("|", F.lit(secret), value), 256)).withColumn("_range", F.substring("_h", 1, 3))
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy("_h", value))
+    rows = rows.withColumn("_own", own).join(F.broadcast(counts), "_range")  # 4,096 ranges
+    return rows.withColumn("_n", F.col("_own") + F.col("_before")).drop("_h", "_range", "_own", "_before")
 
 
 def _unused(pool: DataFrame, kind: str, theme: str, used: DataFrame) -> DataFrame:
-    rows = pool.where((F.col("kind") == kind) & (F.col("theme") == theme)).select("category", "value").dropDuplicates(["value"])
+    rows = pool.where((F.col("kind") == kind) & (F.col("theme") == theme)).groupBy("value").agg(F.min_by("category", "ord").alias("category"))
     return rows.join(used.select(F.col("used").alias("value")).distinct(), "value", "left_anti")
 
 
@@ -166,50 +177,131 @@ def fallback_names(rows: DataFrame, entity_type: str, used: DataFrame) -> DataFr
     return ranked.join(F.broadcast(base)).withColumn("pseudonym", F.format_string(label + "-%03d", F.col("base") + F.col("_n"))).drop("_n", "base")
 
 
-def matched(names: DataFrame, pool: DataFrame, secret: str, entity_type: str, used: DataFrame, strict: bool = False) -> DataFrame:
-    """value, pseudonym: each distinct name with an unused one of the pool (category, value), by rank; beyond the pool, fallback names."""
-    ranked = _ranked(names.select("value").distinct(), "value", secret + "/real").select("value", "_n")
+def matched(names: DataFrame, pool: DataFrame, secret: str) -> DataFrame:
+    """value, pseudonym: each distinct name with one of the pool (value), by rank; null beyond the pool."""
+    ranked = _ranked(names.select("value").distinct(), "value", secret + "/real")
     free = _ranked(pool.select("value").distinct(), "value", secret).select(F.col("value").alias("pseudonym"), "_n")
-    out = ranked.join(free, "_n", "left")
-    if strict and out.where("pseudonym IS NULL").limit(1).count():
+    return ranked.join(free, "_n", "left").select("value", "pseudonym")
+
+
+def _with_fallback(rows: DataFrame, entity_type: str, used: DataFrame, secret: str, strict: bool) -> DataFrame:
+    """rows(role, value, pseudonym) with numbered names where the pool had none: one counter a type, after the largest number in use."""
+    label = FALLBACK[entity_type]
+    rows = kept(rows)
+    none = rows.where("pseudonym IS NULL").withColumn("_v", F.concat_ws("|", "role", "value"))
+    if strict and none.limit(1).count():
         raise ValueError(f"the library has too few names for {entity_type}")
-    rest = fallback_names(out.where("pseudonym IS NULL").select("value"), entity_type, used)
-    return out.where("pseudonym IS NOT NULL").select("value", "pseudonym").unionByName(rest.select("value", "pseudonym"))
+    base = used.select(T.numbered("used", (label,))["number"].alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("base"))
+    none = _ranked(none, "_v", secret + "/rest").join(F.broadcast(base))  # one row
+    none = none.select("role", "value", F.format_string(label + "-%03d", F.col("base") + F.col("_n")).alias("pseudonym"))
+    return rows.where("pseudonym IS NOT NULL").select("role", "value", "pseudonym").unionByName(none)
+
 
+def _parts_given(mappings: DataFrame, real: str, made: str) -> DataFrame:
+    """value, given: pseudonyms that stored people's parts have; a number for a whole name is none of a part."""
+    rows = mappings.where(f"entity_type = 'PERSON' AND {real} IS NOT NULL AND {made} IS NOT NULL AND pseudonym_first IS NOT NULL")
+    return rows.groupBy(F.col(real).alias("value")).agg(F.min(made).alias("given"))
 
-def library_names(rows: DataFrame, pool: DataFrame, theme: str, secret: str, genders: DataFrame, strict: bool = False) -> DataFrame:
-    """key, entity_type, pseudonym_first, pseudonym_last, pseudonym_full for the distinct keys of mentions.
 
-    First names are matched within their gender's pool, unknown and neutral ones with what is left over. Lists of real
-    names and of pool names are sorted as a whole: both are dictionaries, not data.
+def _people(own: DataFrame, pool: DataFrame, theme: str, secret: str, genders: DataFrame, mappings: DataFrame, strict: bool) -> DataFrame:
+    """id, key, pseudonym_first, pseudonym_last and pseudonym_full of new people (id, key, first, last, at).
+
+    A part that a stored person has keeps its pseudonym; the others are matched with what no stored person has, first
+    names within their gender's pool, unknown and neutral ones with what is left over. A single word is a first name
+    and gets a last name of its own.
     """
-    kinds = keys_of(mentions(rows).where("key <> ''"))
-    person = kinds.where("entity_type = 'PERSON'")
-    none = rows.sparkSession.createDataFrame([], "used string")
-    firsts = person.where("first IS NOT NULL").select(F.col("first").alias("value")).distinct()
+    taken = lambda column: mappings.select(F.col(column).alias("used")).where("used IS NOT NULL")
+    alone = F.concat(F.lit("\u0000"), F.col("first"))
+    own = own.withColumn("_last", F.coalesce("last", alone))
+    old_first, old_last = _parts_given(mappings, "first_name", "pseudonym_first"), _parts_given(mappings, "last_name", "pseudonym_last")
+    firsts = kept(own.select(F.col("first").alias("value")).distinct().join(old_first, "value", "left_anti"))
     firsts = lookup.with_gender(firsts.withColumn("_w", F.get(T.words(F.col("value")), F.lit(0))), "_w", genders).drop("_w")
-    free = _unused(pool, "first", theme, none)
-    parts = []
-    for gender in ("male", "female"):
-        own = free.where(F.col("category") == gender)
-        ranked = _ranked(firsts.where(F.col("gender") == gender), "value", secret + "/real")
-        parts.append(ranked.select("value", "_n").join(_ranked(own, "value", secret).select(F.col("value").alias("pseudonym"), "_n"), "_n").select("value", "pseudonym"))
-    named = parts[0].unionByName(parts[1])
+    free = _unused(pool, "first", theme, taken("pseudonym_first"))
+    parts = [matched(firsts.where(F.col("gender") == g), free.where(F.col("category") == g), f"{secret}/{g}").where("pseudonym IS NOT NULL") for g in ("male", "female")]
+    named = kept(parts[0].unionByName(parts[1]))
     rest = firsts.join(named.select("value"), "value", "left_anti")
     left = free.join(named.select(F.col("pseudonym").alias("value")), "value", "left_anti")
-    named = named.unionByName(matched(rest, left, secret, "PERSON", none, strict))
-    lasts = matched(person.where("last IS NOT NULL").select(F.col("last").alias("value")), _unused(pool, "last", theme, none), secret, "PERSON", none, strict)
-    people = person.join(named.select(F.col("value").alias("first"), F.col("pseudonym").alias("pseudonym_first")), "first", "left")
-    people = people.join(lasts.select(F.col("value").alias("last"), F.col("pseudonym").alias("pseudonym_last")), "last", "left")
+    named = named.unionByName(matched(rest, left, secret))
+    lasts = own.select(F.col("_last").alias("value")).distinct().join(old_last, "value", "left_anti")
+    lasts = matched(lasts, _unused(pool, "last", theme, taken("pseudonym_last")), secret)
+    both = named.select(F.lit(0).alias("role"), "value", "pseudonym").unionByName(lasts.select(F.lit(1).alias("role"), "value", "pseudonym"))
+    used = taken("pseudonym_first").unionAll(taken("pseudonym_last")).unionAll(taken("pseudonym_full"))
+    both = kept(_with_fallback(both, "PERSON", used, secret, strict))
+    part = lambda role, old, name, out: both.where(F.col("role") == role).select(F.col("value").alias(name), F.col("pseudonym").alias(out)).unionByName(old.select(F.col("value").alias(name), F.col("given").alias(out)))
+    people = own.join(part(0, old_first, "first", "pseudonym_first"), "first").join(part(1, old_last, "_last", "pseudonym_last"), "_last")
     people = people.withColumn("pseudonym_full", F.concat_ws(" ", "pseudonym_first", "pseudonym_last"))
-    columns = ["key", "entity_type", "pseudonym_first", "pseudonym_last", "pseudonym_full"]
-    out = people.select(*columns)
+    # spellings of one name have the same parts; the first keeps them, another gets a number, so no full name stands for two keys
+    order = Window.partitionBy("pseudonym_full").orderBy("at", "key")
+    stored = taken("pseudonym_full").distinct().select(F.col("used").alias("pseudonym_full"), F.lit(1).alias("_old"))
+    people = people.withColumn("_r", F.row_number().over(order)).join(stored, "pseudonym_full", "left")
+    again = (F.col("_r") > 1) | F.col("_old").isNotNull()
+    numbers = people.where(again).select(F.lit(2).alias("role"), F.col("key").alias("value"), F.lit(None).cast("string").alias("pseudonym"))
+    numbers = _with_fallback(numbers, "PERSON", used.unionAll(both.select(F.col("pseudonym").alias("used"))), secret, False)
+    people = people.join(numbers.select(F.col("value").alias("key"), F.col("pseudonym").alias("_number")), "key", "left")
+    return people.select(
+        "id",
+        "key",
+        F.when(F.col("_number").isNull(), F.col("pseudonym_first")).alias("pseudonym_first"),
+        F.coalesce("_number", "pseudonym_last").alias("pseudonym_last"),
+        F.coalesce("_number", "pseudonym_full").alias("pseudonym_full"),
+    )
+
+
+STORED = "entity_type string, first_name string, last_name string, full_name string, pseudonym_first string, pseudonym_last string, pseudonym_full string"
+#: Numbers that stand for new keys until names are drawn for them.
+DRAFT = {"PERSON": "~PER", "LOCATION": "~LOC", "ORG": "~ORG"}
+
+
+def library_ids(rows: DataFrame, pool: DataFrame, theme: str, secret: str, genders: DataFrame, mappings: DataFrame | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Mentions with `pseudonym` from a library, and the new mapping rows.
+
+    Who is meant is decided as for numbers, by neutral_ids(): a stored name keeps its pseudonym, a single word takes the
+    part of its bearer, in this run or in an earlier one. Then new keys get names that no stored mapping has.
+    """
+    if mappings is None:
+        mappings = rows.sparkSession.createDataFrame([], STORED)
+    found = kept(neutral_ids(rows, mappings, DRAFT))
+    at = F.struct("doc_ord", "span_ord").alias("at")
+    new = found.where("is_new").select("key", "entity_type", "first", "last", F.col("pseudonym").alias("id"), at)
+    own = new.where("id RLIKE '^~[A-Z]+-[0-9]+$'")
+    names = kept(_people(own.where("entity_type = 'PERSON'"), pool, theme, secret, genders, mappings, strict))
     for entity_type, kind in (("LOCATION", "location"), ("ORG", "organization")):
-        own = kinds.where(F.col("entity_type") == entity_type)
-        found = matched(own.select(F.col("key").alias("value")), _unused(pool, kind, theme, none), secret, entity_type, none)
-        found = found.select(F.col("value").alias("key"), F.lit(entity_type).alias("entity_type"), F.lit(None).cast("string").alias("pseudonym_first"), F.lit(None).cast("string").alias("pseudonym_last"), F.col("pseudonym").alias("pseudonym_full"))
-        out = out.unionByName(found)
-    return out
+        used = mappings.where(F.col("entity_type") == entity_type).select(F.col("pseudonym_full").alias("used"))
+        mine = own.where(F.col("entity_type") == entity_type)
+        drawn = matched(mine.select(F.col("key").alias("value")), _unused(pool, kind, theme, used), secret)
+        drawn = _with_fallback(drawn.select(F.lit(0).alias("role"), "value", "pseudonym"), entity_type, used, secret, False)
+        none = F.lit(None).cast("string")
+        drawn = drawn.select(F.col("value").alias("key"), none.alias("pseudonym_first"), none.alias("pseudonym_last"), F.col("pseudonym").alias("pseudonym_full"))
+        names = names.unionByName(mine.select("id", "key").join(drawn, "key"))
+    names = kept(names)
+    # a draft number is a new key's name, or with a tail one of its parts
+    role = lambda tail, name: names.select(F.concat("id", F.lit(tail)).alias("_id"), F.col(name).alias("_name"))
+    by_id = role("", "pseudonym_full").unionAll(role("-P", "pseudonym_first")).unionAll(role("-N", "pseudonym_last"))
+    out = found.join(by_id, found["pseudonym"] == by_id["_id"], "left")
+    out = kept(out.withColumn("_draft", F.col("pseudonym")).withColumn("pseudonym", F.coalesce("_name", F.when(~F.col("pseudonym").startswith("~"), F.col("pseudonym")))).drop("_id", "_name"))
+    rows = out.where("is_new").select("key", "entity_type", "first", "last", "pseudonym", "_draft")
+    rows = rows.join(names.select("key", "pseudonym_first", "pseudonym_last", F.lit(True).alias("_own")), "key", "left")
+    person = F.col("entity_type") == "PERSON"
+    # a bearer's part is the word's first or last name, as it is the bearer's
+    shared = lambda tail, own: F.when(F.col("_own").isNotNull(), F.col(own)).when(F.col("_draft").endswith(tail), F.col("pseudonym"))
+    new = rows.select(
+        F.substring(F.sha2("key", 256), 1, 32).alias("id"),
+        "entity_type",
+        F.when(person, F.col("first")).alias("first_name"),
+        F.when(person, F.col("last")).alias("last_name"),
+        F.col("key").alias("full_name"),
+        shared("-P", "pseudonym_first").alias("pseudonym_first"),
+        shared("-N", "pseudonym_last").alias("pseudonym_last"),
+        F.col("pseudonym").alias("pseudonym_full"),
+        F.lit(theme).alias("theme"),
+    )
+    return out.drop("_draft"), new
+
+
+def library_names(rows: DataFrame, pool: DataFrame, theme: str, secret: str, genders: DataFrame, strict: bool = False, mappings: DataFrame | None = None) -> DataFrame:
+    """key, entity_type, pseudonym_first, pseudonym_last, pseudonym_full of the new mappings that mentions make."""
+    _, new = library_ids(rows, pool, theme, secret, genders, mappings, strict)
+    return new.select(F.col("full_name").alias("key"), "entity_type", "pseudonym_first", "pseudonym_last", "pseudonym_full")
 
 
 def exhaustion(mappings: DataFrame, pool: DataFrame, theme: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import time
 import uuid
 
@@ -60,7 +61,8 @@ class ParquetStore:
     """Mappings, encrypted if a passphrase is given, and operations as Parquet in a folder.
 
     A canary tells a wrong passphrase when the folder is opened. Appends add files; a rewrite (deletion, import)
-    writes a new version and points to it, so a reader sees the old table or the new one.
+    writes a new version and points to it, so a reader sees the old table or the new one; then the old one is deleted,
+    so that what was erased is gone.
     """
 
     spark: SparkSession
@@ -90,10 +92,16 @@ class ParquetStore:
         return "\n".join(r.value for r in self.spark.read.text(f"{self.folder}/{name}").collect()) if fs.exists(path) else None
 
     def _put(self, name: str, text: str) -> None:
+        """Write beside the file and rename over it: a crash leaves the old file or the new one, whole."""
         fs, path = self._fs(name)
-        out = fs.create(path, True)
+        _, beside = self._fs(f"_{uuid.uuid4().hex}-{name}")
+        out = fs.create(beside, True)
         out.write(bytearray(text.encode()))
         out.close()
+        jvm = self.spark._jvm
+        over = jvm.java.lang.reflect.Array.newInstance(jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
+        over[0] = getattr(jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri() if path.toUri().getScheme() else jvm.java.net.URI("file:///"), self.spark._jsc.hadoopConfiguration()).rename(beside, path, over)
 
     def _mapping_path(self) -> str:
         return f"{self.folder}/mappings-{json.loads(self._text('key.json'))['version']}"
@@ -106,18 +114,22 @@ class ParquetStore:
         rows = self._read(self._mapping_path(), MAPPINGS)
         return store.decrypted(rows, self.keys) if self.keys else rows
 
-    def _write(self, rows: DataFrame, path: str) -> None:
+    def _write(self, rows: DataFrame, path: str, mode: str = "append") -> None:
         rows = rows.select(*[F.col(c).cast(t) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in (x.split(" ") for x in MAPPINGS.split(", "))])
-        (store.encrypted(rows, self.keys) if self.keys else rows).write.mode("append").parquet(path)
+        (store.encrypted(rows, self.keys) if self.keys else rows).write.mode(mode).parquet(path)
 
     def add(self, new: DataFrame) -> None:
         self._write(new, self._mapping_path())
 
     def rewrite(self, rows: DataFrame) -> None:
         meta = json.loads(self._text("key.json"))
+        old = meta["version"]
         meta["version"] += 1
-        self._write(rows, f"{self.folder}/mappings-{meta['version']}")
+        # what a failed attempt may have left there is replaced
+        self._write(rows, f"{self.folder}/mappings-{meta['version']}", "overwrite")
         self._put("key.json", json.dumps(meta))
+        fs, path = self._fs(f"mappings-{old}")
+        fs.delete(path, True)
 
     def operations(self) -> DataFrame:
         return self._read(f"{self.folder}/operations", OPERATIONS)
@@ -144,24 +156,12 @@ def neutral(mentions: DataFrame, mappings: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def themed(library: dict, secret: str) -> Assigner:
-    """Names of a library as pseudonyms; stored names stay as they are."""
+    """Names of a library as pseudonyms; stored names, and the parts of stored people, stay as they are."""
 
     def run(mentions: DataFrame, mappings: DataFrame) -> tuple[DataFrame, DataFrame]:
         spark = mentions.sparkSession
         pool = lookup.pool(spark, lookup.pool_rows(library))
-        pool = pool.join(mappings.select(F.col("pseudonym_full").alias("value")), "value", "left_anti")
-        named = kept(assign.library_names(mentions, pool, library["theme"], secret, lookup.genders(spark)))
-        rows = assign.mentions(mentions).where("key <> ''")
-        old = mappings.select(F.col("full_name").alias("key"), F.col("pseudonym_full").alias("_old"))
-        fresh = named.join(old, "key", "left_anti")
-        names = fresh.select("key", F.col("pseudonym_full").alias("_new"))
-        found = rows.join(old, "key", "left").join(names, "key", "left").withColumn("pseudonym", F.coalesce("_old", "_new"))
-        parts = T.parse_name("key")
-        new = fresh.withColumn("_p", parts).select(
-            F.substring(F.sha2("key", 256), 1, 32).alias("id"), "entity_type", F.when(F.col("entity_type") == "PERSON", F.col("_p.first")).alias("first_name"),
-            F.when(F.col("entity_type") == "PERSON", F.col("_p.last")).alias("last_name"), F.col("key").alias("full_name"), "pseudonym_first", "pseudonym_last", "pseudonym_full", F.lit(library["theme"]).alias("theme"),
-        )
-        return found, new
+        return assign.library_ids(mentions, pool, library["theme"], secret, lookup.genders(spark), kept(mappings))
 
     return run
 
@@ -201,7 +201,11 @@ def process_folder(spark: SparkSession, source: str, target: str, keep: Store, r
     """Process all documents under a folder into another; path, output, n_replaced and error of each. A bad file stops no other."""
     docs = kept(files.with_doc_id(files.read_documents(spark, source, recursive)))
     out = process(docs.where("error IS NULL").select("doc_id", "text"), keep, **more)
-    named = docs.select("doc_id", "path", "error", F.regexp_extract(T.output_path("path"), "[^/]+$", 0).alias("name"))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(source)
+    base = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toUri().getPath().rstrip("/") + "/"
+    # the path below the folder, so that equal names in different folders stay apart
+    below = F.regexp_replace(F.regexp_replace(T.output_path("path"), "^[a-z0-9]+:/+", "/"), "^" + re.escape(base), "")
+    named = docs.select("doc_id", "path", "error", below.alias("name"))
     files.write_text(out.join(named, "doc_id").select("name", "text"), target)
     return named.join(out.select("doc_id", "n_replaced"), "doc_id", "left").select("path", F.when(F.col("error").isNull(), F.col("name")).alias("output"), "n_replaced", "error")
 

@@ -189,14 +189,13 @@ PARSERS: dict[str, Callable[[bytes], str]] = {".csv": text_of_csv, ".docx": text
 
 
 def write_text(docs: DataFrame, folder: str) -> None:
-    """A folder a document under folder, with its text in one file, through Spark's file system.
+    """One file a document (name, text) under folder, in folders part=<name>, through Spark's file system.
 
-    A text that doesn't end its last line gets that line end.
+    A name may be a path; Spark escapes what a folder's name can't hold, so different names have different files. A
+    text that doesn't end its last line gets that line end.
     """
     (
-        docs.select("name", F.regexp_replace("text", "\n$", "").alias("value"))
-        .withColumn("part", F.regexp_replace("name", "[^A-Za-z0-9._-]", "_"))
-        .select("part", "value")
+        docs.select(F.col("name").alias("part"), F.regexp_replace("text", "\n$", "").alias("value"))
         .repartition("part")
         .write.mode("overwrite")
         .partitionBy("part")
