@@ -10,6 +10,8 @@ All keys between two points meet the same shards in the same order, so the walk
 needs only the number of rows in each arc: shards * VNODES counts, whatever the
 number of rows.  Rows are then ranked inside their arc, which gives the shard and
 a gapless slot at once, with one shuffle of ids and sizes and none of the texts.
+Where columns are asked for, whole rows are written once and meet their places in one
+join by row number, whose smaller side has the places only.
 
 Nulls and edge cases: a null doc_id is placed by its text's checksum; a null text
 has no bytes and checksum 0; equal rows are interchangeable and take slots of
@@ -74,35 +76,45 @@ def walk(counts: dict[int, int], ring: list[tuple[int, int]], shards: int) -> li
 
 def placed(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, columns: list[str] = (), apart: bool = False) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row, then those of its columns that are asked for."""
-    spark, ring = docs.sparkSession, points(shards, vnodes)
+    extra = [c for c in columns if c not in ("doc_id", "text")]
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in ["doc_id", "text", *extra]]).alias("_own"), F.monotonically_increasing_id().alias("_row"))
+    if columns:
+        whole = stored(whole)  # numbers and rows must stay together: places are found without the rows, which join them at the end
+    text = F.col("_own.text")
+    crc = F.coalesce(F.crc32(text), F.lit(0)).cast("long")
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_BYTES
+    key = F.coalesce(F.col("_own.doc_id").cast("string"), F.concat(F.lit("crc/"), crc.cast("string")))
+    rows = whole.select(F.col("_own.doc_id").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), key.alias("key"), F.xxhash64(text).alias("same"), "_row")
     if apart:
-        docs = docs.select("doc_id", "text", F.struct(*columns).alias("_own")) if columns else docs.select("doc_id", "text", F.lit(None).alias("_own"))
         # rows of one id and text are few: repetitions; without an id they count by text
-        same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-        docs = stored(docs.withColumn("_copy", F.row_number().over(same) - 1))
-    crc = F.coalesce(F.crc32("text"), F.lit(0)).cast("long")
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("crc/"), crc.cast("string")))
-    if apart:
-        key = F.when(F.col("_copy") > 0, F.concat(key, F.lit("/"), F.col("_copy").cast("string"))).otherwise(key)
-    at = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
+        copy = F.row_number().over(Window.partitionBy("doc_id", "same").orderBy("_row")) - 1
+        rows = rows.withColumn("copy", copy)
+        rows = rows.withColumn("key", F.when(F.col("copy") > 0, F.concat("key", F.lit("/"), F.col("copy").cast("string"))).otherwise(F.col("key")))
+    if not columns:
+        rows = rows.drop("_row")
+    rows = _ranked(rows.drop("same", "copy"), points(shards, vnodes), shards)
+    if not columns:
+        return rows
+    own = [F.col("_own")[c].alias(c) for c in columns if c not in ("doc_id", "size", "text_crc32", "shard", "slot")]
+    return rows.hint("shuffle_hash").join(whole, "_row").select("doc_id", "size", "text_crc32", "shard", "slot", *own)
+
+
+def _ranked(rows: DataFrame, ring: list[tuple[int, int]], shards: int) -> DataFrame:
+    """rows(key, doc_id, size, text_crc32, ...) with shard and slot in place of key."""
     # the first point at or after the key, past the last one the first
     ends = F.array(*[F.lit(p) for p, _ in ring])
-    arc = F.pmod(_first_at_least(ends, at, len(ring)), F.lit(len(ring)))
-    rest = F.lit(None) if not columns else F.col("_own") if apart else F.struct(*columns)
-    rows = docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), at.alias("at"), rest.alias("_rest"))
-    rows = rows.withColumn("_ends", ends).withColumn("arc", arc).drop("_ends")
-    keys = docs.select(at.alias("at")).withColumn("_ends", ends).withColumn("arc", arc).groupBy("arc").count()
-    counts = {r["arc"]: r["count"] for r in keys.collect()}  # a row an arc at most
+    at = F.conv(F.substring(F.md5("key"), 1, 8), 16, 10).cast("long")
+    arc = F.pmod(_first_at_least(ends, F.col("at"), len(ring)), F.lit(len(ring)))
+    rows = rows.withColumn("at", at).withColumn("_ends", ends).withColumn("arc", arc).drop("_ends", "key")
+    counts = {r["arc"]: r["count"] for r in rows.groupBy("arc").count().collect()}  # a row an arc at most
     pieces = walk(counts, ring, shards)
     schema = "array<struct<arc int, low long, high long, shard int, base long>>"
-    table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(pieces)), schema)))
+    table = rows.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(pieces)), schema)))
     rank = F.row_number().over(Window.partitionBy("arc").orderBy("at", "doc_id", "text_crc32", "size")) - 1
     rows = rows.withColumn("rank", rank.cast("long"))
     inside = (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
-    rows = rows.join(F.broadcast(table), "arc").where(inside)
-    own = [F.col("_rest")[c].alias(c) for c in columns if c not in ("size", "text_crc32", "shard", "slot")]
-    return rows.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank") - F.col("low")).alias("slot"), *own)
+    rows = rows.join(F.broadcast(table), "arc").where(inside).withColumn("slot", F.col("base") + F.col("rank") - F.col("low"))
+    return rows.drop("arc", "at", "rank", "low", "high", "base")
 
 
 def _first_at_least(ends, at, n: int):
