@@ -182,15 +182,14 @@ def test_language_odd_rows(spark):
     assert language.classify(train.limit(0), train).count() == 0
 
 
-def test_no_language_is_dropped(spark, monkeypatch):
+def test_no_language_is_dropped(spark):
     """More languages than a block, and one that has long texts only."""
-    monkeypatch.setattr(language, "SAMPLE_BYTES", 400)
     letters = "abcdefghijklmnopqrstuvwxyz"
     lang = lambda k: f"l{k:02d}"
     word = lambda k: letters[k % 26] + letters[k // 26] + "q"
     rows = [(k * 4 + i, " ".join([word(k)] * (200 if k == 69 else 9 + i)), lang(k), "s") for k in range(70) for i in range(4 if k < 60 else 2)]
     docs = docs_of(spark, rows)
-    out = {r.doc_id: r.lang_pred for r in language.classify(docs, docs).collect()}
+    out = {r.doc_id: r.lang_pred for r in language.classify(docs, docs, sample_bytes=400).collect()}
     assert out == {r[0]: r[2] for r in rows}
 
 
@@ -230,6 +229,17 @@ def test_machine_learns_a_pair(spark):
     assert sum((out[d] >= 0.5) == bool(y) for d, y in unseen) >= 0.9 * len(unseen)
 
 
+def test_samples_are_what_the_caller_asks_for(spark):
+    rows, labels = _toxic_rows(60)
+    known = spark.createDataFrame(labels, "doc_id long, label int")
+    docs = docs_of(spark, rows)
+    of = lambda *a: sorted((r.label for r in toxicity.sample(docs, known, *a).collect()))
+    assert of(5) == [0] * 5 + [1] * 5 and len(of(5, 10)) == 0 and len(of()) == len(labels) == len(of(600_000))
+    langs = docs_of(spark, [(k, "zzz" * (k + 1), "l", "s") for k in range(9)])
+    words = language._sample(langs, 4).collect()
+    assert sum(r.n for r in words) == 4 and {len(r.word) for r in language._sample(langs, 9, 3).collect()} == {3}
+
+
 def test_machine_margin_is_the_sum_over_pairs():
     rng = np.random.default_rng(1)
     m = toxicity.Machine(0.3, np.zeros(1), rng.random(6), rng.random((6, 3)))

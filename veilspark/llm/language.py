@@ -7,9 +7,9 @@ word.  A text's score is the sum of its words' log likelihoods, and the language
 with the largest wins, with its posterior under equal priors.
 
 Piece probabilities are learned by a few rounds of expectation maximisation on the
-words of a bounded sample of every language (SAMPLE documents each, those of the
-smallest hashed ids, of texts up to SAMPLE_BYTES; where these are fewer, the first
-SAMPLE_BYTES characters of longer ones).  No language is left out: they are learned
+words of a bounded sample of every language (`sample` documents each, those of the
+smallest hashed ids, of texts up to `sample_bytes`; where these are fewer, the first
+`sample_bytes` characters of longer ones).  No language is left out: they are learned
 and scored in blocks of BLOCK.  The vocabulary is never trained; its file is a
 parameter, read on the driver.
 
@@ -173,14 +173,14 @@ def _by_length(data: np.ndarray, start: np.ndarray, end: np.ndarray):
                 yield few, data[start[few][:, None] + np.arange(size)]
 
 
-def _sample(docs: DataFrame) -> DataFrame:
+def _sample(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """lang, word and n of the sampled documents."""
-    known = docs.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("_long", F.octet_length("text") > SAMPLE_BYTES)
+    known = docs.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("_long", F.octet_length("text") > sample_bytes)
     order = Window.partitionBy("lang").orderBy("_long", F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("lang", "doc_id", "_long").withColumn("_r", F.row_number().over(order)).where(f"_r <= {SAMPLE}")
+    ids = known.select("lang", "doc_id", "_long").withColumn("_r", F.row_number().over(order)).where(f"_r <= {sample}")
     ids = stored(ids.drop("_r").distinct())
     near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    text = F.when(F.col("_long"), F.substring("text", 1, SAMPLE_BYTES)).otherwise(F.col("text"))
+    text = F.when(F.col("_long"), F.substring("text", 1, sample_bytes)).otherwise(F.col("text"))
     rows = known.join(near, ["lang", "doc_id", "_long"], "left_semi").select("lang", text.alias("text"))
 
     def counted(batches):
@@ -307,6 +307,9 @@ def learned(words: DataFrame, keys: np.ndarray) -> Table | None:
     return replace(parts[0], chance=np.concatenate([p.chance for p in parts], 1), names=names)
 
 
-def classify(docs: DataFrame, train: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Learn from train (doc_id, text, lang) and name the language of every document of docs."""
-    return identify(docs, learned(_sample(train), pieces(vocabulary)))
+def classify(docs: DataFrame, train: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """Learn from train (doc_id, text, lang) and name the language of every document of docs.
+
+    sample documents a language are learned from, of up to sample_bytes each.
+    """
+    return identify(docs, learned(_sample(train, sample, sample_bytes), pieces(vocabulary)))

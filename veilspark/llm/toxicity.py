@@ -5,8 +5,8 @@ hashed into 2 ** BITS buckets, each with how often it occurs (LEVELS).  The ones
 most associated with the label are kept; the score is sigmoid(w0 + sum w_i + sum over pairs <v_i, v_j>), so that a pair of terms
 (an insult with a group's name) can weigh more, or less, than the two alone.
 
-Learning uses a bounded sample of labelled rows (SAMPLE of each label, those of the
-smallest hashed ids, of texts up to SAMPLE_BYTES); every document is scored, whole.
+Learning uses a bounded sample of labelled rows (`per_label` of each label, those of the
+smallest hashed ids, of texts up to `sample_bytes`); every document is scored, whole.
 
 Nulls and edge cases: null and empty texts have no terms and score sigmoid(w0);
 labels other than 0 and 1, and null ids, are not learned from; without rows of both
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
+from .common import BROADCAST_IDS
 
 BITS, FEATURES, FACTORS = 20, 2048, 8
 HEADS = [0, 4, 5, 6, 7]
@@ -75,11 +76,11 @@ def _leveled(rows: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return row[order], term[order]
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """label and the distinct buckets of each sampled document."""
     marks = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").select("doc_id", "label").distinct()
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    marks = marks.withColumn("_r", F.row_number().over(order)).where(f"_r <= {SAMPLE}").drop("_r")
+    marks = marks.withColumn("_r", F.row_number().over(order)).where(f"_r <= {per_label}").drop("_r")
 
     def terms(batches):
         for batch in batches:
@@ -90,9 +91,9 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 own = batch.column("label").slice(words.low, words.n_docs)
                 yield pa.RecordBatch.from_arrays([own, lists], ["label", "buckets"])
 
-    texts = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text")
-    # 2 * SAMPLE ids at most
-    rows = texts.join(F.broadcast(marks), "doc_id").select(F.col("label").cast("int").alias("label"), "text")
+    texts = docs.where(F.octet_length("text") <= sample_bytes).select("doc_id", "text")
+    near = F.broadcast(marks) if 2 * per_label <= BROADCAST_IDS else marks
+    rows = texts.join(near, "doc_id").select(F.col("label").cast("int").alias("label"), "text")
     return rows.mapInArrow(terms, "label int, buckets array<int>")
 
 
@@ -172,6 +173,9 @@ def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, score double")
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Learn from labels (doc_id, label) and score every document."""
-    return score(docs, learn(sample(docs, labels).toArrow()))
+def classify(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """Learn from labels (doc_id, label) and score every document.
+
+    per_label documents of each label are learned from, of up to sample_bytes each.
+    """
+    return score(docs, learn(sample(docs, labels, per_label, sample_bytes).toArrow()))
