@@ -3,6 +3,8 @@
 import pytest
 
 from veilspark.functions import lookup
+from veilspark.operators import spans
+from veilspark.operators import store as M
 from veilspark.plans import engine as X
 
 
@@ -84,3 +86,16 @@ def test_settings():
     assert found["theme"] == ("plain", "command line") and found["recursive"] == (False, "default")
     with pytest.raises(ValueError):
         X.settings(("file", {"passphrase": "x"}))
+
+
+def test_log_names_the_detector_and_steps_are_told(spark, folder):
+    keep, told = X.ParquetStore(spark, str(folder / "db2")), []
+    docs = spark.createDataFrame([(1, "Voir M. Luc Dubois.")], "doc_id long, text string")
+    X.process(docs, keep, notify=told.append)
+    row = keep.operations().collect()[0]
+    assert (row.model_name, row.model_version) == ("patterns", "1.0")
+    assert told == ["2 spans found", "mappings stored"]  # with the title and without
+    assert spans.detector_info(lambda d: d) == {"name": "<lambda>"}
+    assert {r.measure: r.n for r in M.consistency(keep.mappings(), keep.operations()).collect()} == {
+        "mappings": 1, "shared_pseudonyms": 0, "shared_names": 0, "operations": 1, "succeeded": 1, "failed": 0,
+    }

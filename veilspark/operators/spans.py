@@ -297,3 +297,11 @@ def all_detected(
     names = lookup.names(spark) if names is None else names
     places = lookup.places(spark) if places is None else places
     return detected(docs, ner, rules, engine, names, places, tokens)
+
+
+all_detected.info = {"name": "patterns", "version": "1.0", "language": "fr", "patterns": str(len(P.PATTERNS))}
+
+
+def detector_info(detector) -> dict[str, str]:
+    """What is known of a detector: its own `info`, or its name alone."""
+    return dict(getattr(detector, "info", None) or {"name": getattr(detector, "__name__", type(detector).__name__)})

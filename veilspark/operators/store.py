@@ -6,6 +6,8 @@ writes it where it belongs.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,6 +100,23 @@ def duplicates(mappings: DataFrame) -> DataFrame:
     return rows.groupBy("x.kind", "x.value").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def consistency(mappings: DataFrame, log: DataFrame) -> DataFrame:
+    """measure, n: size of the table, names and pseudonyms that several people have, and operations by outcome."""
+    people = mappings.where("entity_type = 'PERSON'")
+
+    twice = lambda column: people.groupBy(column).count().where("count > 1")
+    told = lambda df, measure: df.agg(F.lit(measure).alias("measure"), F.count("*").alias("n"))
+    sizes = [
+        (mappings, "mappings"),
+        (twice("pseudonym_full"), "shared_pseudonyms"),
+        (twice("full_name"), "shared_names"),
+        (log, "operations"),
+        (log.where("success"), "succeeded"),
+        (log.where("NOT success"), "failed"),
+    ]
+    return reduce(DataFrame.unionAll, [told(df, measure) for df, measure in sizes])
+
+
 # -- metadata
 
 

@@ -93,6 +93,25 @@ def m12_duplicates(mappings):
     return M.duplicates(mappings.sparkSession.sql(_TWICE.replace("FROM mappings", "FROM {t}"), t=mappings))
 
 
+_TWICE_TYPED = _TWICE.replace("full_name, ", "entity_type, full_name, ")
+
+
+@query(
+    "mappings",
+    "operations",
+    sql=f""", t AS ({_TWICE_TYPED}), p AS (SELECT * FROM t WHERE entity_type = 'PERSON')
+      SELECT 'mappings' AS measure, count(*) AS n FROM t
+      UNION ALL SELECT 'shared_pseudonyms', count(*) FROM (SELECT pseudonym_full FROM p GROUP BY 1 HAVING count(*) > 1)
+      UNION ALL SELECT 'shared_names', count(*) FROM (SELECT full_name FROM p GROUP BY 1 HAVING count(*) > 1)
+      UNION ALL SELECT 'operations', count(*) FROM operations
+      UNION ALL SELECT 'succeeded', count(*) FROM operations WHERE success
+      UNION ALL SELECT 'failed', count(*) FROM operations WHERE NOT success""",
+)
+def m12_consistency(mappings, log):
+    rows = mappings.sparkSession.sql(_TWICE_TYPED.replace("FROM mappings", "FROM {t}"), t=mappings)
+    return M.consistency(rows, log)
+
+
 @query("mappings", sql="SELECT id, full_name, entity_type, theme FROM mappings")
 def c1_encryption_round_trip(mappings):
     """Encrypted and decrypted again; ciphertexts depend on the keys and aren't shown."""

@@ -9,7 +9,7 @@ import time
 import uuid
 
 from dataclasses import dataclass, field
-from typing import Protocol
+from typing import Callable, Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +33,10 @@ OPERATIONS = (
 
 
 class Detector(Protocol):
-    """What finds spans: documents (doc_id, text) to doc_id, text, entity_type, start_pos, end_pos, confidence."""
+    """What finds spans: documents (doc_id, text) to doc_id, text, entity_type, start_pos, end_pos, confidence.
+
+    A detector may have `info`, a dict with its name and version, which the log keeps.
+    """
 
     def __call__(self, docs: DataFrame) -> DataFrame: ...
 
@@ -180,20 +183,34 @@ def preview(docs: DataFrame, detector: Detector = spans.all_detected, assigner:
 
 
 def process(
-    docs: DataFrame, keep: Store, detector: Detector = spans.all_detected, assigner: Assigner = neutral, types: list[str] = P.ENTITY_TYPES, theme: str = "neutral_id"
+    docs: DataFrame,
+    keep: Store,
+    detector: Detector = spans.all_detected,
+    assigner: Assigner = neutral,
+    types: list[str] = P.ENTITY_TYPES,
+    theme: str = "neutral_id",
+    notify: Callable[[str], None] | None = None,
 ) -> DataFrame:
-    """doc_id, text (rewritten) and n_replaced of docs(doc_id, text); new mappings and a log row go to the store."""
+    """doc_id, text (rewritten) and n_replaced of docs(doc_id, text); new mappings and a log row go to the store.
+
+    notify is called on the driver with a message after each step; messages have numbers, never names.
+    """
     began = time.time()
+    tell = notify or (lambda message: None)
     spark = docs.sparkSession
     found = kept(spans.only_types(detector(docs), list(types)))
+    n_found = found.count()
+    tell(f"{n_found} spans found")
     ids, new = assigner(found, keep.mappings())
     ids, new = kept(ids.select("doc_id", "span_ord", "pseudonym")), kept(new.withColumn("first_seen", F.current_timestamp()))
     rows = found.join(ids, ["doc_id", "span_ord"], "left")
     rows = rows.withColumn("replacement", F.concat(T.replacement_prefix("text", "entity_type"), "pseudonym"))
     out = kept(rewrite.rewritten(docs, rows))
     keep.add(store.saved(new.limit(0), new))
-    row = [(uuid.uuid4().hex, "PROCESS", theme, found.count(), time.time() - began, True)]
-    keep.log(spark.createDataFrame(row, "id string, operation_type string, theme_selected string, entity_count int, processing_time_seconds double, success boolean").withColumn("ts", F.current_timestamp()))
+    tell("mappings stored")
+    info = spans.detector_info(detector)
+    row = [(uuid.uuid4().hex, "PROCESS", info.get("name"), info.get("version"), theme, n_found, time.time() - began, True)]
+    keep.log(spark.createDataFrame(row, "id string, operation_type string, model_name string, model_version string, theme_selected string, entity_count int, processing_time_seconds double, success boolean").withColumn("ts", F.current_timestamp()))
     return out
 
 
