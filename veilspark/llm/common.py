@@ -29,14 +29,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df, written once to the shared folder as Parquet and read again: its lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def head_of_counts(counts: DataFrame, n: str, limit: int) -> int:
+    """The least power of two such that at most `limit` rows have a count n of at least that.
+
+    Those rows can be broadcast.  Of the rest none is hot: more than `limit` rows have at least half the count of any of them.
+    """
+    bits = counts.groupBy(F.length(F.bin(n)).alias("bits")).count().collect()  # 64 rows at most
+    least, total = 1 << max((r["bits"] for r in bits), default=0), 0
+    for r in sorted(bits, key=lambda r: -r["bits"]):
+        total += r["count"]
+        if total > limit:
+            break
+        least = 1 << (r["bits"] - 1)
+    return least
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files behind a stored() table that nothing reads any more."""
     spark = df.sparkSession
