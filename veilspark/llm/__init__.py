@@ -1,4 +1,4 @@
-"""Training-data operators: the ten components of a large text pipeline.
+"""Training-data operators: the thirteen components of a large text pipeline.
 
 Nothing else in the library imports this subpackage.
 """

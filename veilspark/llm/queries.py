@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, decontaminate, jaccard_join, language, line_dedup, lm, mixing, quality, sharding, sql, toxicity
+from . import alignment, chat, decontaminate, filter_audit, jaccard_join, language, line_dedup, lm, mixing, packing, quality, sharding, sql, toxicity
 from .common import read
 
 
@@ -91,6 +91,14 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(read(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -102,4 +110,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_line_dedup": sql.OP3,
         "op5_mixing_sources": sql.OP5,
         "op6_chat_formatting": sql.OP6,
+        "op12_filter_audit": sql.OP12,
     }

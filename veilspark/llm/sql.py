@@ -113,3 +113,45 @@ SELECT conv_id, perspective, position, role_as, mask, (fin - length(segment))::B
   (fin - length(segment) + length(head))::BIGINT AS mask_start, fin::BIGINT AS char_end, md5(segment) AS segment_md5
 FROM o
 """
+
+OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS words FROM d),
+f AS (
+  SELECT doc_id, part,
+         CASE WHEN len(words) < 200 THEN 1 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS fails
+  FROM w
+),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails
+),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits, a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND (a.bit | b.bit | c.bit | d.bit | e.bit) = 31
+),
+steps AS (
+  SELECT filter_order, step::INT AS step, bits[step] AS bit, coalesce(list_sum(bits[:step - 1]), 0)::INT AS before
+  FROM orders, range(1, 6) AS r(step)
+),
+c AS (
+  SELECT part, filter_order, step, bit,
+         coalesce(sum(n) FILTER ((fails & bit) = 0 AND (fails & before) = 0), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER ((fails & bit) <> 0 AND (fails & before) = 0), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER ((fails & bit) <> 0 AND (fails & before) <> 0), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (fails = bit), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER ((fails & bit) <> 0 AND (fails & before) = 0), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER ((fails & bit) <> 0 AND (fails & before) = 0), 0)::BIGINT AS toxic_lost
+  FROM m, steps GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM c
+"""
