@@ -18,6 +18,9 @@ empty result; other columns are ignored.  Texts are taken whole.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from functools import lru_cache
 
@@ -26,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .alignment import byte_letters
 from .common import stored
 
 FILE, END, LENGTH = "word_bpe_49k.json", 1, 4096
@@ -39,18 +43,49 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, doc_k
 PLACES = "node long, item long, bin long, offset long, fill long, up boolean"
 
 
+#: Words of these characters, which have no other composed or lower-case forms, are cut by _PARTS; others are left to the tokenizer's library.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Stands for a word's end, as no plain word has it.
+_END_OF_WORD = "\0"
+
+
 class WordIds:
-    """Ids of a text whose tokenizer drops white space and never lets a token cross it: word by word, from memory."""
+    """Ids of a text whose tokenizer drops white space and never lets a token cross it: word by word, from memory.
+
+    A plain word that isn't remembered is merged by a faster library from the same file's vocabulary: its pieces in
+    the order of their merges, behind the letters that end a word, which come first.
+    """
 
     def __init__(self, name: str):
         import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.own = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
+        path = name if "/" in name else public_tokenizers.path(name)
+        self.own = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        letters = byte_letters()
+        with open(path, encoding="utf-8") as lines:
+            vocabulary = json.load(lines)["model"]["vocab"]
+        raw = {b"\0": vocabulary["Ā"]}
+        for piece, i in vocabulary.items():
+            stem, end = (piece[:-4], b"\0") if piece.endswith("</w>") else (piece, b"")
+            data = bytes(letters.get(c, 0) for c in stem)
+            if 0 not in data:
+                raw[data + end] = i
+        first = lambda data: (len(data) != 2 or data[1] != 0, raw[data])
+        order = sorted(raw, key=first)
+        self.of_rank = [raw[data] for data in order]
+        self.merge = tiktoken.Encoding("own", pat_str="[^\0]+\0", mergeable_ranks={data: k for k, data in enumerate(order)}, special_tokens={}).encode_ordinary
 
     def _encoded(self, word: bytes) -> bytes:
-        return np.array(self.own.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        text = word.decode()
+        if "<|" in text or not _PLAIN.fullmatch(text):
+            return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ranks = self.merge(_END_OF_WORD.join([*_PARTS.findall(text.lower()), ""]))
+        ids = [self.of_rank[k] for k in ranks]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: str) -> bytes:
         """The text's ids as little-endian 32-bit numbers."""
