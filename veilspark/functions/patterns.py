@@ -40,6 +40,9 @@ class Pattern:
     confidence: float
     regex: str
     enabled: bool = True
+    #: What a match's characters are, and what it must end in: a long text without such an end is then not searched from each capital on.
+    within: str | None = None
+    ending: str | None = None
 
 
 # Fixed values.
@@ -48,7 +51,7 @@ PATTERNS = (
     Pattern("compound_names", "PERSON", 0.80, rf"\b({_NAME}-{_NAME})\b"),
     Pattern("last_first_names", "PERSON", 0.80, rf"\b({_NAME}(?:-{_NAME})?)\s*,\s*(?!{NOT_BEFORE_FIRST_NAME})({_NAME}(?:-{_NAME})?)"),
     Pattern("location_indicators", "LOCATION", 0.65, rf"\b(à|en|dans|près de|ville de)\s+({_NAME}(?:\s+{_NAME})?)"),
-    Pattern("organizations_suffix", "ORG", 0.70, rf"\b([{UPPER}][A-Za-zàâäéèêëïîôöùûü\s&,'.\-]+?)\s+({ORG_FORMS})\b"),
+    Pattern("organizations_suffix", "ORG", 0.70, rf"\b([{UPPER}][A-Za-zàâäéèêëïîôöùûü\s&,'.\-]+?)\s+({ORG_FORMS})\b", True, rf"[{UPPER}A-Za-zàâäéèêëïîôöùûü\s&,'.\-]+", rf"\s({ORG_FORMS})\b"),
     Pattern("organizations_prefix", "ORG", 0.70, rf"\b({ORG_KEYWORDS})\s+([{UPPER}][A-Za-zàâäéèêëïîôöùûü\s&,\-]+)"),
 )
 FULL_NAME = Pattern("full_names", "PERSON", 0.65, rf"\b({_NAME}(?:-{_NAME})?)\s+({_NAME})")

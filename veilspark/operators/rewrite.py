@@ -2,48 +2,64 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
+
+#: Kept spans are gathered in blocks of this size, as an array that grows by one is copied each time.
+_BLOCK = 256
 
 
 def resolved(spans: Column) -> Column:
     """Of an array<struct(start_pos, end_pos, ...)>, the spans that overlap none before them; by start, longer ones first."""
     ordered = F.transform(F.sort_array(F.transform(spans, lambda s: F.struct(s["start_pos"].alias("a"), F.negative(s["end_pos"]).alias("b"), s.alias("s")))), lambda x: x["s"])
     none = F.slice(spans, 1, 0)
+    begin = F.struct(F.lit(None).cast("int").alias("at"), F.slice(F.array(none), 1, 0).alias("blocks"), none.alias("block"))
 
-    def step(kept: Column, s: Column) -> Column:
-        free = (F.size(kept) == 0) | (s["start_pos"] >= F.get(kept, F.size(kept) - 1)["end_pos"])
-        return F.when(free, F.concat(kept, F.array(s))).otherwise(kept)
-
-    return F.aggregate(ordered, none, step)
-
+    def step(state: Column, s: Column) -> Column:
+        full = F.size(state["block"]) >= _BLOCK
+        blocks = F.when(full, F.concat(state["blocks"], F.array(state["block"]))).otherwise(state["blocks"])
+        block = F.concat(F.when(full, none).otherwise(state["block"]), F.array(s))
+        kept = F.struct(s["end_pos"].cast("int").alias("at"), blocks.alias("blocks"), block.alias("block"))
+        return F.when(state["at"].isNull() | (s["start_pos"] >= state["at"]), kept).otherwise(state)
 
-def spliced(text: Column | str, spans: Column) -> Column:
-    """text with each of the resolved spans' places taken by its replacement, in one pass."""
-    t = T.col(text)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(ordered, begin, step, lambda state: F.concat(F.flatten(state["blocks"]), state["block"]))
 
-    def step(state: Column, s: Column) -> Column:
-        gap = t.substr(state["at"] + 1, s["start_pos"] - state["at"])
-        return F.struct(s["end_pos"].alias("at"), F.concat(state["out"], gap, s["replacement"]).alias("out"))
 
-    return F.aggregate(spans, start, step, lambda state: F.concat(state["out"], t.substr(state["at"] + 1, F.length(t))))
+def spliced(text: str, spans: list[dict]) -> tuple[str, int]:
+    """text with the spans' places taken by their replacements, overlaps resolved as in resolved(), and how many were taken."""
+    pieces, at = [], 0
+    for s in sorted(spans, key=lambda s: (s["start_pos"], -s["end_pos"], s["replacement"])):
+        if s["start_pos"] >= at:
+            pieces += [text[at : s["start_pos"]], s["replacement"]]
+            at = s["end_pos"]
+    return "".join([*pieces, text[at:]]), len(pieces) // 2
 
 
 def rewritten(docs: DataFrame, spans: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """keys, text (rewritten) and n_replaced, from docs(keys..., text) and spans(keys..., start_pos, end_pos, replacement).
 
-    A null replacement leaves its place as it is.
+    A null replacement leaves its place as it is. Time grows as the text and its spans do: the texts are
+    spliced by Python, which finds a character's place at once, as the JVM's strings do not.
     """
     keys = keys or ["doc_id"]
     one = F.struct(F.col("start_pos").cast("int").alias("start_pos"), F.col("end_pos").cast("int").alias("end_pos"), "replacement")
     found = spans.where("replacement IS NOT NULL").groupBy(*keys).agg(F.collect_set(one).alias("_s"))
     rows = docs.select(*keys, "text").join(found, keys, "left")
-    rows = rows.withColumn("_s", F.when(F.col("_s").isNotNull(), resolved(F.col("_s"))))
-    text = F.when(F.col("_s").isNull(), F.col("text")).otherwise(spliced("text", F.col("_s")))
-    return rows.select(*keys, text.alias("text"), F.coalesce(F.size("_s"), F.lit(0)).alias("n_replaced"))
+
+    def run(batches):
+        for batch in batches:
+            texts, taken = [], []
+            for text, own in zip(batch.column("text"), batch.column("_s")):
+                text, own = text.as_py(), own.as_py()
+                text, n = spliced(text, own) if text is not None and own else (text, 0)
+                texts.append(text)
+                taken.append(n)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(texts, pa.string()), pa.array(taken, pa.int32())], names=[*keys, "text", "n_replaced"])
+
+    kinds = dict(docs.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", text string, n_replaced int")
 
 
 def pruned_annotations(spans: DataFrame) -> DataFrame:

@@ -22,6 +22,24 @@ from ..functions import text as T
 SPAN = "array<struct<start_pos int, end_pos int, text string, entity_type string, confidence double, pattern string, pattern_ord int>>"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running_sums(values: Column) -> Column:
+    """Running sums of an array of integers. The distance that is added over doubles each time, so n values take n log n additions."""
+
+    def step(sums: Column, far: Column) -> Column:
+        moved = F.concat(F.array_repeat(F.lit(0), far), F.slice(sums, 1, F.size(sums) - far))
+        return F.zip_with(sums, moved, lambda a, b: a + b)
+
+    def summed(own: Column) -> Column:
+        return F.aggregate(F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda far: far < F.size(own)), own, step)
+
+    return _once(values, summed)
+
+
 def matches(text: Column | str, regex: str, ignore_case: bool = False) -> Column:
     """array<struct(start_pos, end_pos, text)> of a pattern's matches, none of which may be empty.
 
@@ -29,19 +47,15 @@ def matches(text: Column | str, regex: str, ignore_case: bool = False) -> Column
     """
     t = T.col(text)
     rule = ("(?iU)" if ignore_case else "(?U)") + regex
-    found = F.regexp_extract_all(t, F.lit(rule), F.lit(0))
-    gaps = F.split(t, rule, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start_pos int, end_pos int, text string>>").alias("out"))
+    both = F.struct(F.regexp_extract_all(t, F.lit(rule), F.lit(0)).alias("found"), F.split(t, rule, -1).alias("gaps"))
 
-    def step(state: Column, pair: Column) -> Column:
-        low = state["at"] + F.length(pair["g"])
-        high = low + F.length(pair["m"])
-        one = F.struct(low.alias("start_pos"), high.alias("end_pos"), pair["m"].alias("text"))
-        return F.struct(high.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
+    def placed(b: Column) -> Column:
+        gaps = F.slice(b["gaps"], 1, F.size(b["found"]))
+        ends = running_sums(F.zip_with(b["found"], gaps, lambda m, g: F.length(m) + F.length(g)))
+        return F.zip_with(b["found"], ends, lambda m, end: F.struct((end - F.length(m)).alias("start_pos"), end.alias("end_pos"), m.alias("text")))
 
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.greatest(F.size(found), F.lit(0))), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
     none = F.array().cast("array<struct<start_pos int, end_pos int, text string>>")
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step)["out"]).otherwise(none)
+    return F.coalesce(_once(both, placed), none)
 
 
 def _of(pattern: P.Pattern, k: int, text: Column) -> Column:
@@ -60,14 +74,37 @@ def _of(pattern: P.Pattern, k: int, text: Column) -> Column:
     )
 
 
+def _finder(rule: P.Pattern) -> Callable[[str], Iterable[re.Match]]:
+    """A function from a text to the rule's matches.
+
+    A rule with an ending is sought only in the runs of its characters that have one, and no further than the last of them.
+    """
+    regex = re.compile(rule.regex)
+    if rule.ending is None:
+        return regex.finditer
+    within, ending = re.compile(rule.within), re.compile(rule.ending)
+
+    def found(text: str) -> Iterable[re.Match]:
+        at = 0
+        for run in within.finditer(text):
+            last = None
+            for last in ending.finditer(text, run.start(), min(run.end() + 1, len(text))):  # noqa: B007
+                pass
+            while last is not None and (m := regex.search(text, max(at, run.start()), min(last.end() + 1, len(text)))):
+                at = m.end()
+                yield m
+
+    return found
+
+
 def _arrow(rules: list[P.Pattern], keys: list[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterable[pa.RecordBatch]]:
     def run(batches):
-        compiled = [(k, r, re.compile(r.regex)) for k, r in enumerate(rules)]
+        compiled = [(k, r, _finder(r)) for k, r in enumerate(rules)]
         for batch in batches:
             rows, out = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                for k, rule, regex in compiled if text else ():
-                    for m in regex.finditer(text):
+                for k, rule, find in compiled if text else ():
+                    for m in find(text):
                         rows.append(i)
                         out.append((m.start(), m.end(), m.group(0), rule.entity_type, rule.confidence, rule.name, k))
             if out:
@@ -190,17 +227,33 @@ def without_labels(spans: DataFrame) -> DataFrame:
     return spans.where(~F.lower(T.strip(F.col("text"))).isin(*P.LABEL_WORDS))
 
 
+#: Length of the stretches in which spans meet.
+STRETCH = 512
+
+
+def stretch_of(place: Column) -> Column:
+    return F.floor(place / STRETCH).cast("int")
+
+
+def in_stretches(spans: DataFrame) -> DataFrame:
+    """spans with `stretch`: a row for each stretch of the text that a span reaches into."""
+    return spans.withColumn("stretch", F.explode(F.sequence(stretch_of(F.col("start_pos")), stretch_of(F.greatest(F.col("start_pos"), F.col("end_pos") - 1)))))
+
+
 def merged(ner: DataFrame, regex: DataFrame) -> DataFrame:
     """One span table of two: doc_id, span_ord, text, entity_type, start_pos, end_pos, confidence, is_ambiguous, source.
 
     A regex span meets the first model span that it overlaps (by start, end and text). Equal in place or
     title-free text: it goes. An organisation that holds a person: the person goes. Otherwise it is ambiguous.
+    Spans meet within stretches of a document, so a long one with many spans is dealt over tasks.
     """
     columns = ["doc_id", "text", "entity_type", "start_pos", "end_pos", "confidence"]
     order = Window.partitionBy("doc_id").orderBy("start_pos", "end_pos", "text", "entity_type")
     n = ner.select(*columns).withColumn("ord", F.row_number().over(order))
     r = regex.select(*columns).withColumn("ord", F.row_number().over(order))
-    pairs = r.alias("r").join(n.alias("n"), (F.col("r.doc_id") == F.col("n.doc_id")) & overlaps("r", "n"), "left")
+    pairs = in_stretches(r).alias("r").join(in_stretches(n).alias("n"), (F.col("r.doc_id") == F.col("n.doc_id")) & (F.col("r.stretch") == F.col("n.stretch")))
+    # two spans share several stretches: they meet where the later one begins
+    pairs = pairs.where(overlaps("r", "n") & (F.col("r.stretch") == stretch_of(F.greatest("r.start_pos", "n.start_pos"))))
     same = (F.col("r.start_pos") == F.col("n.start_pos")) & (F.col("r.end_pos") == F.col("n.end_pos"))
     same |= T.strip_titles(F.col("r.text")) == T.strip_titles(F.col("n.text"))
     begins = F.lit(False)
@@ -208,14 +261,14 @@ def merged(ner: DataFrame, regex: DataFrame) -> DataFrame:
         begins |= F.col("r.text").startswith(word)
     holds = (F.col("r.start_pos") <= F.col("n.start_pos")) & (F.col("r.end_pos") >= F.col("n.end_pos"))
     over = (F.col("r.entity_type") == "ORG") & (F.col("n.entity_type") == "PERSON") & begins & holds
-    kind = F.when(F.col("n.ord").isNull(), "alone").when(same, "same").when(over, "over").otherwise("ambiguous")
-    first = F.min_by(F.struct(kind.alias("kind"), F.col("n.ord").alias("ner_ord")), F.coalesce("n.ord", F.lit(0)))
+    kind = F.when(same, "same").when(over, "over").otherwise("ambiguous")
+    first = F.min_by(F.struct(kind.alias("kind"), F.col("n.ord").alias("ner_ord")), F.col("n.ord"))
     met = pairs.groupBy(F.col("r.doc_id").alias("doc_id"), F.col("r.ord").alias("ord")).agg(first.alias("f"))
     met = met.select("doc_id", "ord", "f.kind", "f.ner_ord")
     superseded = met.where("kind = 'over'").select("doc_id", F.col("ner_ord").alias("ord")).distinct()
     left = n.join(superseded, ["doc_id", "ord"], "left_anti").select(*columns, F.lit(False).alias("is_ambiguous"), F.lit("ner").alias("source"), F.lit(0).alias("_s"), "ord")
-    right = r.join(met.where("kind <> 'same'"), ["doc_id", "ord"])
-    right = right.select(*columns, (F.col("kind") == "ambiguous").alias("is_ambiguous"), F.lit("regex").alias("source"), F.lit(1).alias("_s"), "ord")
+    right = r.join(met.select("doc_id", "ord", "kind"), ["doc_id", "ord"], "left").where("kind IS NULL OR kind <> 'same'")
+    right = right.select(*columns, F.coalesce(F.col("kind") == "ambiguous", F.lit(False)).alias("is_ambiguous"), F.lit("regex").alias("source"), F.lit(1).alias("_s"), "ord")
     rows = without_labels(without_bare_titles(left.unionByName(right)))
     place = Window.partitionBy("doc_id").orderBy("start_pos", "_s", "ord")
     return rows.withColumn("span_ord", F.row_number().over(place)).select("doc_id", "span_ord", *columns[1:], "is_ambiguous", "source")
@@ -229,11 +282,11 @@ def detector_spans(docs: DataFrame, detector: Callable[[], Callable[[str], list[
         for batch in batches:
             out = [(d, *span) for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if text for span in detect(text)]
             if out:
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64())
+                kinds = (batch.schema.field("doc_id").type, pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64())
                 names = ["doc_id", "start_pos", "end_pos", "text", "label", "confidence"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    schema = "doc_id long, start_pos int, end_pos int, text string, label string, confidence double"
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, start_pos int, end_pos int, text string, label string, confidence double"
     return mapped_labels(docs.select("doc_id", "text").mapInArrow(run, schema)).drop("label")
 
 
@@ -287,7 +340,7 @@ def all_detected(
     docs: DataFrame,
     ner: DataFrame | None = None,
     rules: Iterable[P.Pattern] = P.PATTERNS,
-    engine: str = "native",
+    engine: str = "arrow",
     names: DataFrame | None = None,
     places: DataFrame | None = None,
     tokens: DataFrame | None = None,
