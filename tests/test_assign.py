@@ -190,9 +190,13 @@ def test_encryption(spark):
     assert found[1] == found[2] != "Marie" and found[4] is None and found[3]
     assert {r.id: r.full_name for r in M.decrypted(secret, keys).collect()} == {r.id: r.full_name for r in df.collect()}
     wrong = crypto.derive("another", b"s" * 32, 100)
-    assert secret.select(crypto.decrypted("full_name", wrong, strict=False).alias("x")).where("x IS NOT NULL").count() == 0
+    assert crypto.decrypted(secret, ["full_name"], wrong, strict=False).where("full_name IS NOT NULL").count() == 0
     assert crypto.fits(spark, crypto.canary(spark, keys), keys) and not crypto.fits(spark, crypto.canary(spark, keys), wrong)
     assert "cipher" not in repr(keys)
+    for rows in (secret, M.decrypted(secret, keys), crypto.with_keyed_hashes(df, {"h": F.col("full_name")}, keys)):
+        plan = rows._jdf.queryExecution().toString().lower()
+        pads = [bytes(b ^ x for b in keys.nonce.ljust(64, b"\0")).hex() for x in (0x36, 0x5C)]
+        assert not any(secret_bytes in plan for secret_bytes in (keys.cipher.hex(), keys.nonce.hex(), *pads))
 
 
 def test_store(spark):

@@ -40,6 +40,12 @@ def keys_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.min_by(own, at).alias("m")).select("key", "m.entity_type", "m.first", "m.last", "m.n_words", "m.text", "m.at")
 
 
+def wanted(spans: DataFrame) -> DataFrame:
+    """value: the keys and name parts of spans, which a mapping may stand under."""
+    rows = mentions(spans)
+    return rows.select(F.explode(F.array("key", "first", "last")).alias("value")).where("value <> ''").distinct()
+
+
 def counters(mappings: DataFrame, table: dict[str, str] = PREFIX) -> DataFrame:
     """entity_type and the largest number given so far."""
     found = mappings.select(T.numbered("pseudonym_full", tuple(table.values())).alias("n")).where("n.prefix IS NOT NULL")
@@ -47,12 +53,13 @@ def counters(mappings: DataFrame, table: dict[str, str] = PREFIX) -> DataFrame:
     return found.groupBy(back.alias("entity_type")).agg(F.max("n.number").alias("base"))
 
 
-def neutral_ids(rows: DataFrame, mappings: DataFrame | None = None, labels: dict[str, str] = PREFIX) -> DataFrame:
+def neutral_ids(rows: DataFrame, mappings: DataFrame | None = None, labels: dict[str, str] = PREFIX, numbers: DataFrame | None = None) -> DataFrame:
     """Each mention with its `pseudonym`, and `is_new` where the mention is the first of a new mapping.
 
     rows: doc_id, doc_ord, span_ord, text, entity_type. A person's single word takes, in this order: a mapping of that
     word; the part of a bearer that is new in the same document and mentioned before; the part of a bearer known from
-    an earlier document, which is then the word's mapping; a number of its own.
+    an earlier document, which is then the word's mapping; a number of its own. numbers (entity_type, base): the largest
+    numbers in use, where mappings aren't all there are.
     """
     m = mentions(rows).where("key <> ''")
     at = F.struct("doc_ord", "span_ord")
@@ -92,7 +99,7 @@ def neutral_ids(rows: DataFrame, mappings: DataFrame | None = None, labels: dict
     counted = others.unionByName(own)
     ids = counted.withColumn("n", F.row_number().over(Window.partitionBy("entity_type").orderBy("at", "key")))
     if mappings is not None:
-        ids = ids.join(F.broadcast(counters(mappings)), "entity_type", "left")  # a row a type
+        ids = ids.join(F.broadcast(counters(mappings) if numbers is None else numbers), "entity_type", "left")  # a row a type
     else:
         ids = ids.withColumn("base", F.lit(0))
     number = F.col("n") + F.coalesce("base", F.lit(0))

@@ -104,11 +104,14 @@ def listed(mappings: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
 
 
 def erasure(goes: DataFrame, ts: Column) -> DataFrame:
-    """The log row of a deletion: ids and name hashes, never the names."""
-    row = goes.agg(F.count("*").alias("entity_count"), F.sort_array(F.collect_list("id")).alias("ids"), F.sort_array(F.collect_list(F.sha2("full_name", 256))).alias("hashes"))
+    """The log row of a deletion: ids and types, neither names nor hashes of them, as a name is soon guessed from its hash."""
+    kinds = F.map_from_entries(F.sort_array(F.collect_list(F.struct("entity_type", F.col("n").cast("string"))))) if "entity_type" in goes.columns else F.lit(None)
+    by_kind = goes.groupBy("entity_type") if "entity_type" in goes.columns else goes.groupBy()
+    rows = by_kind.agg(F.count("*").alias("n"), F.collect_list("id").alias("ids"))
+    row = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("entity_count"), F.sort_array(F.flatten(F.collect_list("ids"))).alias("ids"), kinds.alias("kinds"))
     return row.where("entity_count > 0").select(
         F.sha2(F.array_join("ids", ","), 256).alias("id"), ts.alias("ts"), F.lit("ERASURE").alias("operation_type"), "entity_count", F.lit(True).alias("success"),
-        F.create_map(F.lit("ids"), F.array_join("ids", ","), F.lit("sha256"), F.array_join("hashes", ",")).alias("user_modifications"),
+        F.map_concat(F.create_map(F.lit("ids"), F.array_join("ids", ",")), F.coalesce("kinds", F.create_map().cast("map<string,string>"))).alias("user_modifications"),
     )
 
 

@@ -87,11 +87,11 @@ def bulk_deleted(mappings: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def encrypted(mappings: DataFrame, keys: crypto.Keys) -> DataFrame:
-    return mappings.withColumns({c: crypto.encrypted(c, keys) for c in SECRET if c in mappings.columns})
+    return crypto.encrypted(mappings, [c for c in SECRET if c in mappings.columns], keys)
 
 
 def decrypted(mappings: DataFrame, keys: crypto.Keys) -> DataFrame:
-    return mappings.withColumns({c: crypto.decrypted(c, keys) for c in SECRET if c in mappings.columns})
+    return crypto.decrypted(mappings, [c for c in SECRET if c in mappings.columns], keys)
 
 
 def duplicates(mappings: DataFrame) -> DataFrame:

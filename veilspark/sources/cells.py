@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Iterable
 
 import pandas as pd
@@ -38,12 +40,7 @@ def read_cells(spark, path: str, recursive: bool = False) -> DataFrame:
     def parsed(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for frame in frames:
             for p, content in zip(frame["path"], frame["content"], strict=True):
-                if p.lower().endswith(".csv"):
-                    table = files.csv_rows(content)
-                    sheets = [("", {(r, c): v for r, row in enumerate(table, 1) for c, v in enumerate(row, 1) if v.strip()})]
-                else:
-                    sheets = files.xlsx_sheets(content)
-                for name, cells in sheets:
+                for name, cells in files.sheets_of(p, content):
                     found = [(p, name, r, c, v) for (r, c), v in sorted(cells.items())]
                     yield pd.DataFrame(found, columns=["path", "sheet_name", "row", "col", "value"])
 
@@ -79,7 +76,6 @@ def write_csv(cells: DataFrame, folder: str, n_columns: int) -> None:
 
 def xlsx_bytes(sheets: list[tuple[str, dict[tuple[int, int], str]]]) -> bytes:
     """A workbook with the sheets' values as inline strings."""
-    import io
     import zipfile
     from xml.sax.saxutils import escape, quoteattr
 
@@ -113,3 +109,34 @@ def workbooks(cells: DataFrame) -> DataFrame:
         return pd.DataFrame({"path": [frame["path"].iloc[0]], "content": [xlsx_bytes(sheets)]})
 
     return cells.select("path", "sheet_name", "row", "col", "value").groupBy("path").applyInPandas(made, "path string, content binary")
+
+
+def csv_bytes(sheets: list[tuple[str, dict[tuple[int, int], str]]]) -> bytes:
+    """Sheets as one CSV with commas, a dense grid each, with an empty line between them."""
+    out = io.StringIO(newline="")
+    writer = csv.writer(out)
+    for k, (_, cells) in enumerate(sheets):
+        if k:
+            writer.writerow([])
+        rows, columns = (max((place[i] for place in cells), default=0) for i in (0, 1))
+        writer.writerows([[cells.get((r, c), "") for c in range(1, columns + 1)] for r in range(1, rows + 1)])
+    return out.getvalue().encode()
+
+
+def table_files(units: DataFrame) -> DataFrame:
+    """name and content of a file a name, in the name's format, from units(name, sheet_no, sheet_name, row, col, text).
+
+    All sheets are there in their order, those without cells too. A file is made in one piece, as it was read.
+    """
+
+    def made(frame: pd.DataFrame) -> pd.DataFrame:
+        name = frame["name"].iloc[0]
+        sheets = []
+        for _, part in frame.groupby("sheet_no", sort=True):
+            own = part[part["row"].notna()]
+            cells = {(int(r), int(c)): v for r, c, v in zip(own["row"], own["col"], own["text"], strict=True)}
+            sheets.append((part["sheet_name"].iloc[0] or "", cells))
+        content = csv_bytes(sheets) if name.lower().endswith(".csv") else xlsx_bytes(sheets)
+        return pd.DataFrame({"name": [name], "content": [content]})
+
+    return units.select("name", "sheet_no", "sheet_name", "row", "col", "text").groupBy("name").applyInPandas(made, "name string, content binary")

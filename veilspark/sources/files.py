@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import zipfile
 from collections.abc import Callable, Iterable
 from xml.etree import ElementTree
@@ -13,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .file_sink import write_files
 
 # Fixed values.
 EXTENSIONS = (".txt", ".md", ".pdf", ".docx", ".xlsx", ".csv")
 TEXT = (".txt", ".md")
+TABLES = (".csv", ".xlsx")
 SKIP = "_pseudonymized"
 SNIFFED = 8192
 FEW_CHARS_A_PAGE = 50
@@ -61,6 +64,53 @@ def read_documents(spark: SparkSession, path: str, recursive: bool = False) -> D
     return rows.mapInPandas(parsed, "path string, text string, error string")
 
 
+UNITS = "path string, error string, unit_ord long, sheet_no int, sheet_name string, row int, col int, text string"
+#: A unit's number has the sheet's, the row's and the column's in it, in the order in which a document is read.
+SHEET_BITS, COLUMN_BITS = 36, 15
+
+
+def read_units(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """What is detected and rewritten by itself: a text, or a cell of a CSV or XLSX file, with its place and number.
+
+    A sheet without cells has a row without a text, and a file that can't be read one with an error.
+    """
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
+    rows = chosen(rows.select("path", "content"))
+    columns = [c.split()[0] for c in UNITS.split(", ")]
+
+    def units(path: str, content: bytes) -> Iterable[tuple]:
+        if not path.lower().endswith(TABLES):
+            text, error = _parsed(path, content)
+            yield path, error, 0, None, None, None, None, text
+            return
+        try:
+            sheets = sheets_of(path, content)
+        except Exception as error:  # a bad file must not stop the others
+            yield path, f"{type(error).__name__}: {error}", 0, None, None, None, None, None
+            return
+        for k, (name, cells) in enumerate(sheets):
+            if not cells:
+                yield path, None, k << SHEET_BITS, k, name, None, None, None
+            for (r, c), value in sorted(cells.items()):
+                yield path, None, (k << SHEET_BITS) + (r << COLUMN_BITS) + c, k, name, r, c, value
+
+    def parsed(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for frame in frames:
+            for p, content in zip(frame["path"], frame["content"], strict=True):
+                found = iter(units(p, content))
+                while part := list(itertools.islice(found, 10_000)):
+                    yield pd.DataFrame(part, columns=columns).astype({"sheet_no": "Int32", "row": "Int32", "col": "Int32"})
+
+    return with_doc_id(rows.mapInPandas(parsed, UNITS))
+
+
+def sheets_of(path: str, content: bytes) -> list[tuple[str, dict[tuple[int, int], str]]]:
+    """(sheet, {(row, column): value}) of a CSV or XLSX file, without blank cells."""
+    if path.lower().endswith(".csv"):
+        return [("", {(r, c): v for r, line in enumerate(csv_rows(content), 1) for c, v in enumerate(line, 1) if v.strip()})]
+    return xlsx_sheets(content)
+
+
 def _parsed(path: str, content: bytes) -> tuple[str | None, str | None]:
     ext = "." + path.rsplit(".", 1)[-1].lower()
     try:
@@ -189,18 +239,8 @@ PARSERS: dict[str, Callable[[bytes], str]] = {".csv": text_of_csv, ".docx": text
 
 
 def write_text(docs: DataFrame, folder: str) -> None:
-    """One file a document (name, text) under folder, in folders part=<name>, through Spark's file system.
-
-    A name may be a path; Spark escapes what a folder's name can't hold, so different names have different files. A
-    text that doesn't end its last line gets that line end.
-    """
-    (
-        docs.select(F.col("name").alias("part"), F.regexp_replace("text", "\n$", "").alias("value"))
-        .repartition("part")
-        .write.mode("overwrite")
-        .partitionBy("part")
-        .text(folder)
-    )
+    """One file a document (name, text) below folder, in UTF-8; a name may be a path."""
+    write_files(docs.select("name", F.encode("text", "UTF-8").alias("content")), folder)
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
