@@ -205,7 +205,7 @@ def _around(tokens: str):
     return F.slice(F.col(tokens), (_low() + 1).cast("int"), F.greatest(length, F.lit(0)).cast("int"))
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents in which no benchmark item was found; all columns stay."""
-    found = stored(overlaps(docs, items).select("doc_id").distinct())
+def clean(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The documents in which no benchmark item was found; all columns stay. min_words as in overlaps(): 1 seeks items of any length."""
+    found = stored(overlaps(docs, items, min_words).select("doc_id").distinct())
     return with_ids(docs, found, found.count(), "left_anti").select(*docs.columns)
