@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -152,6 +153,30 @@ def _languages(n=40, seed=3):
     return [(i, " ".join(word(lang) for _ in range(rng.randrange(3, 60))), lang, "s") for i, lang in enumerate(rng.choices(list(parts), k=n * 3))]
 
 
+def test_long_words_are_scored_as_short_ones_are(monkeypatch):
+    rng = random.Random(2)
+    value = {language.key(bytes([b])): rng.random() for b in range(256)}
+    value |= {language.key(w): rng.random() for w in (b"ab", b"aba", b"babab", b"abababababab", "中文".encode(), "文中文中文中文".encode())}
+    keys = np.array(sorted(value), np.uint64)
+    table = language.Table.of(keys, np.array([[0, 0], *([value[k], value[k] / 3] for k in keys.tolist())]), ["x", "y"])
+    for text in ("ab" * 40, "中文" * 30, "aba" * 33 + "x", "a"):
+        word = np.frombuffer(text.encode(), np.uint8)
+        want = language.log_likelihoods([word[None, :]], table)[0][0]
+        for window in (1 << 13, 7, 40):
+            monkeypatch.setattr(language, "WINDOW", window)
+            assert language._of_long(word, table) == pytest.approx(want)
+
+
+def test_time_of_an_unspaced_text_grows_as_it_does(spark):
+    train = docs_of(spark, [*_languages(), *[(900 + k, "中文字" * 4000, "zh", "s") for k in range(3)]])
+    table = language.learned(language._sample(train), language.pieces())
+    began = time.time()
+    word = np.frombuffer(("中文字" * 12_000).encode(), np.uint8)
+    logs = language._of_long(word, table)
+    assert table.names[logs.argmax()] == "zh" and time.time() - began < 30
+    assert all(len(p) <= language.LONG for p in language._stretches(("é" * 9000).encode())) and b"".join(language._stretches(("aé" * 9000).encode())) == ("aé" * 9000).encode()
+
+
 def test_language_on_unseen_documents(spark):
     rows = _languages()
     docs = docs_of(spark, rows)
@@ -234,10 +259,10 @@ def test_samples_are_what_the_caller_asks_for(spark):
     known = spark.createDataFrame(labels, "doc_id long, label int")
     docs = docs_of(spark, rows)
     of = lambda *a: sorted((r.label for r in toxicity.sample(docs, known, *a).collect()))
-    assert of(5) == [0] * 5 + [1] * 5 and len(of(5, 10)) == 0 and len(of()) == len(labels) == len(of(600_000))
+    assert of(5) == [0] * 5 + [1] * 5 == of(5, 10) and len(of()) == len(labels) == len(of(600_000))
     langs = docs_of(spark, [(k, "zzz" * (k + 1), "l", "s") for k in range(9)])
     words = language._sample(langs, 4).collect()
-    assert sum(r.n for r in words) == 4 and {len(r.word) for r in language._sample(langs, 9, 3).collect()} == {3}
+    assert sum(r.n for r in words) == 4 and {len(r.word) for r in language._sample(langs, 9, 12).collect()} == {3, 6, 9, 12}
 
 
 def test_machine_margin_is_the_sum_over_pairs():
@@ -248,6 +273,15 @@ def test_machine_margin_is_the_sum_over_pairs():
     assert got == pytest.approx([0.3 + m.weight[[1, 2, 5]].sum() + pairs, 0.3 + m.weight[4], 0.3])
 
 
+def test_long_labelled_texts_are_learned_from(spark):
+    rng = random.Random(4)
+    rows = [(k, ("insult " if k % 2 else "praise ") + " ".join(prose(rng, 12_000))) for k in range(24)]
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, label int")
+    assert min(len(t.encode()) for _, t in rows) > toxicity.SAMPLE_BYTES
+    out = {r.doc_id: r.score for r in toxicity.classify(docs_of(spark, rows), labels).collect()}
+    assert len(set(out.values())) > 1 and sum((out[k] >= 0.5) == bool(k % 2) for k in out) >= 20
+
+
 def test_toxicity_odd_rows(spark):
     rows, labels = _toxic_rows(60)
     rows += [(900 + i, t) for i, t in enumerate(ODD)] + [(None, "Insult GROUP")] * 2

@@ -10,6 +10,9 @@ Renderings stay one row a segment, so a conversation of any length is spread ove
 the cluster: offsets come from the lengths of blocks of BLOCK turns and of the turns
 before in the block.  rendered() joins segments into one text where that is wanted.
 
+Delimiters in texts and names are escaped, so no text can forge a turn; unescaped() gives a
+segment's text back.
+
 Nulls and edge cases: a null conv_id is a conversation like any other; a null turn
 sorts first; turns that tie are ordered by role and text; a null role is a user named
 `unknown` and no participant; a null or empty text is an empty turn; a conversation
@@ -26,8 +29,18 @@ BLOCK = 256
 OPEN, SEPARATOR, CLOSE = "<|", "|>\n", "<|end|>\n"
 
 
+def escaped(value: Column) -> Column:
+    """value without marks that could open a turn: a backslash goes into each `<|`, and one more into each `<\\` to tell them apart."""
+    return F.replace(F.replace(value, F.lit("<\\"), F.lit("<\\\\")), F.lit(OPEN), F.lit("<\\|"))
+
+
+def unescaped(value: Column) -> Column:
+    """What escaped() was given."""
+    return F.replace(F.replace(value, F.lit("<\\|"), F.lit(OPEN)), F.lit("<\\\\"), F.lit("<\\"))
+
+
 def _head(kind: Column) -> Column:
-    return F.concat(F.lit(OPEN), kind, F.lit(SEPARATOR))
+    return F.concat(F.lit(OPEN), F.replace(escaped(kind), F.lit("\n"), F.lit(" ")), F.lit(SEPARATOR))
 
 
 def segments(turns: DataFrame) -> DataFrame:
@@ -47,7 +60,7 @@ def segments(turns: DataFrame) -> DataFrame:
     both = both.withColumn("mask", own.cast("int"))
     kind = F.when(system, F.lit("system")).when(own, F.lit("assistant")).otherwise(F.concat(F.lit("user:"), F.col("speaker")))
     both = both.withColumn("role_as", kind)
-    both = both.withColumn("segment", F.concat(_head(F.col("role_as")), F.col("text"), F.lit(CLOSE)))
+    both = both.withColumn("segment", F.concat(_head(F.col("role_as")), escaped(F.col("text")), F.lit(CLOSE)))
     both = both.withColumn("size", F.length("segment").cast("long"))
     # a block of turns is a partition of its own; only sums a block are ordered over a whole conversation
     order = Window.partitionBy("conv_id", "perspective", "block").orderBy("turn", "speaker", "nameless", "text")

@@ -43,6 +43,8 @@ ROUNDS, SMOOTH = 3, 0.05
 #: Distinct words whose likelihoods a task remembers, and bytes handled at once, fewer with more languages than BLOCK; beyond it, it starts anew.
 CACHE = 1 << 18
 CHUNK = 1 << 21
+#: Words of more bytes are scored alone, in windows of so many; for learning they are cut into stretches.
+LONG, WINDOW, STRETCH = 512, 1 << 13, 64
 
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -152,10 +154,46 @@ def _forward(rows: np.ndarray, chance: np.ndarray) -> np.ndarray:
     return scale
 
 
+def _of_long(word: np.ndarray, table: Table) -> np.ndarray:
+    """Natural logs of a long word's likelihood, a language each.
+
+    Its pieces are looked up for all places of a window at once, one piece length after another, and of the forward sums
+    only those that a piece can reach back to are kept, so time grows as the word does and memory doesn't.
+    """
+    most = table.longest
+    sums = np.zeros((most + WINDOW, table.chance.shape[1]))  # the last `most` ones of the windows before come first
+    for low in range(0, len(word), WINDOW):
+        from_ = max(0, low - most + 1)
+        byte = word[from_ : low + WINDOW].astype(np.uint64)
+        skip, n = low - from_, min(WINDOW, len(word) - low)
+        exact, total = np.zeros(len(byte), np.uint64), np.zeros(len(byte), np.uint64)
+        found = np.zeros((most, n), np.int32)
+        for k in range(1, most + 1):  # pieces of k bytes, by the byte that they end with
+            exact[1:], total[1:] = exact[:-1].copy(), total[:-1].copy()
+            exact[0] = total[0] = 0
+            exact, total = exact << np.uint64(8) | byte, total * _BASE + byte + np.uint64(1)
+            keys = (exact << np.uint64(8) | np.uint64(k)) if k <= EXACT else _hashed(total, k)
+            first = max(skip, k - 1 - from_)  # a piece doesn't begin before the word
+            if first < len(byte):
+                found[k - 1, first - skip :] = table.find(keys[first:])
+        place, size = np.nonzero(found.T)
+        chance = table.chance[found.T[place, size]]
+        edge = np.searchsorted(place, np.arange(n + 1)).tolist()
+        for j in range(n):
+            at, own = most + j, slice(edge[j], edge[j + 1])
+            before = sums[at - 1]
+            sums[at] = before + np.log((chance[own] * np.exp(np.minimum(sums[at - 1 - size[own]] - before, 700))).sum(0))
+        sums[:most] = sums[n : n + most].copy()
+    return sums[most - 1]
+
+
 def log_likelihoods(words: list[np.ndarray], table: Table) -> list[np.ndarray]:
     """For each byte matrix of words of one length: (words, languages) natural logs."""
     out = []
     for w in words:
+        if w.shape[1] > LONG:
+            out.append(np.stack([_of_long(word, table) for word in w]))
+            continue
         rows = _cut(w, table)
         blocks = range(0, len(table.names), BLOCK)
         out.append(np.concatenate([_forward(rows, table.chance[:, b : b + BLOCK])[-1] for b in blocks], 1))
@@ -173,6 +211,18 @@ def _by_length(data: np.ndarray, start: np.ndarray, end: np.ndarray):
                 yield few, data[start[few][:, None] + np.arange(size)]
 
 
+def _stretches(word: bytes) -> list[bytes]:
+    """A word to learn from, cut into STRETCH bytes or a little more, at the beginning of a character."""
+    out, low = [], 0
+    while len(word) - low > LONG:
+        high = low + STRETCH
+        while word[high] & 0xC0 == 0x80:
+            high += 1
+        out.append(word[low:high])
+        low = high
+    return [*out, word[low:]]
+
+
 def _sample(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """lang, word and n of the sampled documents."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("_long", F.octet_length("text") > sample_bytes)
@@ -180,7 +230,7 @@ def _sample(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BY
     ids = known.select("lang", "doc_id", "_long").withColumn("_r", F.row_number().over(order)).where(f"_r <= {sample}")
     ids = stored(ids.drop("_r").distinct())
     near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    text = F.when(F.col("_long"), F.substring("text", 1, sample_bytes)).otherwise(F.col("text"))
+    text = F.when(F.col("_long"), F.substring("text", 1, sample_bytes // 4)).otherwise(F.col("text"))  # a character has 4 bytes at most
     rows = known.join(near, ["lang", "doc_id", "_long"], "left_semi").select("lang", text.alias("text"))
 
     def counted(batches):
@@ -188,7 +238,7 @@ def _sample(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BY
             langs = batch.column("lang").to_pylist()
             for words in kernel.chunks(pc.utf8_lower(batch.column("text")), kernel.NOT_LETTER):
                 for i in range(words.n_docs):
-                    own = [words.word(j) for j in range(words.first[i], words.first[i + 1])]
+                    own = [part for j in range(words.first[i], words.first[i + 1]) for part in _stretches(words.word(j))]
                     yield pa.RecordBatch.from_arrays([pa.array([langs[words.low + i]] * len(own), pa.string()), pa.array(own, pa.binary())], ["lang", "word"])
 
     return rows.mapInArrow(counted, "lang string, word binary").groupBy("lang", "word").agg(F.count("*").alias("n"))

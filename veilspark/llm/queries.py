@@ -60,6 +60,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("char_start").cast("long").alias("char_start"),
         F.col("mask_start").cast("long").alias("mask_start"),
         F.col("char_end").cast("long").alias("char_end"),
+        "segment",
         F.md5("segment").alias("segment_md5"),
     )
 

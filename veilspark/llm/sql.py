@@ -105,12 +105,13 @@ b AS (
   SELECT t.*, perspective, (speaker = perspective AND NOT nameless)::INTEGER AS mask,
     CASE WHEN speaker = 'system' AND NOT nameless THEN 'system' WHEN speaker = perspective AND NOT nameless THEN 'assistant' ELSE 'user:' || speaker END AS role_as
   FROM t JOIN who USING (conv_id)),
-s AS (SELECT *, '<|' || role_as || '|>' || chr(10) AS head, '<|' || role_as || '|>' || chr(10) || text || '<|end|>' || chr(10) AS segment FROM b),
+h AS (SELECT *, '<|' || replace(replace(replace(role_as, '<' || chr(92), '<' || chr(92) || chr(92)), '<|', '<' || chr(92) || '|'), chr(10), ' ') || '|>' || chr(10) AS head FROM b),
+s AS (SELECT *, head || replace(replace(text, '<' || chr(92), '<' || chr(92) || chr(92)), '<|', '<' || chr(92) || '|') || '<|end|>' || chr(10) AS segment FROM h),
 o AS (
   SELECT *, row_number() OVER win - 1 AS position, sum(length(segment)) OVER win AS fin
   FROM s WINDOW win AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, nameless, text ROWS UNBOUNDED PRECEDING))
 SELECT conv_id, perspective, position, role_as, mask, (fin - length(segment))::BIGINT AS char_start,
-  (fin - length(segment) + length(head))::BIGINT AS mask_start, fin::BIGINT AS char_end, md5(segment) AS segment_md5
+  (fin - length(segment) + length(head))::BIGINT AS mask_start, fin::BIGINT AS char_end, segment, md5(segment) AS segment_md5
 FROM o
 """
 

@@ -79,8 +79,10 @@ def _leveled(rows: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """label and the distinct buckets of each sampled document."""
     marks = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").select("doc_id", "label").distinct()
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    marks = marks.withColumn("_r", F.row_number().over(order)).where(f"_r <= {per_label}").drop("_r")
+    sizes = docs.where("text IS NOT NULL").select("doc_id", (F.octet_length("text") > sample_bytes).alias("_long"))
+    # shorter texts first; of a long one the start is learned from
+    order = Window.partitionBy("label").orderBy("_long", F.xxhash64("doc_id"), "doc_id")
+    marks = sizes.join(marks, "doc_id").distinct().withColumn("_r", F.row_number().over(order)).where(f"_r <= {per_label}").drop("_r")
 
     def terms(batches):
         for batch in batches:
@@ -91,9 +93,11 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE, sample_b
                 own = batch.column("label").slice(words.low, words.n_docs)
                 yield pa.RecordBatch.from_arrays([own, lists], ["label", "buckets"])
 
-    texts = docs.where(F.octet_length("text") <= sample_bytes).select("doc_id", "text")
+    long = F.octet_length("text") > sample_bytes
+    text = F.when(long, F.substring("text", 1, sample_bytes // 4)).otherwise(F.col("text"))  # a character has 4 bytes at most
+    texts = docs.where("text IS NOT NULL").select("doc_id", long.alias("_long"), text.alias("text"))
     near = F.broadcast(marks) if 2 * per_label <= BROADCAST_IDS else marks
-    rows = texts.join(near, "doc_id").select(F.col("label").cast("int").alias("label"), "text")
+    rows = texts.join(near, ["doc_id", "_long"]).select(F.col("label").cast("int").alias("label"), "text")
     return rows.mapInArrow(terms, "label int, buckets array<int>")
 
 
