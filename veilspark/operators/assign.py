@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import lookup
 from ..functions import text as T
 from ..sources.tables import kept
+from .numbering import numbered
 
 PREFIX = {"PERSON": "PER", "LOCATION": "LOC", "ORG": "ORG"}
 FALLBACK = {"PERSON": "Person", "LOCATION": "Location", "ORG": "Org"}
@@ -68,6 +69,7 @@ def neutral_ids(rows: DataFrame, mappings: DataFrame | None = None, labels: dict
         m = m.join(have, "key", "left")
     else:
         m = m.withColumn("old", F.lit(None).cast("string"))
+    m = kept(m)  # ten joins read it
     new = m.where("old IS NULL")
     single = (F.col("entity_type") == "PERSON") & (F.col("n_words") == 1)
     kinds = keys_of(new)
@@ -97,7 +99,7 @@ def neutral_ids(rows: DataFrame, mappings: DataFrame | None = None, labels: dict
     others = kinds.where(~single | F.col("entity_type").isNull()).select("key", "entity_type", "at")
     own = made.where("known IS NULL AND given IS NULL").select("key", F.lit("PERSON").alias("entity_type"), F.col("made_at").alias("at"))
     counted = others.unionByName(own)
-    ids = counted.withColumn("n", F.row_number().over(Window.partitionBy("entity_type").orderBy("at", "key")))
+    ids = numbered(counted, ["at", "key"], "entity_type")
     if mappings is not None:
         ids = ids.join(F.broadcast(counters(mappings) if numbers is None else numbers), "entity_type", "left")  # a row a type
     else:
@@ -180,7 +182,7 @@ def fallback_names(rows: DataFrame, entity_type: str, used: DataFrame) -> DataFr
     """rows(value) with `pseudonym` Person-001 and so on, after the largest number in use (column `used`)."""
     label = FALLBACK[entity_type]
     base = used.select(T.numbered("used", (label,))["number"].alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("base"))
-    ranked = rows.withColumn("_n", F.row_number().over(Window.orderBy("value")))
+    ranked = numbered(rows, ["value"], name="_n")
     return ranked.join(F.broadcast(base)).withColumn("pseudonym", F.format_string(label + "-%03d", F.col("base") + F.col("_n"))).drop("_n", "base")
 
 

@@ -13,15 +13,15 @@ def _ratio(a: Column, b: Column) -> Column:
 
 
 def with_scores(rows: DataFrame) -> DataFrame:
-    """rows(tp, fp, fn) with precision, recall, f1 and the shares of misses and false alarms, 0 where undefined."""
+    """rows(tp, fp, fn) with precision, recall and f1 as shares, misses and false alarms in percent, 0 where undefined."""
     p, r = _ratio(F.col("tp"), F.col("tp") + F.col("fp")), _ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     return rows.withColumns(
         {
             "precision": p,
             "recall": r,
             "f1": _ratio(2 * p * r, p + r),
-            "fn_rate": _ratio(F.col("fn"), F.col("tp") + F.col("fn")),
-            "fp_rate": _ratio(F.col("fp"), F.col("tp") + F.col("fp")),
+            "fn_rate": _ratio(F.col("fn") * 100, F.col("tp") + F.col("fn")),
+            "fp_rate": _ratio(F.col("fp") * 100, F.col("tp") + F.col("fp")),
         }
     )
 

@@ -9,7 +9,9 @@ scan, overlaps are joins on doc_id, and no operator depends on row order.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import lookup
 from ..functions import patterns as P
 from ..functions import text as T
+from ..sources.tables import kept
 
 SPAN = "array<struct<start_pos int, end_pos int, text string, entity_type string, confidence double, pattern string, pattern_ord int>>"
 
@@ -136,8 +139,64 @@ def regex_spans(docs: DataFrame, rules: Iterable[P.Pattern] = P.PATTERNS, keys:
     return rows.select(*keys, "_s.*")
 
 
+#: Terms that one automaton holds; more are sought in several passes.
+TERMS_AT_ONCE = 1_000_000
+
+
+def term_spans(docs: DataFrame, terms: DataFrame, keys: list[str] | None = None, at_once: int = TERMS_AT_ONCE) -> DataFrame:
+    """keys, term, entity_type, start_pos and end_pos of every place of terms(term, entity_type) in docs(keys..., text).
+
+    One automaton over all terms reads each text once, so time doesn't grow with the number of terms. Places of one term
+    don't overlap: the first counts. An automaton has at_once terms at most and is built once a worker.
+    """
+    keys, spark = keys or ["doc_id"], docs.sparkSession
+    own = kept(terms.where("term <> ''").select("term", "entity_type").distinct())
+    passes = max(1, -(-own.count() // at_once))
+    schema = ", ".join(f"`{k}` {dict(docs.dtypes)[k]}" for k in keys) + ", term string, entity_type string, start_pos int, end_pos int"
+    found = []
+    for k in range(passes):
+        mine = own.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == k).groupBy("term").agg(F.sort_array(F.collect_set(F.coalesce("entity_type", F.lit("")))).alias("kinds"))
+        shared = spark.sparkContext.broadcast([(r.term, list(r.kinds)) for r in mine.collect()])  # at_once terms, by and large
+        found.append(docs.select(*keys, "text").mapInArrow(_automaton(shared, uuid.uuid4().hex, keys), schema))
+    return reduce(DataFrame.unionAll, found)
+
+
+#: A worker's automaton, and the name of the terms it is of.
+_OWN_AUTOMATON: list = [None, None]
+
+
+def _automaton(shared, name: str, keys: list[str]):
+    def run(batches):
+        import ahocorasick
+
+        if _OWN_AUTOMATON[0] != name:
+            own = ahocorasick.Automaton()
+            for term, kinds in shared.value:
+                own.add_word(term, (term, kinds))
+            if len(own):
+                own.make_automaton()
+            _OWN_AUTOMATON[:] = name, own
+        own = _OWN_AUTOMATON[1]
+        for batch in batches:
+            rows, out = [], []
+            for i, text in enumerate(batch.column("text")):
+                text, last = text.as_py(), {}
+                for stop, (term, kinds) in own.iter(text) if text and len(own) else ():
+                    low = stop + 1 - len(term)
+                    if low >= last.get(term, 0):
+                        last[term] = stop + 1
+                        for kind in kinds:
+                            rows.append(i)
+                            out.append((term, kind or None, low, stop + 1))
+            if out:
+                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.select(keys).take(pa.array(rows)).columns, *columns], [*keys, "term", "entity_type", "start_pos", "end_pos"])
+
+    return run
+
+
 def literal_spans(docs: DataFrame, terms: list[tuple[str, str]]) -> DataFrame:
-    """Every place of every (term, entity_type) in the texts, terms taken literally. The terms are a small fixed list."""
+    """Every place of every (term, entity_type) in the texts, terms taken literally. A small fixed list; term_spans() is for tables of terms."""
     rules = [P.Pattern(term, kind, 1.0, java_quoted(term)) for term, kind in terms]
     return regex_spans(docs, rules)
 

@@ -366,19 +366,40 @@ def e1_text_matches(spans, gold):
     "gold",
     sql=f"""{_CELLS}, s AS (SELECT entity_type, sum(least(a, b)) AS tp, sum(a - least(a, b)) AS fp, sum(b - least(a, b)) AS fn FROM c GROUP BY 1), x AS (SELECT *, {_SCORES} FROM s)
       SELECT entity_type, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS f1,
-        round(CASE WHEN tp + fn > 0 THEN fn / (tp + fn) ELSE 0 END, 9) AS fn_rate, round(CASE WHEN tp + fp > 0 THEN fp / (tp + fp) ELSE 0 END, 9) AS fp_rate FROM x""",
+        round(CASE WHEN tp + fn > 0 THEN 100 * fn / (tp + fn) ELSE 0 END, 9) AS fn_rate, round(CASE WHEN tp + fp > 0 THEN 100 * fp / (tp + fp) ELSE 0 END, 9) AS fp_rate FROM x""",
 )
 def e2_scores(spans, gold):
     rows = E.with_scores(E.text_matches(spans, gold).where("entity_type IS NOT NULL")).drop("tp", "fp", "fn")
     return _rounded(rows, "precision", "recall", "f1", "fn_rate", "fp_rate")
 
 
-_RANKED = """, g AS (SELECT doc_id, lower(trim(entity_text)) AS norm, entity_type, count(*) AS b FROM gold GROUP BY 1, 2, 3),
-  s AS (SELECT r.*, source, coalesce(b, 0) AS b, row_number() OVER (PARTITION BY r.doc_id, r.norm, r.entity_type ORDER BY r.start_pos, r.end_pos, {0}) AS k
-    FROM (SELECT *, lower(trim(text)) AS norm, CASE WHEN pattern_ord % 2 = 0 THEN 'ner' ELSE 'regex' END AS source FROM regex_spans) r LEFT JOIN g ON g.doc_id = r.doc_id AND g.norm = r.norm AND g.entity_type = r.entity_type)"""
+#: Gold entities in turn, each with the nearest prediction that is free: x has a row a cell, with the places of those that were used.
+_NEAREST = """, pr AS (SELECT doc_id, lower(trim(text)) AS norm, entity_type, list({{'start_pos': start_pos, 'end_pos': end_pos, 'v': {0}}} ORDER BY start_pos, end_pos, {0}) AS p FROM regex_spans GROUP BY 1, 2, 3),
+  go AS (SELECT doc_id, lower(trim(entity_text)) AS norm, entity_type, list({{'start_pos': start_pos, 'end_pos': end_pos}} ORDER BY start_pos, end_pos) AS g FROM gold GROUP BY 1, 2, 3),
+  ce AS (SELECT pr.*, coalesce(g, []) AS g FROM pr LEFT JOIN go USING (doc_id, norm, entity_type)),
+  st AS (
+    SELECT doc_id, norm, entity_type, 0 AS i, CAST([] AS INTEGER[]) AS used FROM ce
+    UNION ALL
+    SELECT s.doc_id, s.norm, s.entity_type, s.i + 1, list_append(s.used, coalesce(list_sort(list_transform(list_filter(range(1, len(c.p) + 1), lambda k: NOT list_contains(s.used, k::INTEGER)),
+      lambda k: {{'far': abs(c.p[k].start_pos - c.g[s.i + 1].start_pos), 'k': k::INTEGER}}))[1].k, 0))
+    FROM st s JOIN ce c USING (doc_id, norm, entity_type) WHERE s.i < len(c.g)),
+  x AS (SELECT c.*, s.used FROM st s JOIN ce c USING (doc_id, norm, entity_type) WHERE s.i = len(c.g)),
+  s AS (SELECT doc_id, norm, entity_type, p[k].start_pos AS start_pos, p[k].end_pos AS end_pos, p[k].v AS v, list_position(used, k::INTEGER) AS m, g FROM (SELECT *, unnest(range(1, len(p) + 1)) AS k FROM x) y)"""
+_SOURCE = "CASE WHEN pattern_ord % 2 = 0 THEN 'ner' ELSE 'regex' END"
 
 
-@query("regex_spans", "gold", sql=f"{_RANKED.format('source')} SELECT source, count(*) FILTER (k <= b) AS tp, count(*) FILTER (k > b) AS fp, round(count(*) FILTER (k <= b) / count(*), 9) AS precision FROM s GROUP BY 1")
+@query(
+    "regex_spans",
+    "gold",
+    recursive=True,
+    sql=f"{_NEAREST.format('start_pos')} SELECT doc_id, norm, entity_type, start_pos, end_pos, g[m].start_pos AS gold_start, g[m].end_pos AS gold_end FROM s WHERE m > 0",
+)
+def e1_nearest_matches(spans, gold):
+    """Pairs of gold entities and predictions, one to one."""
+    return E.nearest_matches(spans, gold)
+
+
+@query("regex_spans", "gold", recursive=True, sql=f"{_NEAREST.format(_SOURCE)} SELECT v AS source, count(*) FILTER (m > 0) AS tp, count(*) FILTER (coalesce(m, 0) = 0) AS fp, round(count(*) FILTER (m > 0) / count(*), 9) AS precision FROM s GROUP BY 1")
 def e3_source_scores(spans, gold):
     rows = spans.withColumn("source", F.when(F.col("pattern_ord") % 2 == 0, "ner").otherwise("regex"))
     return _rounded(E.source_scores(rows, gold), "precision")
@@ -399,8 +420,9 @@ def e4_edge_case_recall(spans, gold):
 @query(
     "regex_spans",
     "gold",
-    sql=f"""{_RANKED.format('confidence')} SELECT CASE WHEN confidence < 0.7 THEN '0.5-0.7' WHEN confidence < 0.9 THEN '0.7-0.9' ELSE '0.9-1.0' END AS bucket, count(*) AS n,
-      count(*) FILTER (k <= b) AS tp, round(count(*) FILTER (k <= b) / count(*), 9) AS precision FROM s GROUP BY 1""",
+    recursive=True,
+    sql=f"""{_NEAREST.format('confidence')} SELECT CASE WHEN v < 0.7 THEN '0.5-0.7' WHEN v < 0.9 THEN '0.7-0.9' ELSE '0.9-1.0' END AS bucket, count(*) AS n,
+      count(*) FILTER (m > 0) AS tp, round(count(*) FILTER (m > 0) / count(*), 9) AS precision FROM s GROUP BY 1""",
 )
 def e5_bucket_precision(spans, gold):
     return _rounded(E.bucket_precision(spans, gold), "precision")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lookup
 from ..functions import patterns as P
 from ..operators import spans as S
-from .registry import query
+from .registry import on_tables, query
 
 _BY_NAME = {p.name: p for p in (*P.PATTERNS, *P.ANNOTATOR)}
 
@@ -44,9 +44,13 @@ def d2_compound_names(docs):
     return _one("compound_names", docs)
 
 
-@query("docs")
+# RE2 has no lookahead: what it forbids is taken out afterwards
+_LAST_FIRST = _BY_NAME["last_first_names"].regex.replace(f"(?!{P.NOT_BEFORE_FIRST_NAME})", "")
+_FORBIDDEN = f"regexp_matches(text, ',\\s*({P.NOT_BEFORE_FIRST_NAME})')"
+
+
+@query("docs", sql=f"SELECT * FROM {spans_sql(_LAST_FIRST)} WHERE NOT {_FORBIDDEN}")
 def d3_last_first_names(docs):
-    """No twin: RE2 has no lookahead. Tested against Python's re."""
     return _one("last_first_names", docs)
 
 
@@ -240,7 +244,65 @@ def d25_positions(docs):
     return S.literal_spans(docs, [("Dubois", "PERSON")]).select("doc_id", "start_pos", "end_pos")
 
 
-@query("docs")
+def detected_sql() -> str:
+    """CTEs after `docs`, and a query: spans of all patterns and both dictionaries, as all_detected() has them."""
+    parts = []
+    for k, p in enumerate((*P.PATTERNS, P.FULL_NAME, P.GEOGRAPHY)):
+        regex, text, where = p.regex, "text", "true"
+        if p.name == "last_first_names":
+            regex, where = _LAST_FIRST, f"NOT {_FORBIDDEN}"
+        elif p.name == "location_indicators":
+            regex = _PLACE
+        elif p is P.FULL_NAME:
+            text = "regexp_replace(text, '\\s+', ' ')"
+            part = lambda i: f"regexp_extract(text, '^(\\S+)\\s+(\\S+)$', {i})"
+            where = f"{part(1)} IN ({_listed(_FIRST)}) AND {part(2)} IN ({_listed(lookup.LAST_NAMES)})"
+        elif p is P.GEOGRAPHY:
+            where = f"text IN ({_listed(_PLACES)})"
+        parts.append(f"SELECT doc_id, {text} AS text, '{p.entity_type}' AS entity_type, start_pos, end_pos, {p.confidence}::DOUBLE AS confidence, {k} AS pattern_ord FROM {spans_sql(regex)} WHERE {where}")
+    none = "SELECT doc_id, text, entity_type, start_pos, end_pos, CAST(NULL AS DOUBLE) AS confidence FROM regex_spans WHERE false"
+    return f", regex_spans AS ({' UNION ALL '.join(parts)}), ner_spans AS ({none}){MERGE}"
+
+
+@query("docs", sql=detected_sql())
 def d0_all_patterns(docs):
     """All patterns and both dictionaries in one scan, deduplicated and merged without a model."""
-    return S.all_detected(docs, engine="arrow")
+    return S.all_detected(docs)
+
+
+_SIGHT = r"[A-Z][a-z]{3,}"
+
+
+@on_tables(
+    "documents",
+    sql=f"""WITH docs AS (SELECT doc_id, text FROM documents), p AS (
+        SELECT doc_id, regexp_extract_all(text, '{_SIGHT}') AS m, string_split_regex(text, '{_SIGHT}') AS g FROM docs WHERE text IS NOT NULL),
+      u AS (SELECT doc_id, unnest(m) AS text, unnest(g[1:len(m)]) AS gap, unnest(range(1, len(m) + 1)) AS i FROM p),
+      e AS (SELECT *, sum(length(text) + length(gap)) OVER (PARTITION BY doc_id ORDER BY i) AS fin FROM u)
+      SELECT doc_id, text, (fin - length(text))::INTEGER AS start_pos, fin::INTEGER AS end_pos FROM e""",
+)
+def d0_document_spans(documents):
+    """Places of capitalised words in whole documents, however long."""
+    found = S.regex_spans(documents, [P.Pattern("sight", "PERSON", 1.0, _SIGHT)])
+    return found.select("doc_id", "text", "start_pos", "end_pos")
+
+
+@on_tables("documents")
+def d0_documents(documents):
+    """All patterns and both dictionaries over whole documents. No twin: RE2's word edges are ASCII ones, which these texts don't fit; tested against a plain version."""
+    return S.all_detected(documents)
+
+
+@on_tables(
+    "documents",
+    "benchmark",
+    sql="""WITH terms AS (SELECT DISTINCT array_to_string(string_split(text, ' ')[1:4], ' ') AS term FROM benchmark WHERE text IS NOT NULL),
+      h AS (SELECT doc_id, term, string_split(text, term) AS g FROM documents JOIN terms ON contains(text, term) WHERE term <> ''),
+      u AS (SELECT doc_id, term, unnest(range(1, len(g))) AS i, g FROM h)
+      SELECT doc_id, term, (list_sum(list_transform(g[1:i], lambda x: length(x))) + (i - 1) * length(term))::INTEGER AS start_pos,
+        (list_sum(list_transform(g[1:i], lambda x: length(x))) + i * length(term))::INTEGER AS end_pos FROM u""",
+)
+def d23_many_terms(documents, benchmark):
+    """The beginnings of all benchmark items, sought in all documents in one pass."""
+    terms = benchmark.select(F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("term"), F.lit("ITEM").alias("entity_type")).where("term IS NOT NULL").distinct()
+    return S.term_spans(documents, terms).drop("entity_type")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ from ..operators import rewrite as R
 from ..operators import spans as S
 from ..sources import cells as C
 from ..sources.tables import kept
-from .detection import _BY_NAME, _strip_sql, spans_sql
-from .registry import query
+from .detection import _BY_NAME, _strip_sql, detected_sql, spans_sql
+from .registry import on_tables, query
 from .scalars import _FORM_SQL, _PREP
 
 # -- grouping
@@ -125,9 +127,15 @@ def a12_neutral_ids(people):
     return A.neutral_ids(people).select("doc_id", "span_ord", "text", "entity_type", "key", "pseudonym")
 
 
-@query("people")
+@query(
+    "people",
+    sql=f"""{NEUTRAL}, first AS (SELECT key, pl FROM k WHERE NOT (kind = 'PERSON' AND len(w) = 1) UNION ALL SELECT key, pl FROM made),
+      n AS (SELECT o.*, string_split(o.key, ' ') AS w, o.entity_type = 'PERSON' AS person FROM first f JOIN out o ON o.key = f.key AND o.doc_id = f.pl[1] AND o.span_ord = f.pl[2])
+      SELECT substr(sha256(key), 1, 32) AS id, entity_type, CASE WHEN person THEN w[1] END AS first_name, CASE WHEN person THEN w[2] END AS last_name, key AS full_name,
+        CASE WHEN person AND len(w) > 1 THEN pseudonym || '-P' WHEN person THEN pseudonym END AS pseudonym_first,
+        CASE WHEN person AND len(w) > 1 THEN pseudonym || '-N' END AS pseudonym_last, pseudonym AS pseudonym_full, 'neutral_id' AS theme FROM n""",
+)
 def a3_new_mappings(people):
-    """No twin: identities are sha2 of names; tested against the mentions."""
     return A.new_mappings(A.neutral_ids(people))
 
 
@@ -213,11 +221,56 @@ def r2_rewritten_documents(docs):
     return pseudonymised(docs, _titled_spans(docs))
 
 
-@query("docs")
+#: Spans in turn by place, longer ones first: one that overlaps none kept before is kept.
+_RESOLVED = """so AS (SELECT doc_id, list({'a': start_pos, 'b': end_pos, 'x': replacement} ORDER BY start_pos, end_pos DESC, replacement) AS l FROM r WHERE replacement IS NOT NULL GROUP BY 1),
+  wa AS (SELECT doc_id, 0 AS i, 0 AS fin, CAST([] AS INTEGER[]) AS kept FROM so UNION ALL
+    SELECT w.doc_id, w.i + 1, CASE WHEN s.l[w.i + 1].a >= w.fin THEN s.l[w.i + 1].b ELSE w.fin END,
+      CASE WHEN s.l[w.i + 1].a >= w.fin THEN list_append(w.kept, (w.i + 1)::INTEGER) ELSE w.kept END
+    FROM wa w JOIN so s ON s.doc_id = w.doc_id WHERE w.i < len(s.l)),
+  ke AS (SELECT w.doc_id, list_transform(w.kept, lambda k: s.l[k]) AS l FROM wa w JOIN so s ON s.doc_id = w.doc_id WHERE w.i = len(s.l)),
+  g AS (SELECT d.doc_id, d.text, coalesce(list_transform(l, lambda s: s.a), []) AS a, coalesce(list_transform(l, lambda s: s.b), []) AS b, coalesce(list_transform(l, lambda s: s.x), []) AS x
+    FROM docs d LEFT JOIN ke ON ke.doc_id = d.doc_id)"""
+_SPLICED = REWRITE[REWRITE.index("SELECT doc_id, coalesce(array_to_string(") :]
+_BARE = _strip_sql(_strip_sql("text"))
+_ALL_KEYS = f"CASE entity_type WHEN 'LOCATION' THEN trim(regexp_replace({_BARE}, '{_PREP}', '')) ELSE {_BARE} END"
+_ALL_NEUTRAL = NEUTRAL.replace(", t AS (SELECT", "tt AS (SELECT", 1).replace("FROM t)", "FROM tt)", 1).lstrip(", ")
+_ALL_NEUTRAL = _ALL_NEUTRAL.replace(f"CASE WHEN entity_type = 'LOCATION' THEN text ELSE {_strip_sql('text')} END AS key", f"{_ALL_KEYS} AS key", 1)
+_ALL_NEUTRAL = _ALL_NEUTRAL.replace("CASE kind WHEN 'PERSON' THEN 'PER' ELSE 'LOC' END", "CASE kind WHEN 'PERSON' THEN 'PER' WHEN 'LOCATION' THEN 'LOC' ELSE 'ORG' END", 1)
+
+
+def _all_rewritten_sql() -> str:
+    """As r2_rewritten_documents, over all spans. CTEs of the detection have names of their own."""
+    found = detected_sql()
+    for name in ("n", "d", "r", "p", "u", "f"):
+        found = re.sub(rf"\b{name} AS \(", f"z{name} AS (", found)
+        found = re.sub(rf"\b(FROM|JOIN) {name}\b(?! AS)", rf"\1 z{name} {name}", found)
+    head, tail = found[: found.rindex("SELECT doc_id, (row_number()")].rstrip(), found[found.rindex("SELECT doc_id, (row_number()") :]
+    people = "people AS (SELECT doc_id, doc_id AS doc_ord, span_ord, text, entity_type FROM sp)"
+    bare = _BARE.replace("text", "s.text")
+    before = lambda whole: f"CASE WHEN o.key <> {whole} AND o.key <> '' AND strpos({whole}, o.key) > 1 THEN substr({whole}, 1, strpos({whole}, o.key) - 1) ELSE '' END"
+    prefix = f"CASE s.entity_type WHEN 'PERSON' THEN {before('s.text')} WHEN 'LOCATION' THEN {before(bare)} ELSE '' END"
+    replaced = f"r AS (SELECT s.*, {prefix} || o.pseudonym AS replacement FROM sp s JOIN out o ON o.doc_id = s.doc_id AND o.span_ord = s.span_ord)"
+    return f"{head}, sp AS ({tail}), {people}, {_ALL_NEUTRAL}, {replaced}, {_RESOLVED} {_SPLICED}"
+
+
+@query("docs", sql=_all_rewritten_sql(), recursive=True)
 def r2_all_patterns_rewritten(docs):
-    """The same with every pattern and both dictionaries, overlaps resolved. No twin for the reason given at d3."""
-    spans = S.all_detected(docs, engine="arrow")
-    return pseudonymised(docs, spans)
+    """The same with every pattern and both dictionaries, overlaps resolved."""
+    return pseudonymised(docs, S.all_detected(docs))
+
+
+_MARKED = r"[A-Z][a-z]{3,}"
+_MARKED_RULE = P.Pattern("marked", "PERSON", 1.0, _MARKED)
+
+
+@on_tables(
+    "documents",
+    sql=f"SELECT doc_id, regexp_replace(text, '{_MARKED}', '[~]', 'g') AS text, coalesce(len(regexp_extract_all(text, '{_MARKED}')), 0)::INTEGER AS n_replaced FROM documents",
+)
+def r1_marked_documents(documents):
+    """Whole documents, however long, with each capitalised word replaced."""
+    spans = S.regex_spans(documents, [_MARKED_RULE], engine="arrow")
+    return R.rewritten(documents, spans.withColumn("replacement", F.lit("[~]")))
 
 
 @query(

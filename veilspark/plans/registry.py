@@ -13,7 +13,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(*names: str, sql: str | None = None) -> Callable[[Callable[..., DataFrame]], Query]:
+def query(*names: str, sql: str | None = None, recursive: bool = False) -> Callable[[Callable[..., DataFrame]], Query]:
     """Register f(*fixtures) under its own name; fixtures are those named, in order. sql starts after their WITH."""
 
     def register(f: Callable[..., DataFrame]) -> Query:
@@ -23,7 +23,7 @@ def query(*names: str, sql: str | None = None) -> Callable[[Callable[..., DataFr
         run.__doc__ = f.__doc__
         QUERIES[f.__name__] = run
         if sql is not None:
-            SQL[f.__name__] = f"{fixtures.duck(*names)} {sql}" if names else sql
+            SQL[f.__name__] = f"{fixtures.duck(*names, recursive=recursive)} {sql}" if names else sql
         return run
 
     return register
