@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, detection, pipeline, scalars  # noqa: F401
+from . import analytics, detection, pipeline, runs, scalars  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 
