@@ -476,12 +476,6 @@ def e10_adjacent_overlaps(gold):
     return E.adjacent_overlaps(gold.distinct())
 
 
-@query("gold")
-def e11_suspicious(gold):
-    """Many word lists: no twin, tested against a plain version."""
-    return E.suspicious(_odd(gold)).select("doc_id", "entity_text", "entity_type", "start_pos", F.array_join("reasons", ",").alias("reasons"))
-
-
 @query(
     "gold",
     "regex_spans",
@@ -510,14 +504,57 @@ def e14_utility(log):
     return E.utility(log, ["operation_type"], "entity_count").withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
-@query("gold")
+def _any_sql(values, how: str, text: str = "t") -> str:
+    return "(" + " OR ".join(f"{how}({text}, '{v}')" for v in values) + ")"
+
+
+def _in_sql(word: str, values) -> str:
+    return f"{word} IN ({', '.join(repr(v) for v in values)})"
+
+
+_ODD_TEXTS = ["Directeur technique", "Le Siège", "Nous avons vu le Groupe Horizon", "Dubois, Chef", "Corp Solutions", "Me", "Directeur, Paul"]
+_ODD_SQL = f""", o AS (SELECT doc_id, CASE WHEN end_pos % 2 = 0 THEN {_ODD_TEXTS}[start_pos % {len(_ODD_TEXTS)} + 1] ELSE entity_text END AS entity_text, entity_type, start_pos, end_pos FROM gold),
+  w AS (SELECT *, entity_text AS t, regexp_extract_all(entity_text, '\\S+') AS w, trim(split_part(entity_text, ',', 1)) AS head FROM o)"""
+_UPPER = lambda word: f"regexp_matches(substr({word}, 1, 1), '\\p{{Lu}}')"
+_LISTED = f"(contains(t, ',') AND {_UPPER('head')})"
+_NAMED = f"len(list_filter(w[2:], lambda x: {_UPPER('x')} AND NOT {_in_sql('x', E.JOB_TITLES)})) > 0"
+_PERSON = f"entity_type = 'PERSON' AND NOT {_LISTED}"
+_REASONS = [
+    (f"{_PERSON} AND {_any_sql(E.JOB_TITLES, 'contains')} AND NOT {_NAMED}", "job_title"),
+    (f"{_PERSON} AND {_any_sql(E.SITE_WORDS, 'contains')}", "site"),
+    (f"{_PERSON} AND {_any_sql(E.FRAGMENT_STARTS, 'starts_with')}", "fragment"),
+    (f"{_PERSON} AND {_any_sql(('Corp', 'France'), 'contains')}", "organisation"),
+    ("entity_type = 'ORG' AND len(w) > 5", "too_long"),
+    (f"entity_type = 'ORG' AND {_any_sql(E.SENTENCE_STARTS, 'starts_with')}", "sentence"),
+]
+
+
+@query("gold", sql=f"{_ODD_SQL}, r AS (SELECT *, concat_ws(',', {', '.join(f'CASE WHEN {rule} THEN {name!r} END' for rule, name in _REASONS)}) AS reasons FROM w) SELECT doc_id, entity_text, entity_type, start_pos, reasons FROM r WHERE reasons <> ''")
+def e11_suspicious(gold):
+    return E.suspicious(_odd(gold)).select("doc_id", "entity_text", "entity_type", "start_pos", F.array_join("reasons", ",").alias("reasons"))
+
+
+_NO_TITLE = "NOT regexp_matches(t, '^(?:Dr\\.|Pr\\.|M\\.|Mme|Me|Professeur|Docteur)\\s+[A-ZÀ-Ö]')"
+_PROPER = f"len(list_filter(w, lambda x: {_UPPER('x')} AND NOT {_in_sql('x', E.COMPANY_WORDS)} AND length(x) > 2)) < 2"
+_NO_PERSON = " OR ".join(
+    [
+        f"(contains(t, ',') AND {_in_sql('head', E.STANDALONE_TITLES)})",
+        _any_sql(E.PLACE_WORDS, "contains"),
+        _any_sql((*E.FRAGMENT_STARTS, "En "), "starts_with"),
+        f"({_any_sql(E.COMPANY_WORDS, 'contains')} AND {_NO_TITLE} AND {_PROPER})",
+        _any_sql(E.FRAGMENTS, "contains"),
+        "length(t) < 3",
+    ]
+)
+_NO_ORG = " OR ".join(["len(w) > 6", _any_sql((*E.SENTENCE_STARTS, "Ensuite", "Avec "), "starts_with"), _any_sql(E.VERBS, "contains", "lower(t)")])
+
+
+@query("gold", sql=f"{_ODD_SQL} SELECT doc_id, entity_text, entity_type, start_pos, end_pos FROM w WHERE NOT CASE entity_type WHEN 'PERSON' THEN ({_NO_PERSON}) WHEN 'ORG' THEN ({_NO_ORG}) ELSE false END")
 def e15_without_false_positives(gold):
-    """Many word lists: no twin, tested against a plain version."""
     return E.without_false_positives(_odd(gold))
 
 
 def _odd(gold):
     """gold with texts that annotators get wrong in some places."""
-    odd = ["Directeur technique", "Le Siège", "Nous avons vu le Groupe Horizon", "Dubois, Chef", "Corp Solutions", "Me", "Directeur, Paul"]
-    text = F.element_at(F.array(*map(F.lit, odd)), (F.col("start_pos") % len(odd) + 1).cast("int"))
+    text = F.element_at(F.array(*map(F.lit, _ODD_TEXTS)), (F.col("start_pos") % len(_ODD_TEXTS) + 1).cast("int"))
     return gold.withColumn("entity_text", F.when(F.col("end_pos") % 2 == 0, text).otherwise(F.col("entity_text")))

@@ -139,9 +139,47 @@ def a3_new_mappings(people):
     return A.new_mappings(A.neutral_ids(people))
 
 
-@query("people", "mappings")
+#: As NEUTRAL, against stored mappings: a name that has one keeps it, a word may be a stored person's part, numbers go on.
+RESOLVED_WITH_MAPPINGS = f""", t AS (SELECT *, CASE WHEN entity_type = 'LOCATION' THEN text ELSE {_strip_sql('text')} END AS key FROM people),
+  m AS (SELECT t.*, string_split(key, ' ') AS w, (doc_ord, span_ord) AS pl, mp.pseudonym_full AS old FROM t LEFT JOIN mappings mp ON mp.full_name = t.key),
+  fresh AS (SELECT * FROM m WHERE old IS NULL),
+  k AS (SELECT key, arg_min(entity_type, pl) AS kind, arg_min(w, pl) AS w, min(pl) AS pl FROM fresh GROUP BY 1),
+  parts AS (
+    SELECT key AS bearer, pl, 0 AS role, w[1] AS part FROM k WHERE kind = 'PERSON' AND len(w) = 2
+    UNION ALL SELECT key, pl, 1, w[2] FROM k WHERE kind = 'PERSON' AND len(w) = 2),
+  od AS (SELECT part, arg_min(given, (role, given)) AS given FROM (
+      SELECT first_name AS part, 0 AS role, pseudonym_full || '-P' AS given FROM mappings WHERE entity_type = 'PERSON' AND last_name IS NOT NULL
+      UNION ALL SELECT last_name, 1, pseudonym_full || '-N' FROM mappings WHERE entity_type = 'PERSON' AND last_name IS NOT NULL) x GROUP BY 1),
+  words AS (SELECT doc_ord, key, min(span_ord) AS span_ord FROM fresh WHERE entity_type = 'PERSON' AND len(w) = 1 GROUP BY 1, 2),
+  same AS (
+    SELECT x.doc_ord, x.key, arg_min((p.bearer, p.role), (p.role, p.pl)) AS s FROM words x
+    JOIN parts p ON p.part = x.key AND p.pl[1] = x.doc_ord AND p.pl < (x.doc_ord, x.span_ord) GROUP BY 1, 2),
+  made AS (
+    SELECT x.key, min((x.doc_ord, x.span_ord)) AS pl FROM words x LEFT JOIN same s ON s.doc_ord = x.doc_ord AND s.key = x.key WHERE s.key IS NULL GROUP BY 1),
+  known AS (SELECT d.key, arg_min((p.bearer, p.role), (p.role, p.pl)) AS s FROM made d JOIN parts p ON p.part = d.key AND p.pl < d.pl GROUP BY 1),
+  counted AS (
+    SELECT key, kind, pl FROM k WHERE NOT (kind = 'PERSON' AND len(w) = 1)
+    UNION ALL SELECT d.key, 'PERSON', d.pl FROM made d LEFT JOIN known n ON n.key = d.key LEFT JOIN od ON od.part = d.key WHERE n.key IS NULL AND od.part IS NULL),
+  bases AS (SELECT split_part(pseudonym_full, '-', 1) AS pre, max(split_part(pseudonym_full, '-', 2)::INTEGER) AS base FROM mappings GROUP BY 1),
+  ids AS (SELECT key, pl, pre || '-' || lpad((n + coalesce(base, 0))::VARCHAR, greatest(3, length((n + coalesce(base, 0))::VARCHAR))::INTEGER, '0') AS id
+    FROM (SELECT *, CASE kind WHEN 'PERSON' THEN 'PER' ELSE 'LOC' END AS pre, row_number() OVER (PARTITION BY kind ORDER BY pl, key) AS n FROM counted) z LEFT JOIN bases USING (pre)),
+  shared AS (SELECT d.key, coalesce(od.given, i.id || CASE n.s[2] WHEN 0 THEN '-P' ELSE '-N' END) AS id
+    FROM made d LEFT JOIN od ON od.part = d.key LEFT JOIN known n ON n.key = d.key LEFT JOIN ids i ON i.key = n.s[1]),
+  indoc AS (SELECT s.doc_ord, s.key, i.id || CASE s.s[2] WHEN 0 THEN '-P' ELSE '-N' END AS id FROM same s JOIN ids i ON i.key = s.s[1])"""
+
+
+@query(
+    "people",
+    "mappings",
+    sql=f"""{RESOLVED_WITH_MAPPINGS}
+      SELECT m.doc_id, m.span_ord, m.text, m.entity_type, m.key, CASE WHEN m.old IS NOT NULL THEN m.old WHEN m.entity_type = 'PERSON' AND len(m.w) = 1 THEN CASE
+        WHEN d.pl IS NOT NULL AND m.doc_ord > d.pl[1] THEN coalesce(h.id, i.id)
+        WHEN j.id IS NOT NULL THEN j.id ELSE coalesce(h.id, i.id) END ELSE i.id END AS pseudonym,
+        m.old IS NULL AND coalesce(coalesce(d.pl, i.pl) = m.pl, false) AS is_new
+      FROM m LEFT JOIN ids i ON i.key = m.key LEFT JOIN made d ON d.key = m.key LEFT JOIN shared h ON h.key = m.key LEFT JOIN indoc j ON j.key = m.key AND j.doc_ord = m.doc_ord""",
+)
 def a1_resolve_with_mappings(people, mappings):
-    """Against stored mappings, whose numbers go on. No twin; tested against a sequential model."""
+    """Against stored mappings, whose numbers go on."""
     old = mappings.withColumns({"pseudonym_first": F.concat("pseudonym_full", F.lit("-P")), "pseudonym_last": F.concat("pseudonym_full", F.lit("-N"))})
     return A.neutral_ids(people, old).select("doc_id", "span_ord", "text", "entity_type", "key", "pseudonym", "is_new")
 
@@ -159,9 +197,57 @@ def _pool(spark):
     return lookup.pool(spark, lookup.pool_rows(lookup.made_up_library()))
 
 
-@query("people")
+def _values(rows: list[tuple], columns: str) -> str:
+    return f"SELECT * FROM (VALUES {', '.join(str(r) for r in rows)}) v({columns})"
+
+
+def _padded(n: str) -> str:
+    return f"lpad(({n})::VARCHAR, greatest(3, length(({n})::VARCHAR))::INTEGER, '0')"
+
+
+def _by_hash(secret: str, value: str) -> str:
+    """The order of a keyed hash; secret and value are SQL."""
+    return f"ORDER BY sha256({secret} || '|' || {value}), {value}"
+
+
+def _library_sql() -> str:
+    """As library_ids() without stored mappings: parts and names by rank, numbers where the pool ends."""
+    pool = _values([row[1:] for row in lookup.pool_rows(lookup.made_up_library())], "kind, category, ord, value")
+    genders = _values([(g, v) for g, values in lookup.GENDERS.items() for v in values], "gender, value")
+    word = "string_split(value, ' ')[1]"
+    return f"""{NEUTRAL}, pool AS ({pool}), gen AS (SELECT value AS name, list(DISTINCT gender) AS g FROM ({genders}) x GROUP BY 1),
+      own AS (SELECT key, kind, pl, string_split(key, ' ') AS w FROM counted),
+      pe AS (SELECT key, pl, CASE WHEN len(w) > 1 THEN array_to_string(w[1:len(w) - 1], ' ') ELSE w[1] END AS first, CASE WHEN len(w) > 1 THEN w[len(w)] ELSE chr(0) || w[1] END AS last FROM own WHERE kind = 'PERSON'),
+      fi AS (SELECT value, CASE WHEN list_contains(g, 'ambiguous') THEN NULL WHEN list_contains(g, 'male') THEN 'male' WHEN list_contains(g, 'female') THEN 'female' END AS gender
+        FROM (SELECT DISTINCT first AS value FROM pe) q LEFT JOIN gen ON name = split_part(upper(substr({word}, 1, 1)) || lower(substr({word}, 2)), '-', 1)),
+      fp AS (SELECT value, arg_min(category, ord) AS category FROM pool WHERE kind = 'first' GROUP BY 1),
+      gr AS (SELECT value, gender, row_number() OVER (PARTITION BY gender {_by_hash("'secret/' || gender || '/real'", "value")}) AS n FROM fi WHERE gender IS NOT NULL),
+      gp AS (SELECT value, category, row_number() OVER (PARTITION BY category {_by_hash("'secret/' || category", "value")}) AS n FROM fp WHERE category IN ('male', 'female')),
+      gm AS (SELECT gr.value, gp.value AS pseudonym FROM gr JOIN gp ON gp.category = gr.gender AND gp.n = gr.n),
+      rr AS (SELECT value, row_number() OVER ({_by_hash("'secret/real'", "value")}) AS n FROM fi WHERE value NOT IN (SELECT value FROM gm)),
+      rp AS (SELECT value AS pseudonym, row_number() OVER ({_by_hash("'secret'", "value")}) AS n FROM fp WHERE value NOT IN (SELECT pseudonym FROM gm)),
+      lr AS (SELECT value, row_number() OVER ({_by_hash("'secret/real'", "value")}) AS n FROM (SELECT DISTINCT last AS value FROM pe) q),
+      lp AS (SELECT value AS pseudonym, row_number() OVER ({_by_hash("'secret'", "value")}) AS n FROM (SELECT DISTINCT value FROM pool WHERE kind = 'last') q),
+      bo AS (SELECT 0 AS role, value, pseudonym FROM gm UNION ALL SELECT 0, value, pseudonym FROM rr LEFT JOIN rp USING (n) UNION ALL SELECT 1, value, pseudonym FROM lr LEFT JOIN lp USING (n)),
+      nb AS (SELECT role, value, row_number() OVER ({_by_hash("'secret/rest'", "role || '|' || value")}) AS n FROM bo WHERE pseudonym IS NULL),
+      bb AS (SELECT role, value, coalesce(pseudonym, 'Person-' || {_padded('n')}) AS p FROM bo LEFT JOIN nb USING (role, value)),
+      pf AS (SELECT pe.key, a.p AS p1, b.p AS p2, a.p || ' ' || b.p AS whole, row_number() OVER (PARTITION BY a.p || ' ' || b.p ORDER BY pl, pe.key) AS r
+        FROM pe JOIN bb a ON a.role = 0 AND a.value = pe.first JOIN bb b ON b.role = 1 AND b.value = pe.last),
+      ba AS (SELECT coalesce(max(nullif(regexp_extract(p, '^Person-([0-9]+)$', 1), '')::INTEGER), 0) AS base FROM bb),
+      nu AS (SELECT key, 'Person-' || {_padded(f"base + row_number() OVER ({_by_hash(chr(39) + 'secret/rest' + chr(39), chr(39) + '2|' + chr(39) + ' || key')})")} AS p FROM pf, ba WHERE r > 1),
+      re AS (SELECT key, CASE WHEN nu.key IS NULL THEN p1 END AS p1, coalesce(nu.p, p2) AS p2, coalesce(nu.p, whole) AS whole FROM pf LEFT JOIN nu USING (key)),
+      kr AS (SELECT key, row_number() OVER ({_by_hash("'secret/real'", "key")}) AS n FROM own WHERE kind = 'LOCATION'),
+      kp AS (SELECT value AS pseudonym, row_number() OVER ({_by_hash("'secret'", "value")}) AS n FROM (SELECT DISTINCT value FROM pool WHERE kind = 'location') q),
+      km AS (SELECT key, pseudonym FROM kr LEFT JOIN kp USING (n)),
+      kn AS (SELECT key, row_number() OVER ({_by_hash("'secret/rest'", "'0|' || key")}) AS n FROM km WHERE pseudonym IS NULL)
+      SELECT key, 'PERSON' AS entity_type, p1 AS pseudonym_first, p2 AS pseudonym_last, whole AS pseudonym_full FROM re
+      UNION ALL SELECT key, 'LOCATION', NULL, NULL, coalesce(pseudonym, 'Location-' || {_padded('n')}) FROM km LEFT JOIN kn USING (key)
+      UNION ALL SELECT k.key, 'PERSON', CASE WHEN k.s[2] = 0 THEN r.p1 END, CASE WHEN k.s[2] = 1 THEN r.p2 END, CASE WHEN k.s[2] = 0 THEN r.p1 ELSE r.p2 END FROM known k JOIN re r ON r.key = k.s[1]"""
+
+
+@query("people", sql=_library_sql())
 def a7_library_names(people):
-    """Names from a library, by a keyed order. No twin; its invariants are tested."""
+    """Names from a library, by a keyed order."""
     spark = people.sparkSession
     return A.library_names(people, _pool(spark), "plain", "secret", lookup.genders(spark))
 
@@ -290,9 +376,19 @@ def r4_literal_replacement(docs):
     return R.rewritten(docs, spans.withColumn("replacement", F.concat(F.lit("["), "entity_type", F.lit("]"))))
 
 
-@query("gold")
+@query(
+    "gold",
+    recursive=True,
+    sql=""", c AS (SELECT doc_id, list({'a': start_pos, 'n': end_pos - start_pos, 'b': end_pos, 't': entity_type, 'x': entity_text} ORDER BY start_pos, end_pos - start_pos, end_pos, entity_type, entity_text) AS l
+        FROM (SELECT DISTINCT doc_id, start_pos, end_pos, entity_type, entity_text FROM gold) d GROUP BY 1),
+      st AS (SELECT doc_id, 0 AS i, CAST([] AS INTEGER[]) AS kept FROM c UNION ALL
+        SELECT doc_id, i + 1, CASE WHEN f IS NULL THEN list_append(kept, i + 1) WHEN l[i + 1].n < l[f].n AND l[i + 1].t = l[f].t THEN list_append(list_filter(kept, lambda k: k <> f), i + 1) ELSE kept END
+        FROM (SELECT s.*, c.l, list_filter(s.kept, lambda k: c.l[k].a < c.l[s.i + 1].b AND c.l[s.i + 1].a < c.l[k].b)[1] AS f FROM st s JOIN c USING (doc_id) WHERE s.i < len(c.l)) y),
+      e AS (SELECT doc_id, l, unnest(kept) AS k FROM st JOIN c USING (doc_id) WHERE i = len(l))
+      SELECT doc_id, l[k].a AS start_pos, l[k].b AS end_pos, l[k].t AS entity_type, l[k].x AS entity_text FROM e""",
+)
 def r5_pruned_annotations(gold):
-    """An order-dependent fold: no twin, tested against a plain version."""
+    """An order-dependent fold over each document's annotations."""
     return R.pruned_annotations(gold.distinct())
 
 
