@@ -222,3 +222,22 @@ def test_erasure_row_has_no_names(spark):
     row = U.erasure(goes, F.to_timestamp(F.lit("2024-01-01"))).first()
     assert "Marie" not in str(row) and row.entity_count == 1
     assert U.erasure(goes.limit(0), F.current_timestamp()).count() == 0
+
+
+def test_numbers_by_ranges_equal_one_window(spark):
+    import random
+
+    from veilspark.operators.numbering import numbered
+
+    rng = random.Random(1)
+    rows = [(k, rng.choice(["a", "b", None]), rng.randrange(5)) for k in range(2000)]
+    df = spark.createDataFrame(rows, "k long, kind string, v int").repartition(7)
+    for by in (None, "kind"):
+        got = {r.k: r.n for r in numbered(df, ["v", "k"], by).collect()}
+        want, seen = {}, {}
+        for k, kind, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+            group = kind if by else None
+            seen[group] = want[k] = seen.get(group, 0) + 1
+        assert got == want
+    plan = numbered(df, ["v", "k"], "kind")._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan and numbered(df.limit(0), ["v"], "kind").count() == 0

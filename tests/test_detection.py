@@ -206,3 +206,69 @@ def test_no_known_full_name_or_place_stays_in_clear(spark, sf):
     full = rf"(?<!-)\b({'|'.join(first)})\s+({'|'.join(lookup.LAST_NAMES)})\b"
     assert re.findall(full, texts) == []
     assert re.findall(rf"\b(?:{'|'.join(places)})\b", texts) == []
+
+
+def test_many_terms_equal_a_brute_force_and_passes_change_nothing(spark):
+    import random
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abé") for _ in range(rng.randrange(1, 4))) for _ in range(60)]
+    terms = sorted({w for w in words} | {f"{a} {b}" for a, b in zip(words, words[1:])})
+    texts = [(k, "".join(rng.choice([*words, " ", "aaaa", "\U0001f600"]) for _ in range(rng.randrange(0, 80)))) for k in range(60)] + [(None, "ab"), (61, None), (62, "")]
+    want = []
+    for d, t in texts:
+        for term in terms:
+            at = (t or "").find(term)
+            while at >= 0:
+                want.append((d, term, "X", at, at + len(term)))
+                at = t.find(term, at + len(term))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    table = spark.createDataFrame([(t, "X") for t in [*terms, terms[0], ""]], "term string, entity_type string")
+    for at_once in (S.TERMS_AT_ONCE, 17):
+        assert sorted(map(tuple, S.term_spans(docs, table, at_once=at_once).collect()), key=repr) == sorted(want, key=repr)
+    assert S.term_spans(docs, table.limit(0)).count() == 0
+
+
+def test_time_of_a_long_document_grows_as_it_does(spark):
+    """100,000 spans in a text of over 5 MB are found, and replaced, in well under a minute."""
+    import time
+
+    from veilspark.operators import rewrite as R
+
+    n = 50_000
+    text = " ".join(f"Voir M. Luc Dubois{'abcdefghij'[k % 10]} puis Mme Anne Petit et encore {'x' * 50}" for k in range(n))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    found = S.all_detected(docs)
+    rewritten = R.rewritten(docs, found.where("entity_type = 'PERSON' AND text LIKE 'M%'").withColumn("replacement", F.lit("X"))).first()
+    assert len(text) > 5_000_000 and rewritten.n_replaced == 2 * n and time.time() - began < 120
+    assert rewritten.text == " ".join(f"Voir X puis X et encore {'x' * 50}" for _ in range(n))
+    native = S.regex_spans(docs, [P.PATTERNS[0]])
+    assert native.exceptAll(S.regex_spans(docs, [P.PATTERNS[0]], engine="arrow")).count() == 0 and native.count() == 2 * n
+    assert R.without_overlaps(native, ["doc_id"]).count() == 2 * n
+
+
+def test_suffix_organisations_are_those_of_the_pattern():
+    import random
+    import re
+
+    rule = next(p for p in P.PATTERNS if p.ending)
+    rng = random.Random(4)
+    words = ["Alpha", "Delta Conseil", "SA", "SARL", "SAS", " ", "\n", ".", ",", "1", ";", "é", "Été", "X", "a", "&", "SAx", "-SA", "SA-", "'", "B SA"]
+    for _ in range(5000):
+        text = "".join(rng.choice(words) + rng.choice([" ", "", ". "]) for _ in range(rng.randrange(1, 25)))
+        assert [m.span() for m in S._finder(rule)(text)] == [m.span() for m in re.finditer(rule.regex, text)]
+
+
+def test_spans_meet_across_stretches(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    span = lambda k: (1, f"T{k}", "PERSON", (a := rng.randrange(3000)), a + rng.choice([0, 1, 5, 40, 900]), 0.5)
+    schema = "doc_id long, text string, entity_type string, start_pos int, end_pos int, confidence double"
+    ner, regex = (spark.createDataFrame([span(k) for k in range(150)], schema) for _ in range(2))
+    rows = []
+    for stretch in (1 << 30, 7, 512):
+        monkeypatch.setattr(S, "STRETCH", stretch)
+        rows.append(sorted(map(tuple, S.merged(ner, regex).collect())))
+    assert rows[0] == rows[1] == rows[2]

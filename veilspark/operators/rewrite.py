@@ -7,28 +7,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-#: Kept spans are gathered in blocks of this size, as an array that grows by one is copied each time.
-_BLOCK = 256
+def without_overlaps(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Of spans(keys..., start_pos, end_pos, ...), those that overlap none kept before them; by start, longer ones first.
 
+    A document's spans are one group, gone through once.
+    """
 
-def resolved(spans: Column) -> Column:
-    """Of an array<struct(start_pos, end_pos, ...)>, the spans that overlap none before them; by start, longer ones first."""
-    ordered = F.transform(F.sort_array(F.transform(spans, lambda s: F.struct(s["start_pos"].alias("a"), F.negative(s["end_pos"]).alias("b"), s.alias("s")))), lambda x: x["s"])
-    none = F.slice(spans, 1, 0)
-    begin = F.struct(F.lit(None).cast("int").alias("at"), F.slice(F.array(none), 1, 0).alias("blocks"), none.alias("block"))
-
-    def step(state: Column, s: Column) -> Column:
-        full = F.size(state["block"]) >= _BLOCK
-        blocks = F.when(full, F.concat(state["blocks"], F.array(state["block"]))).otherwise(state["blocks"])
-        block = F.concat(F.when(full, none).otherwise(state["block"]), F.array(s))
-        kept = F.struct(s["end_pos"].cast("int").alias("at"), blocks.alias("blocks"), block.alias("block"))
-        return F.when(state["at"].isNull() | (s["start_pos"] >= state["at"]), kept).otherwise(state)
+    def kept(table: pa.Table) -> pa.Table:
+        start, end = (table.column(c).to_pylist() for c in ("start_pos", "end_pos"))
+        taken, at = [], None
+        for i in sorted(range(len(start)), key=lambda i: (start[i], -end[i])):
+            if at is None or start[i] >= at:
+                taken.append(i)
+                at = end[i]
+        return table.take(pa.array(taken, pa.int64()))
 
-    return F.aggregate(ordered, begin, step, lambda state: F.concat(F.flatten(state["blocks"]), state["block"]))
+    return spans.groupBy(*keys).applyInArrow(kept, spans.schema)
 
 
 def spliced(text: str, spans: list[dict]) -> tuple[str, int]:
-    """text with the spans' places taken by their replacements, overlaps resolved as in resolved(), and how many were taken."""
+    """text with the spans' places taken by their replacements, overlaps resolved as in without_overlaps(), and how many were taken."""
     pieces, at = [], 0
     for s in sorted(spans, key=lambda s: (s["start_pos"], -s["end_pos"], s["replacement"])):
         if s["start_pos"] >= at:

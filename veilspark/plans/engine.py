@@ -117,9 +117,7 @@ def preview(docs: DataFrame, detector: Detector = spans.all_detected, assigner:
     found = kept(found_spans(docs, detector))
     none = docs.sparkSession.createDataFrame([], MAPPINGS)
     ids, _ = given(found, none if mappings is None else mappings, assigner, None)
-    place = F.collect_list(F.struct("start_pos", "end_pos", "span_ord"))
-    replaced = found.groupBy("doc_id", "unit_ord").agg(rewrite.resolved(place).alias("_s")).select("doc_id", F.explode("_s.span_ord").alias("span_ord"))
-    rows = found.join(replaced, ["doc_id", "span_ord"], "left_semi")
+    rows = rewrite.without_overlaps(found, ["doc_id", "unit_ord"])
     rows = rows.join(ids.select("doc_id", "span_ord", "pseudonym"), ["doc_id", "span_ord"], "left")
     shown = F.coalesce(F.concat(T.preview_title("text"), "pseudonym"), F.concat(F.lit("["), "entity_type", F.lit("_PREVIEW]")))
     return rows.withColumn("preview", F.when(F.col("entity_type") == "PERSON", shown).otherwise(F.coalesce("pseudonym", shown)))
