@@ -7,7 +7,7 @@ import pytest
 from veilspark.plans import queries
 
 SMALL = "/root/testdata/sf0.001"
-TABLES = ("customer", "events", "part", "conversations")
+TABLES = ("customer", "events", "part", "conversations", "documents", "benchmark")
 
 
 @pytest.fixture(scope="module")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .numbering import numbered
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -217,10 +218,12 @@ def compound_rate(gold: DataFrame, predicted: DataFrame) -> DataFrame:
 def index_percentiles(runs: DataFrame, by: list[str], value: str) -> DataFrame:
     """Median, 95th and 99th percentile by index into the sorted values, and runs a minute.
 
-    Values are ranked, and three ranks a group are picked out, so no group's values meet in one list.
+    Values are ranked by ranges of their order, and three ranks a group are picked out, so no group's values meet in one
+    list or one task.
     """
     total = runs.groupBy(*by).agg(F.count("*").alias("_n"), F.sum(value).alias("_s"))
-    rows = runs.select(*by, F.col(value).alias("_v")).withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("_v")) - 1)
+    rows = runs.select(F.struct(*by).alias("_g"), F.col(value).alias("_v"), F.monotonically_increasing_id().alias("_t"))
+    rows = numbered(rows, ["_v", "_t"], "_g", "_k").select("_g.*", "_v", (F.col("_k") - 1).alias("_k"))
     rows = rows.join(total, by)
     at = lambda share: F.least(F.floor(F.col("_n") * share), F.col("_n") - 1)
     pick = lambda k: F.max(F.when(F.col("_k") == k, F.col("_v")))
