@@ -272,3 +272,12 @@ def test_spans_meet_across_stretches(spark, monkeypatch):
         monkeypatch.setattr(S, "STRETCH", stretch)
         rows.append(sorted(map(tuple, S.merged(ner, regex).collect())))
     assert rows[0] == rows[1] == rows[2]
+
+
+def test_patterns_over_whole_documents_equal_plain_matches(spark, sf):
+    """The suffix pattern is held against its own expression above, on short texts, where that is fast."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rules = [p for p in (*P.PATTERNS, P.FULL_NAME, P.GEOGRAPHY) if p.ending is None]
+    got = sorted((r.doc_id, r.start_pos, r.end_pos, r.text, r.pattern) for r in S.regex_spans(docs, rules, engine="arrow").collect())
+    want = [(r.doc_id, m.start(), m.end(), m.group(0), p.name) for r in docs.collect() for p in rules for m in re.finditer(p.regex, r.text or "")]
+    assert got == sorted(want) and len(got) > 100

@@ -289,7 +289,7 @@ def d0_document_spans(documents):
 
 @on_tables("documents")
 def d0_documents(documents):
-    """All patterns and both dictionaries over whole documents. No twin: RE2's word edges are ASCII ones, which these texts don't fit; tested against a plain version."""
+    """All patterns and both dictionaries over whole documents. No twin: RE2's word edges are ASCII ones, which these texts don't fit; the patterns are tested against plain matches."""
     return S.all_detected(documents)
 
 
