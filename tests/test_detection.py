@@ -173,6 +173,14 @@ def test_column_letters(spark):
     assert all(r.x == letters(r.id) for r in got)
 
 
+def test_column_letters_of_large_numbers(spark):
+    from veilspark.sources.files import letters
+
+    edges = [sum(26**k for k in range(n)) + more for n in range(2, 15) for more in (-1, 0, 1)] + [702, 703, 18_278, 18_279, 900_000, 2**53 + 1, 2**63 - 1]
+    got = spark.createDataFrame([(i,) for i in edges], "id long").select("id", T.column_letter("id").alias("x")).collect()
+    assert [r.x for r in got] == [letters(i) for i in edges] and letters(475_255) == "AAAAA"
+
+
 def test_empty_inputs(spark, docs):
     none = docs.limit(0)
     assert S.detected(none).count() == 0

@@ -201,13 +201,13 @@ def path_of_key(key: Column | str) -> Column:
 
 
 def column_letter(index: Column | str) -> Column:
-    """1 -> A, 27 -> AA, up to four letters."""
-    i = col(index).cast("long")
-    out, rest = F.lit(""), i
-    for _ in range(4):
-        letter = F.when(rest > 0, F.char(F.lit(65) + F.pmod(rest - 1, F.lit(26)))).otherwise("")
-        out = F.concat(letter, out)
-        rest = F.when(rest > 0, F.floor((rest - 1) / 26)).otherwise(F.lit(0))
+    """1 -> A, 27 -> AA, for any long."""
+    i, out = col(index).cast("long"), F.lit("")
+    for n in range(14):  # a long has no more letters
+        least = sum(26**k for k in range(n + 1))
+        # whole numbers throughout: a double's quotient isn't exact beyond 2 ** 53
+        place = F.pmod(F.call_function("div", i - F.lit(least), F.lit(26**n)), F.lit(26))
+        out = F.concat(F.when(i >= least, F.char(F.lit(65) + place)).otherwise(""), out)
     return out
 
 
