@@ -3,6 +3,7 @@
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from veilspark.plans import queries
 
@@ -52,3 +53,29 @@ def test_only_known_names_have_sql():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_fixtures_are_made_by_many_tasks(spark, sf, monkeypatch):
+    """A file of one split is dealt over tasks of so many rows, none of which grows with the table."""
+    from veilspark.plans import fixtures
+
+    monkeypatch.setattr(fixtures.dealt, "__defaults__", (20,))
+    for name in ("docs", "mappings", "cells", "gold", "decisions"):
+        rows = fixtures.load(spark, sf, name)
+        sizes = rows.groupBy(F.spark_partition_id()).count().collect()
+        assert len(sizes) >= 5, name
+        assert max(r["count"] for r in sizes) < rows.count() / 2, name
+
+
+def test_annotator_reads_a_text_once_in_one_pass(spark, sf):
+    from veilspark.functions import patterns as P
+    from veilspark.operators import spans as S
+    from veilspark.plans import detection, fixtures, queries
+
+    docs = fixtures.load(spark, sf, "docs")
+    for name, rules in (("d24_annotator_all", P.ANNOTATOR), ("d24_annotator", detection._SAME_EDGES)):
+        got = queries.queries()[name](spark, sf)
+        assert "MapInArrow" in got._jdf.queryExecution().toString(), name
+        want = S.regex_spans(docs, rules)  # natively
+        want = (S.dedup_spans(want) if name.endswith("all") else want).select(*got.columns)
+        assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0, name

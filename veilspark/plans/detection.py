@@ -229,14 +229,13 @@ _SAME_EDGES = [p for p in P.ANNOTATOR if p.name not in ("a_full_name", "a_instit
     sql=" UNION ALL ".join(f"SELECT doc_id, text, start_pos, end_pos, '{p.entity_type}' AS entity_type, '{p.name}' AS pattern FROM {spans_sql(p.regex)}" for p in _SAME_EDGES),
 )
 def d24_annotator(docs):
-    return S.regex_spans(docs, _SAME_EDGES).select("doc_id", "text", "start_pos", "end_pos", "entity_type", "pattern")
+    return S.regex_spans(docs, _SAME_EDGES, engine="arrow").select("doc_id", "text", "start_pos", "end_pos", "entity_type", "pattern")
 
 
 @query("docs")
 def d24_annotator_all(docs):
     """All patterns, one span a place. No twin for the same reason as d3."""
-    found = S.regex_spans(docs, P.ANNOTATOR).withColumn("pattern_ord", F.col("pattern_ord"))
-    return S.dedup_spans(found).select("doc_id", "text", "start_pos", "end_pos", "entity_type")
+    return S.dedup_spans(S.regex_spans(docs, P.ANNOTATOR, engine="arrow")).select("doc_id", "text", "start_pos", "end_pos", "entity_type")
 
 
 @query("docs", sql=f"SELECT doc_id, start_pos, end_pos FROM {spans_sql('Dubois')}")

@@ -145,13 +145,24 @@ FIXTURES = {
     "paths": paths_sql,
 }
 _TABLES = {"operations": "events", "cells": "part"}
+#: Rows of customer or part that a task makes fixtures of.
+ROWS = 1 << 13
+
+
+def dealt(rows: DataFrame, at_once: int = ROWS) -> DataFrame:
+    """rows by their key over as many tasks as have at_once rows each.
+
+    A row of a few bytes becomes several texts, so a file that is one split would be one task, however large.
+    """
+    return rows.repartition(max(1, -(-rows.count() // at_once)), rows.columns[0])
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture as a DataFrame over the tables in sf_dir."""
     table = _TABLES.get(name, "customer")
     sql = FIXTURES[name]("spark").replace(f"FROM {table}", "FROM {_t}")
-    return spark.sql(sql, _t=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spark.sql(sql, _t=rows if table == "events" else dealt(rows))
 
 
 def duck(*names: str, recursive: bool = False) -> str:
