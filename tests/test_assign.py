@@ -241,3 +241,21 @@ def test_numbers_by_ranges_equal_one_window(spark):
         assert got == want
     plan = numbered(df, ["v", "k"], "kind")._jdf.queryExecution().toString()
     assert "SinglePartition" not in plan and numbered(df.limit(0), ["v"], "kind").count() == 0
+
+
+def test_json_export_is_one_document_in_many_pieces(spark, sf):
+    import json
+
+    from veilspark.operators import audit as U
+    from veilspark.plans import fixtures
+
+    log = fixtures.load(spark, sf, "operations").select("id", "ts", "operation_type", "entity_count")
+    lines = U.exported_json(log, {"success": "all"}, F.lit("2024-03-01T00:00:00"))
+    assert lines.count() == log.count() + 2 and lines.agg(F.max(F.length("json"))).first()[0] < 300
+    found = json.loads("\n".join(r.json for r in lines.orderBy("piece").collect()))
+    rows = log.collect()
+    assert found["export_metadata"] == {"exported_at": "2024-03-01T00:00:00", "filters": {"success": "all"}, "total_results": len(rows)}
+    want = [(r.id, r.entity_count) for r in sorted(rows, key=lambda r: (-r.ts.timestamp(), r.id))]
+    assert [(o["id"], o["entity_count"]) for o in found["operations"]] == want and len(want) > 0
+    none = U.exported_json(log.limit(0), {}, F.lit("now")).orderBy("piece").collect()
+    assert json.loads("".join(r.json for r in none))["operations"] == []

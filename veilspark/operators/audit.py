@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .numbering import numbered
 
 
 def operations(log: DataFrame, operation_type: str | None = None, success: bool | None = None, start=None, end=None, limit: int | None = None) -> DataFrame:
@@ -116,14 +117,18 @@ def erasure(goes: DataFrame, ts: Column) -> DataFrame:
 
 
 def exported_json(log: DataFrame, filters: dict[str, str], exported_at: Column) -> DataFrame:
-    """One JSON document of the operations, the latest first, with the filters and the total.
+    """One JSON document of the operations, the latest first, with the filters and the total, in rows (piece, json).
 
-    One value holds the whole export; exported_lines() is the form for large logs.
+    The pieces in their order are the document's lines: 0 opens it with the metadata, a line an operation follows, the last
+    closes it. No value and no task holds the whole export, however large the log is.
     """
-    order = F.struct(F.negative(F.unix_micros(F.col("ts").cast("timestamp"))).alias("_t"), "id", F.struct(*log.columns).alias("o"))
-    row = log.agg(F.sort_array(F.collect_list(order)).alias("x"), F.count("*").alias("n"))
+    rows = numbered(log.withColumn("_t", F.negative(F.unix_micros(F.col("ts").cast("timestamp")))), ["_t", "id"], name="piece")
+    comma = F.when(F.col("piece") > 1, ",").otherwise("")
+    rows = rows.select(F.col("piece").cast("long").alias("piece"), F.concat(comma, F.to_json(F.struct(*log.columns))).alias("json"))
     meta = F.struct(exported_at.cast("string").alias("exported_at"), F.create_map(*[F.lit(v) for kv in sorted(filters.items()) for v in kv]).alias("filters") if filters else F.lit(None).alias("filters"), F.col("n").alias("total_results"))
-    return row.select(F.to_json(F.struct(meta.alias("export_metadata"), F.transform("x", lambda e: e["o"]).alias("operations"))).alias("json"))
+    opens = F.concat(F.lit('{"export_metadata":'), F.to_json(meta), F.lit(',"operations":['))
+    ends = F.array(F.struct(F.lit(0).cast("long").alias("piece"), opens.alias("json")), F.struct((F.col("n") + 1).alias("piece"), F.lit("]}").alias("json")))
+    return rows.unionByName(log.agg(F.count("*").alias("n")).select(F.explode(ends).alias("e")).select("e.*"))
 
 
 def exported_lines(log: DataFrame) -> DataFrame:
