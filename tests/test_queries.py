@@ -79,3 +79,9 @@ def test_annotator_reads_a_text_once_in_one_pass(spark, sf):
         want = S.regex_spans(docs, rules)  # natively
         want = (S.dedup_spans(want) if name.endswith("all") else want).select(*got.columns)
         assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0, name
+
+
+def test_organizations_are_sought_in_runs_with_an_ending(spark, sf):
+    """One pass; capitals without an ending after them aren't searched from one by one."""
+    got = queries.queries()["d5_organizations_suffix"](spark, sf)
+    assert "MapInArrow" in got._jdf.queryExecution().toString()

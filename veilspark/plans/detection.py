@@ -23,8 +23,8 @@ def spans_sql(regex: str, docs: str = "docs", extra: str = "") -> str:
         FROM (SELECT doc_id, regexp_extract_all(text, '{rule}') AS m, string_split_regex(text, '{rule}') AS g FROM {docs}) q) r)"""
 
 
-def _one(name: str, docs: DataFrame) -> DataFrame:
-    return S.regex_spans(docs, [_BY_NAME[name]]).select("doc_id", "text", "start_pos", "end_pos")
+def _one(name: str, docs: DataFrame, engine: str = "native") -> DataFrame:
+    return S.regex_spans(docs, [_BY_NAME[name]], engine=engine).select("doc_id", "text", "start_pos", "end_pos")
 
 
 _PLACE = _BY_NAME["location_indicators"].regex.replace(r"\b(à|", "(à|")
@@ -61,7 +61,7 @@ def d4_location_indicators(docs):
 
 @query("docs", sql=_plain(_BY_NAME["organizations_suffix"].regex))
 def d5_organizations_suffix(docs):
-    return _one("organizations_suffix", docs)
+    return _one("organizations_suffix", docs, "arrow")  # the native engine searches on from each capital letter
 
 
 @query("docs", sql=_plain(_BY_NAME["organizations_prefix"].regex))
