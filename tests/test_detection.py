@@ -289,3 +289,21 @@ def test_patterns_over_whole_documents_equal_plain_matches(spark, sf):
     got = sorted((r.doc_id, r.start_pos, r.end_pos, r.text, r.pattern) for r in S.regex_spans(docs, rules, engine="arrow").collect())
     want = [(r.doc_id, m.start(), m.end(), m.group(0), p.name) for r in docs.collect() for p in rules for m in re.finditer(p.regex, r.text or "")]
     assert got == sorted(want) and len(got) > 100
+
+
+def test_spans_of_one_pass_are_handed_on_in_bounded_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(S, "SPANS", 10)
+    texts = ["Voir M. Jean Dubois et Mme Petit. " * 20, None, "", "Dr. Luc Martin"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(texts)], ["doc_id", "text"])
+    out = list(S._arrow([P.PATTERNS[0]], ["doc_id"])(iter([batch])))
+    assert max(b.num_rows for b in out) == 10 and sum(b.num_rows for b in out) == 41
+    assert out[-1].column("doc_id").to_pylist() == [3] and out[-1].column("text").to_pylist() == ["Dr. Luc Martin"]
+
+
+def test_spans_are_not_sent_to_all_tasks_for_rewriting(spark, docs):
+    spans = spark.createDataFrame([(1, 0, 1, "x")], "doc_id long, start_pos int, end_pos int, replacement string")
+    found = R.rewritten(docs, spans)
+    found.collect()
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()

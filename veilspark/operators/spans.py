@@ -12,6 +12,7 @@ import re
 import uuid
 from collections.abc import Callable, Iterable
 from functools import reduce
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -100,21 +101,30 @@ def _finder(rule: P.Pattern) -> Callable[[str], Iterable[re.Match]]:
     return found
 
 
+#: Spans that are handed on at once.
+SPANS = 1 << 14
+
+
 def _arrow(rules: list[P.Pattern], keys: list[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterable[pa.RecordBatch]]:
+    kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.int32())
+    names = ["start_pos", "end_pos", "text", "entity_type", "confidence", "pattern", "pattern_ord"]
+
     def run(batches):
         compiled = [(k, r, _finder(r)) for k, r in enumerate(rules)]
-        for batch in batches:
-            rows, out = [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
+
+        def spans(column):
+            for i, text in enumerate(column):
+                text = text.as_py()  # one text at a time
                 for k, rule, find in compiled if text else ():
                     for m in find(text):
-                        rows.append(i)
-                        out.append((m.start(), m.end(), m.group(0), rule.entity_type, rule.confidence, rule.name, k))
-            if out:
+                        yield i, (m.start(), m.end(), m.group(0), rule.entity_type, rule.confidence, rule.name, k)
+
+        for batch in batches:
+            found = spans(batch.column("text"))
+            while some := list(islice(found, SPANS)):
+                rows, out = zip(*some, strict=True)
                 own = batch.select(keys).take(pa.array(rows))
-                kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.int32())
                 columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
-                names = ["start_pos", "end_pos", "text", "entity_type", "confidence", "pattern", "pattern_ord"]
                 yield pa.RecordBatch.from_arrays([*own.columns, *columns], [*keys, *names])
 
     return run
