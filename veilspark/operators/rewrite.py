@@ -44,7 +44,8 @@ def rewritten(docs: DataFrame, spans: DataFrame, keys: list[str] | None = None)
     keys = keys or ["doc_id"]
     one = F.struct(F.col("start_pos").cast("int").alias("start_pos"), F.col("end_pos").cast("int").alias("end_pos"), "replacement")
     found = spans.where("replacement IS NOT NULL").groupBy(*keys).agg(F.collect_set(one).alias("_s"))
-    rows = docs.select(*keys, "text").join(found, keys, "left")
+    # spans grow as texts do and pack well: sent to all tasks, a table that looks small would be large in each
+    rows = docs.select(*keys, "text").join(found.hint("merge"), keys, "left")
 
     def run(batches):
         for batch in batches:
