@@ -126,3 +126,13 @@ def test_decisions(spark):
     assert out == {"a": ("X2", False), "n": ("W", True)}
     states = {r.state: r.n for r in V.summary(spans, decisions).collect()}
     assert states == {"MODIFY": 1, "REJECT": 1, "PENDING": 1, "ADD": 1}
+
+
+def test_decisions_are_not_sent_to_all_tasks(spark):
+    from veilspark.operators import review
+
+    spans = spark.createDataFrame([(1, "a", "Jean", "PERSON", 0, 4)], "doc_id long, span_id string, text string, entity_type string, start_pos int, end_pos int")
+    decisions = spark.createDataFrame([(1, "a", 1, "MODIFY", "Luc", None, None, None, None)], "doc_id long, span_id string, seq int, action string, new_text string, new_pseudonym string, entity_type string, start_pos int, end_pos int")
+    found = review.validated(spans, decisions)
+    assert [r.text for r in found.collect()] == ["Luc"]
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()

@@ -30,7 +30,8 @@ def validated(spans: DataFrame, decisions: DataFrame, custom: bool = False) -> D
         F.max_by(F.when(F.col("action") == "MODIFY", F.col("new_text")), F.when(F.col("action") == "MODIFY", F.col("seq"))).alias("changed"),
         F.max_by(F.when(F.col("action") == "CHANGE_PSEUDONYM", F.col("new_pseudonym")), F.when(F.col("action") == "CHANGE_PSEUDONYM", F.col("seq"))).alias("chosen"),
     )
-    rows = spans.join(by, ["doc_id", "span_id"]).where("kept AND NOT rejected")
+    # decisions are as many as spans, and pack well: they only look small enough to be sent to all tasks
+    rows = spans.join(by.hint("merge"), ["doc_id", "span_id"]).where("kept AND NOT rejected")
     columns = ["doc_id", "span_id", F.coalesce("changed", "text").alias("text"), "entity_type", "start_pos", "end_pos", F.lit(False).alias("added")]
     more = ["chosen"] if custom else []
     added = decisions.where("action = 'ADD'").select("doc_id", "span_id", F.col("new_text").alias("text"), "entity_type", "start_pos", "end_pos", F.lit(True).alias("added"), *([F.col("new_pseudonym").alias("chosen")] if custom else []))

@@ -145,7 +145,7 @@ def decided(docs: DataFrame, found: DataFrame, decisions: DataFrame, mappings: D
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("unit_ord", "start_pos", "end_pos", "text", "entity_type"))
     added = added.withColumn("span_ord", F.lit(ADDED) + place)
     columns = ["doc_id", "unit_ord", "span_ord", "text", "entity_type", "start_pos", "end_pos", "chosen"]
-    return accepted.select(columns).unionByName(rows.join(order, ["doc_id", "span_id"]).select(columns)).unionByName(added.select(columns))
+    return accepted.select(columns).unionByName(rows.join(order.hint("merge"), ["doc_id", "span_id"]).select(columns)).unionByName(added.select(columns))
 
 
 def own_choices(rows: DataFrame, theme: str) -> DataFrame:
@@ -231,7 +231,8 @@ def _processed(docs, keep, detector, assigner, types, theme, tell, decisions, ro
         ids, new = given(rows, known, assigner, keep.numbers(content))
         new = typed(new, MAPPINGS)
         new = kept((new if own is None else new.unionByName(own)).withColumn("first_seen", F.current_timestamp()))
-        replaced = rows.join(ids.select("doc_id", "span_ord", "pseudonym"), ["doc_id", "span_ord"], "left")
+        # a row a span on both sides, whatever their packed files' size
+        replaced = rows.join(ids.select("doc_id", "span_ord", "pseudonym").hint("merge"), ["doc_id", "span_ord"], "left")
         replaced = replaced.withColumn("replacement", F.concat(T.replacement_prefix("text", "entity_type"), "pseudonym"))
         results.append(kept(rewrite.rewritten(docs.select(*keys, "text"), replaced, keys), stays=True))
         if not new.isEmpty():
