@@ -217,6 +217,14 @@ def test_quality_without_trusted_rows_or_documents(spark):
     assert quality.judge(docs_of(spark, rows).limit(0), none).count() == 0
 
 
+def test_quality_plans_hold_no_table(spark):
+    """A table in a plan is written out in every description that the driver keeps of it."""
+    docs = docs_of(spark, _quality_rows())
+    labels = spark.createDataFrame([(d,) for d in range(30)], "doc_id long")
+    for out in (quality.judge(docs, labels), quality.kept(docs, labels)):
+        assert len(out._jdf.queryExecution().toString()) < 100_000
+
+
 # -- line dedup
 
 

@@ -17,8 +17,6 @@ an empty result; extra columns are ignored by judge() and kept by kept().
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,20 +42,27 @@ def _base(text: Column) -> dict[str, Column]:
 #: A window's hash and place in one number, so that a plain sort brings like ones together: the place takes
 #: the low bits, and of the hash the high ones stay. In a text of more words every window is looked at as a whole.
 PLACE_BITS = 20
-_WINDOW = "xxhash64(get(_hashes, i), get(_hashes, i + 1), get(_hashes, i + 2))"
+_WINDOW = "element_at(_windows, i + 1)"
+
+
+def _windows() -> Column:
+    """Hashes of the windows of three words."""
+    return F.expr("transform(slice(_words, 1, greatest(0, size(_words) - 2)), (x, i) -> xxhash64(x, get(_words, i + 1), get(_words, i + 2)))")
 
 
 def _packed() -> Column:
+    """Of a text that has a window twice; most have none, which takes no sort and no look at each place."""
     return F.expr(f"""
-CASE WHEN size(_hashes) < 3 OR size(_hashes) > {1 << PLACE_BITS} THEN array() ELSE
-  sort_array(transform(sequence(0, size(_hashes) - 3), i -> ({_WINDOW} & {-(1 << PLACE_BITS)}L) | i)) END
+CASE WHEN size(_windows) > {1 << PLACE_BITS} OR size(array_distinct(_windows)) = size(_windows) THEN array() ELSE
+  sort_array(transform(_windows, (x, i) -> (x & {-(1 << PLACE_BITS)}L) | i)) END
 """)
 
 
 def _maybe() -> Column:
     """Places of the windows that may occur twice: those with a neighbour of equal high bits (in a longer text, all)."""
     return F.expr(f"""
-CASE WHEN size(_hashes) > {1 << PLACE_BITS} THEN sequence(0, size(_hashes) - 3) ELSE
+CASE WHEN size(_windows) > {1 << PLACE_BITS} THEN sequence(0, size(_windows) - 1)
+  WHEN size(_packed) = 0 THEN array() ELSE
   transform(filter(_packed, (e, k) -> coalesce(shiftright(e ^ get(_packed, k + 1), {PLACE_BITS}) = 0, false)
       OR coalesce(shiftright(e ^ get(_packed, k - 1), {PLACE_BITS}) = 0, false)),
     e -> cast(e & {(1 << PLACE_BITS) - 1} AS int)) END
@@ -82,7 +87,7 @@ def profile(docs: DataFrame, more: list[Column] = ()) -> DataFrame:
     """doc_id with the base counts and base_failed, and the text for what follows."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
     counted = base.withColumns(_base(F.col("text")))
-    counted = counted.withColumns({"n_words": F.size("_words").cast("long"), "_hashes": F.transform("_words", lambda x: F.xxhash64(x))})
+    counted = counted.withColumns({"n_words": F.size("_words").cast("long"), "_windows": _windows()})
     counted = counted.withColumn("_packed", _packed()).withColumn("_maybe", _maybe())
     return counted.select(
         "doc_id",
@@ -116,8 +121,8 @@ def _bucket(gram: Column, bits: int) -> Column:
 def _total(ratio: Column, h: Column, bits: int) -> Column:
     """The sum of the ratios of a text's uni- and bigrams, from its token hashes (two at least)."""
     of = lambda gram: F.get(ratio, _bucket(gram, bits))
-    step = lambda s, i: s + of(F.get(h, i)) + of(F.hash(F.get(h, i), F.get(h, i + 1)))
-    return F.aggregate(F.sequence(F.lit(0), F.size(h) - 2), of(F.element_at(h, -1)), step)
+    both = F.zip_with(h, F.slice(h, F.lit(2), F.size(h)), lambda a, b: F.when(b.isNull(), of(a)).otherwise(of(a) + of(F.hash(a, b))))
+    return F.aggregate(both, F.lit(0.0), lambda s, x: s + x)
 
 
 def ratios(docs: DataFrame, trusted: DataFrame, bits: int = BUCKET_BITS) -> DataFrame:
@@ -163,9 +168,10 @@ def kept(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, bits
 def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, more: list[Column] = (), bits: int = BUCKET_BITS) -> DataFrame:
     """doc_id, the base counts, base_failed, llr (mean log ratio an n-gram) and kept, then further columns of docs."""
     rows = profile(docs, more).withColumn("_tokens", _hashed(tokens(F.col("text"))))
-    # a fixed number of buckets, a constant of the scan; bound once a row, not copied into it
-    table = F.from_json(F.lit(json.dumps(ratios(docs, trusted, bits).first()["ratio"])), "array<double>")
-    known = F.struct(table.alias("r"), F.col("_tokens").alias("h"))
+    # a fixed number of buckets, found once for all rows; as a literal, every description of the plan would write it out.
+    # It is bound once a row, not copied into it.
+    rows = rows.withColumn("_ratio", ratios(docs, trusted, bits).scalar())
+    known = F.struct(F.col("_ratio").alias("r"), F.col("_tokens").alias("h"))
     judged = F.get(F.transform(F.array(known), lambda v: _total(v["r"], v["h"], bits)), F.lit(0)) / (2 * F.size("_tokens") - 1)
     rows = rows.withColumn("llr", F.when(~F.col("base_failed"), judged))
     return rows.select(
