@@ -5,6 +5,7 @@ import math
 import random
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -471,3 +472,59 @@ def test_lm_empty_table_and_no_training_documents(spark):
     held = [d for d in range(50) if zlib.crc32(str(d).encode()) % 7 == 2][:2]
     out = lm.scores(docs_of(spark, [(held[0], "a b"), (held[1], None)])).collect()
     assert {(r.n_tokens, r.n_known, r.train_tokens) for r in out} == {(3, 0, 0), (1, 0, 0)}
+
+
+def test_counted_parameters_come_from_all_documents(spark):
+    """Pairs and counts over several tasks equal plain loops over every training document, and any one document changes them."""
+    rng = random.Random(11)
+    rows = [(d, " ".join(prose(rng, 2000 if d < 2 else rng.randrange(60)))) for d in range(120)]
+    docs, table = docs_of(spark, rows).select("text"), subwords.ranks()
+    mergeable, encoder = spark.sparkContext.broadcast(table), subwords.Encoder(table)
+    gathered = lm._gathered(docs, mergeable, 0.0).cache()
+    assert gathered.where("kind = 2").count() == 0
+    begin = lm._shape(gathered, max(table.values()) + 2)[0]
+    shape, start = begin.shape, begin.shape.n_rows - 1
+    plain = [[*(i for w in t.lower().split() for i in encoder.encode(w.encode())), encoder.size] for _, t in rows]
+    stood = [[start, *(int(shape.row[i]) for i in own)] for own in plain]
+    seen = Counter(a * shape.n_rows + b for own in stood for a, b in zip(own[:-2], own[1:-1], strict=True))
+    pairs = lm._pairs(gathered, shape)
+    assert set(seen) <= set(pairs.tolist()) and len(pairs) <= attention.PAIRS
+    near, far = Counter(), Counter()
+    for own, row in zip(plain, stood, strict=True):
+        for k, piece in enumerate(own):
+            c = int(shape.group[piece])
+            if k:
+                near[row[k - 1] * shape.n_rows + row[k], c] += 1
+            for d in attention.FARS:
+                if k > d:
+                    far[row[k - d], c] += 1
+    want = begin.counted(
+        pairs,
+        np.array([near[int(p), c] for p in pairs for c in range(shape.n_classes)]),
+        np.array([far[r, c] for r in range(shape.n_rows) for c in range(shape.n_classes)]),
+    )
+    got = lm._counted(docs.repartition(5), mergeable, gathered, begin)
+    assert (got.table == want.table).all() and (got.value == want.value).all() and (got.out == want.out).all()
+    short = min((t for _, t in rows if len(t.split()) > 9), key=len)
+    less = lm._counted(docs.where(docs.text != short), mergeable, gathered, begin)
+    assert (less.table != got.table).any()
+
+
+def test_counted_scores_equal_a_plain_forward_pass():
+    pieces, first, n_pieces = _model(6, n_docs=8)
+    begin, _ = _begun(pieces, first, n_pieces)
+    shape = begin.shape
+    rows = np.split(shape.row[pieces], first[1:-1])
+    codes = np.unique(np.concatenate([r[:-2] * shape.n_rows + r[1:-1] for r in rows if len(r) > 2]))[::2]
+    near, far = np.zeros(len(codes) * shape.n_classes, np.int64), np.zeros(shape.n_rows * shape.n_classes, np.int64)
+    attention.contexts(shape, attention.places_of(codes, shape.n_rows), pieces, first, near, far)
+    model = begin.counted(codes, near, far)
+    assert near.sum() and far.sum() and model.moderate
+    got, single = model.log_probabilities(pieces, first), model.table[: shape.n_rows].copy()
+    for a, b, own in zip(first[:-1], first[1:], rows, strict=True):
+        own = [shape.n_rows - 1, *own]
+        for k in range(b - a):
+            at = np.flatnonzero(codes == own[k - 1] * shape.n_rows + own[k]) if k else []
+            model.table[own[k]] = model.table[shape.n_rows + at[0]] if len(at) else single[own[k]]
+            assert got[a + k] == pytest.approx(_plain_log_probability(model, pieces[a:b], k), abs=2e-4)
+            model.table[own[k]] = single[own[k]]

@@ -1,9 +1,12 @@
-"""A small causal self-attention model over subword ids, trained and run in numpy.
+"""A small causal self-attention model over subword ids, counted or trained, and run in numpy.
 
-The next piece's class is predicted from the current piece (a table row) and from
-attention over the pieces before it in a context window; the piece then follows
-from its class by corpus counts.  So every piece of the vocabulary has a
-probability, and all of them sum to one.
+The next piece's class is predicted from the current piece, or the last two where
+they are a frequent pair (a table row), and from attention over the pieces before it
+in a context window; the piece then follows from its class by corpus counts.  So
+every piece of the vocabulary has a probability, and all of them sum to one.
+
+Start.counted() makes all parameters from counts.  learn() fits them by gradients
+instead, without pairs.
 
 Sequences are read in windows of OVERLAP + STRIDE inputs.  A window scores only its
 last STRIDE targets, so each is scored once, with OVERLAP pieces of context at least
@@ -14,6 +17,7 @@ a causal mask and a mask of what lies outside the document.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -27,8 +31,12 @@ ATTEND, WIDE, CLASSES, ROWS = 16, 24, 256, 4096
 SINGLE, HEADS = 176, 128
 #: Windows a step, and rounds over all drawn windows.
 BATCH, ROUNDS, RATE = 64, 4, 0.01
-#: A row's counts are smoothed by so many of the classes' own shares.
-SMOOTH = 30
+#: A row's counts are smoothed by so many of the classes' own shares, those of a pair of rows by so many of its second row's.
+SMOOTH, OWN = 30, 100
+#: Pairs of rows with a table row of their own; distances at which it is counted what stands before a class.
+PAIRS, FARS = 1 << 14, (4, 8, 16, 32)
+#: Of counted parameters: how strongly values count, how much attention falls with the distance, and with how alike two rows' values are.
+STRENGTH, FALL, ALIKE = 1.3, 0.2, 0.5
 #: Windows whose attention is computed at once; targets whose classes are weighed at once, so that a core's cache holds them.
 TOGETHER, TARGETS = 128, 512
 
@@ -109,6 +117,11 @@ class Model:
     value: np.ndarray
     far: np.ndarray  # bias by distance
     out: np.ndarray  # (ATTEND, classes)
+    pairs: np.ndarray | None = None  # sorted codes of pairs of rows, whose table rows come after those of single rows
+
+    @cached_property
+    def places(self) -> np.ndarray:
+        return places_of(self.pairs, len(self.query))
 
     @property
     def moderate(self) -> bool:
@@ -120,6 +133,8 @@ class Model:
         """Natural log probability of each target piece, given those before it in its document."""
         rows, groups = self.row[pieces], self.group[pieces]
         out = self.inside[pieces].astype(np.float64)
+        now = before(rows, first, self.start)
+        own = now if self.pairs is None else paired(self.places, len(self.query), before(now, first, -1), now)
         doc, low, size = windows(first)
         moderate = self.moderate
         bias = np.where(_CAUSAL, self.far[np.abs(_FAR)], -1e9).astype(np.float32)
@@ -144,14 +159,14 @@ class Model:
                 use = np.arange(STRIDE) < size[few][:, None]
                 use = use.ravel()
                 at = (low[few][:, None] + np.arange(STRIDE)).ravel()[use]
-                mixed, query, group = mixed.reshape(-1, ATTEND)[use], query[use], groups[at]
+                mixed, row, group = mixed.reshape(-1, ATTEND)[use], own[at], groups[at]
                 found = np.empty(len(at), np.float32)
                 for i in range(0, len(at), TARGETS):
                     part = slice(i, i + TARGETS)
-                    n = len(query[part])
+                    n = len(row[part])
                     logits = np.matmul(mixed[part], self.out, out=room[0][:n])
                     # rows are all inside the table; in any other mode take() copies through a buffer
-                    logits += np.take(self.table, query[part], 0, out=room[1][:n], mode="clip")
+                    logits += np.take(self.table, row[part], 0, out=room[1][:n], mode="clip")
                     # logits are of moderate size: the table's rows are normalised
                     weight = weights(logits, room[1][:n])
                     np.divide(weight[_ALL[:n], group[part]], weight @ every, out=found[part])
@@ -185,6 +200,34 @@ def before(pieces: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
     return out
 
 
+def places_of(pairs: np.ndarray, n_rows: int) -> np.ndarray:
+    """For each two rows, left * n_rows + right, the place of the pair in pairs, or -1. Its size is that of ROWS squared at most."""
+    out = np.full(n_rows * n_rows, -1, np.int16)
+    out[pairs] = np.arange(len(pairs))
+    return out
+
+
+def paired(places: np.ndarray, n_rows: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The table row of each two rows in turn: the pair's own, or else that of the right one.
+
+    left is -1 where nothing stands, before a text's beginning; there places has its last element, of a pair that never is.
+    """
+    k = places[left * n_rows + right]
+    return np.where(k >= 0, k + n_rows, right)
+
+
+def contexts(shape: Shape, places: np.ndarray, pieces: np.ndarray, first: np.ndarray, near: np.ndarray, far: np.ndarray) -> None:
+    """Count documents into near (pairs, classes) and far (rows, classes), both flat, of which counted() makes a model. places: places_of() the pairs."""
+    rows, group = shape.row[pieces], shape.group[pieces]
+    now = before(rows, first, shape.n_rows - 1)
+    own = paired(places, shape.n_rows, before(now, first, -1), now) - shape.n_rows
+    np.add.at(near, (own * shape.n_classes + group)[own >= 0], 1)
+    place = np.arange(len(pieces)) - np.repeat(first[:-1], np.diff(first))
+    rows *= shape.n_classes
+    for d in FARS:
+        np.add.at(far, (rows[: -1 - d] + group[1 + d :])[place[1 + d :] > d], 1)
+
+
 def ranked(counts: np.ndarray) -> tuple[np.ndarray, int]:
     """Row of each piece by its count in the corpus, and the number of rows; pieces beyond ROWS share the last one."""
     top = np.argsort(-counts, kind="stable")[:ROWS]
@@ -260,6 +303,40 @@ class Start:
             "u": np.zeros((WIDE, self.shape.n_classes), f),
         }
 
+    def counted(self, pairs: np.ndarray, near: np.ndarray, far: np.ndarray) -> Model:
+        """A model all of whose parameters are counted: near and far are those of contexts() over all training documents.
+
+        A pair of rows has the classes that followed it.  A row's value is how much more often classes came some way after it
+        than the class before led to expect, as far as ATTEND dimensions hold it.  Attention turns to rows unlike the current one,
+        which the table speaks for; the current one itself is looked at only where nothing else is.
+        """
+        shape, f = self.shape, np.float32
+        near = near.reshape(len(pairs), shape.n_classes)
+        prior = np.exp(self.table[pairs % shape.n_rows].astype(np.float64))
+        two = np.log((near + OWN * prior) / (near.sum(1, keepdims=True) + OWN))
+        far = far.reshape(shape.n_rows, shape.n_classes).astype(np.float64)
+        base = far.sum(0) + 0.5
+        base /= base.sum()
+        weight = far.sum(1)
+        own = np.zeros(shape.n_rows, np.int64)
+        own[shape.row] = shape.group
+        step = np.zeros((shape.n_classes, shape.n_classes))
+        np.add.at(step, own, (weight + 1e-3)[:, None] * np.exp(self.table.astype(np.float64)))
+        step /= np.maximum(step.sum(1, keepdims=True), 1e-9)
+        lift = np.log((far + base) / (far @ step + base))
+        lift -= (lift @ base)[:, None]
+        size, share = np.sqrt(weight + 1)[:, None], np.sqrt(base)
+        left, scale, right = np.linalg.svd(lift * size * share, full_matrices=False)
+        dims = min(ATTEND, len(scale))
+        value, out = np.zeros((shape.n_rows, ATTEND), f), np.zeros((ATTEND, shape.n_classes), f)
+        value[:, :dims] = STRENGTH * left[:, :dims] * scale[:dims] / size
+        out[:dims] = right[:dims] / share
+        like = value / np.maximum(np.sqrt((value**2).sum(1, keepdims=True)), f(1e-6))
+        away = -FALL * np.log(1 + np.arange(SPAN))
+        away[0] = -30
+        table = np.concatenate([self.table, two.astype(f)])
+        return Model(shape.row, shape.group, self.inside, shape.n_rows - 1, table, f(-ALIKE) * like, like, value, away.astype(f), out, pairs)
+
     def model(self, p: dict[str, np.ndarray]) -> Model:
         table = self.table + p["e"] @ p["u"]
         table -= np.log(np.exp(table).sum(1, keepdims=True))

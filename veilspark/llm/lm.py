@@ -5,15 +5,17 @@ is its words and one end.  The base score is the sum of log10((c + 1) / (N + V +
 over them, with counts of all training documents.  The model (attention.py) scores
 the same text as subword ids of a fixed public vocabulary.
 
-All that the model knows is gathered from all training documents, whole.  One pass
-counts words, and pairs of neighbouring pieces, and draws windows: those whose hash
-falls under a rate of 1 / DRAW, of texts of any length, and more where the corpus is
-so small that LEAST windows would not come together.  The pairs' counts fix which
-pieces have a table row and a class of their own, and the table's start.  Then the
-drawn windows are dealt over as many trainers as they fill (PART windows each); a
+All that the model knows is counted in all training documents, whole.  One pass counts
+words, and pairs of neighbouring pieces; the pairs' counts fix which pieces have a table
+row and a class of their own, the table's start, and the pairs of rows that get a row
+of their own.  A second pass counts which classes follow those pairs, and which follow
+rows at some distances; attention's values are made of the latter (attention.counted).
+No token is left out and nothing is drawn; what the driver holds has a fixed size.
+
+With a rate, attention is trained by gradients instead, on windows whose hash falls
+under the rate: they are dealt over as many trainers as they fill (PART windows each); a
 trainer makes a pass in numpy, the trainers' parameters are averaged, and the next
-of attention.ROUNDS passes starts from there.  Windows, trainers and counts grow with
-the input; what the driver holds has a fixed size.
+of attention.ROUNDS passes starts from there.  At a rate of 1 that is all windows.
 
 Word counts stay distributed: the HEAD most frequent words are broadcast, and what a
 document has besides them is joined with the whole vocabulary on the word's hash.
@@ -36,12 +38,8 @@ from . import attention, kernel, subwords
 from .common import stored
 
 HEAD = 1 << 18
-#: One window in so many is learned from, or, of a small corpus, as many as make LEAST.
-DRAW, LEAST = 128, 1 << 15
-#: Bytes of text that make about a window.
-WINDOW_BYTES = 100
-#: Windows a trainer has; pairs that a task counts before it passes them on; files of parameters that are averaged at once.
-PART, PAIRS, MERGE = 1 << 13, 1 << 20, 64
+#: Windows a trainer has; pairs that a task counts before it passes them on; files of parameters that are averaged at once; counts handed on at once.
+PART, PAIRS, MERGE, PLACES = 1 << 13, 1 << 20, 64, 1 << 16
 
 
 def held_out(doc_id: Column) -> Column:
@@ -49,7 +47,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _gathered(train: DataFrame, mergeable, rate: float) -> DataFrame:
-    """Of all training documents: kind 0, words by hash; 1, pairs of pieces; 2, drawn windows; with how often each occurs."""
+    """Of all training documents: kind 0, words by hash; 1, pairs of pieces; 2, windows drawn at a rate; with how often each occurs."""
 
     def gather(batches):
         encoder = subwords.encoder(mergeable.value)
@@ -64,9 +62,10 @@ def _gathered(train: DataFrame, mergeable, rate: float) -> DataFrame:
                     seen = np.zeros(0, np.int64)
                 slots, _ = encoder.slots(words)
                 ids, first = _with_ends(encoder, words, slots)
-                hashes, windows = attention.drawn(ids, first, rate, start)
-                if len(hashes):
-                    yield _rows(2, hashes, np.ones(len(hashes), np.int64), windows)
+                if rate:
+                    hashes, windows = attention.drawn(ids, first, rate, start)
+                    if len(hashes):
+                        yield _rows(2, hashes, np.ones(len(hashes), np.int64), windows)
                 new.append(attention.before(ids, first, start) * (start + 1) + ids)
                 if sum(map(len, new)) > PAIRS:
                     (pairs, n), new = _added(pairs, n, np.concatenate(new)), []
@@ -139,6 +138,46 @@ def _shape(rows: DataFrame, n_pieces: int) -> tuple[attention.Start, np.ndarray]
     return attention.Start.of(shape, counts, pairs), counts
 
 
+def _pairs(rows: DataFrame, shape: attention.Shape) -> np.ndarray:
+    """Codes of the attention.PAIRS most frequent pairs of rows, sorted."""
+    symbols, row = shape.start + 1, np.append(shape.row, shape.n_rows - 1)
+
+    def code(batches):
+        for batch in batches:
+            word = batch.column("word").to_numpy()
+            codes = row[word // symbols] * shape.n_rows + row[word % symbols]
+            yield pa.RecordBatch.from_arrays([pa.array(codes), batch.column("n")], ["code", "n"])
+
+    found = rows.where("kind = 1").select("word", "n").mapInArrow(code, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return np.sort(found.orderBy(F.desc("n"), "code").limit(attention.PAIRS).select("code").toArrow().column("code").to_numpy())
+
+
+def _counted(train: DataFrame, mergeable, rows: DataFrame, begin: attention.Start) -> attention.Model:
+    """A model of the counts of all training documents, in a second pass over them."""
+    shape, pairs = begin.shape, _pairs(rows, begin.shape)
+    shared = train.sparkSession.sparkContext.broadcast((shape, pairs))
+    n_near = len(pairs) * shape.n_classes
+
+    def count(batches):
+        encoder = subwords.encoder(mergeable.value)
+        shape, pairs = shared.value
+        places = attention.places_of(pairs, shape.n_rows)
+        total = np.zeros(n_near + shape.n_rows * shape.n_classes, np.int64)
+        for batch in batches:
+            for words in kernel.chunks(batch.column("text")):
+                ids, first = _with_ends(encoder, words, encoder.slots(words)[0])
+                attention.contexts(shape, places, ids, first, total[:n_near], total[n_near:])
+        some = np.flatnonzero(total)
+        for few in np.split(some, range(PLACES, len(some), PLACES)):
+            yield pa.RecordBatch.from_arrays([pa.array(few), pa.array(total[few])], ["at", "n"])
+
+    found = train.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(n_near + shape.n_rows * shape.n_classes, np.int64)
+    total[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    shared.destroy()
+    return begin.counted(pairs, total[:n_near], total[n_near:])
+
+
 def _trained(rows: DataFrame, begin: attention.Start) -> attention.Model:
     """Rounds of passes over all drawn windows, each trainer over its own; parameters are averaged after every pass."""
     spark = rows.sparkSession
@@ -199,16 +238,17 @@ def _targets(encoder: subwords.Encoder, words: kernel.Words) -> tuple[np.ndarray
     return *_with_ends(encoder, words, slots), hashes
 
 
-def scores(docs: DataFrame, vocabulary: str = subwords.VOCABULARY) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, a row a document."""
+def scores(docs: DataFrame, vocabulary: str = subwords.VOCABULARY, rate: float = 0.0) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, a row a document.
+
+    rate: of the windows that attention is trained on by gradients; 0 counts all documents instead.
+    """
     context = docs.sparkSession.sparkContext
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     train = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     table = subwords.ranks(vocabulary)
     mergeable = context.broadcast(table)
     n_pieces = max(table.values()) + 2  # the last one is a text's end
-    size = train.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
-    rate = max(1 / DRAW, LEAST / max(1, size[0] / WINDOW_BYTES + size[1]))
     gathered = _gathered(train, mergeable, rate)
     begin, counts = _shape(gathered, n_pieces)
     vocabulary_ = gathered.where("kind = 0").select("word", "n")
@@ -217,7 +257,7 @@ def scores(docs: DataFrame, vocabulary: str = subwords.VOCABULARY) -> DataFrame:
     n_tokens, n_distinct = total + n_ends, distinct + (n_ends > 0)
     head = vocabulary_.orderBy(F.desc("n"), "word").limit(HEAD).toArrow().sort_by("word")
     known = (head.column("word").to_numpy(), head.column("n").to_numpy())
-    model = _trained(gathered, begin)
+    model = _trained(gathered, begin) if rate else _counted(train, mergeable, gathered, begin)
     shared = context.broadcast((model, known))
     scale = np.log10(n_tokens + n_distinct + 1)
 
