@@ -307,3 +307,14 @@ def test_spans_are_not_sent_to_all_tasks_for_rewriting(spark, docs):
     found = R.rewritten(docs, spans)
     found.collect()
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_spans_are_sorted_by_as_many_tasks_as_their_documents_fill(spark):
+    """The number grows with the documents, and the windows of all_detected() take that one exchange."""
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("Mme Marie Dubois à Paris, no. "), "id").alias("text"))
+    assert S.by_document(docs, docs, 25).rdd.getNumPartitions() == 80
+    assert S.by_document(docs.limit(10), docs.limit(10)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    found = S.all_detected(docs)
+    assert len(found.collect()) >= 2000
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1 and "REPARTITION_BY_NUM" in plan

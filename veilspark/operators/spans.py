@@ -380,6 +380,18 @@ def _in_dictionaries(rows: DataFrame, names: DataFrame | None, places: DataFrame
     return rows
 
 
+#: Documents whose spans a task sorts.
+DOCS = 1 << 13
+
+
+def by_document(spans: DataFrame, docs: DataFrame, at_once: int = DOCS) -> DataFrame:
+    """spans by document over as many tasks as have at_once documents each, so that a task's sorts don't grow with the input.
+
+    Windows and joins by document, or by document and place, need no other exchange.
+    """
+    return spans.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // at_once)), "doc_id")
+
+
 def detected(
     docs: DataFrame,
     ner: DataFrame | None = None,
@@ -399,7 +411,7 @@ def detected(
     if places is not None and tokens is not None:
         geography = F.col("pattern") == P.GEOGRAPHY.name
         found = found.where(~geography).unionByName(pos_filtered(found.where(geography), tokens))
-    regex = dedup_spans(found)
+    regex = dedup_spans(by_document(found, docs))
     if ner is None:
         ner = regex.select("doc_id", "text", "entity_type", "start_pos", "end_pos", "confidence").limit(0)
     return merged(ner, regex)
