@@ -369,6 +369,18 @@ def test_scores_equal_a_plain_forward_pass():
         assert got[a:b] == pytest.approx(want, abs=2e-4)
 
 
+def test_targets_are_weighed_in_the_order_of_their_rows(monkeypatch):
+    """Table rows are taken in order within SORTED windows, and scores don't depend on how many those are."""
+    pieces, first, n_pieces = _model(3, n_docs=6)
+    model, seen, take = _trained(pieces, first, n_pieces), [], np.take
+    monkeypatch.setattr(attention.np, "take", lambda a, ids, *more, **named: (seen.append(ids) if a is model.table else None, take(a, ids, *more, **named))[1])
+    got = model.log_probabilities(pieces, first)
+    assert len(seen) > 1 and (np.diff(np.concatenate(seen)) >= 0).all()
+    monkeypatch.setattr(attention, "SORTED", 3)
+    monkeypatch.setattr(attention, "TOGETHER", 2)
+    assert model.log_probabilities(pieces, first) == pytest.approx(got, abs=1e-4)
+
+
 def test_gradient_is_that_of_the_loss(monkeypatch):
     """One step of learn() changes parameters by the gradient's sign where that is the same in a numeric derivative."""
     pieces, first, n_pieces = _model(5, n_docs=3)
@@ -459,6 +471,18 @@ def test_subword_ids_give_words_back():
     assert encoder.encode(long) == encoder.own.encode_ordinary(" " + long.decode())
 
 
+def test_new_words_are_encoded_in_bulk_as_one_by_one(monkeypatch):
+    import pyarrow as pa
+
+    encoder = subwords.Encoder(subwords.ranks())
+    texts = [t for t in ODD if t] + ["Über naïve  x\u00a0y 'tis 12345 \u2028 日本語 e\u0301 🙂🙂 " + "z" * 300, "a\0b \0"]
+    plain = [[encoder.encode(w.word(j)) for j in range(len(w.start))] for w in kernel.chunks(pa.array(texts))]
+    monkeypatch.setattr(kernel.Words, "word", None)  # no word is cut out alone
+    for words, want in zip(kernel.chunks(pa.array(texts)), plain, strict=True):
+        ids, first = encoder.pieces(encoder.slots(words)[0])
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == want
+
+
 def test_model_beats_the_base_on_unseen_documents(spark, sf):
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/documents.parquet")
     out = [r for r in lm.scores(docs).collect() if r.held_out]

@@ -38,7 +38,9 @@ PAIRS, FARS = 1 << 14, (4, 8, 16, 32)
 #: Of counted parameters: how strongly values count, how much attention falls with the distance, and with how alike two rows' values are.
 STRENGTH, FALL, ALIKE = 1.3, 0.2, 0.5
 #: Windows whose attention is computed at once; targets whose classes are weighed at once, so that a core's cache holds them.
-TOGETHER, TARGETS = 128, 512
+TOGETHER, TARGETS = 128, 256
+#: Windows whose targets are taken in the order of their table rows, of which a cache then holds those in use.
+SORTED = 8 * TOGETHER
 
 _FAR = np.arange(STRIDE)[:, None] + OVERLAP - np.arange(SPAN)[None, :]  # of a query from a key
 _CAUSAL = _FAR >= 0
@@ -138,39 +140,41 @@ class Model:
         doc, low, size = windows(first)
         moderate = self.moderate
         bias = np.where(_CAUSAL, self.far[np.abs(_FAR)], -1e9).astype(np.float32)
+        value = np.concatenate([self.value, np.ones((len(self.value), 1), self.value.dtype)], 1)  # the last column adds up the weights
         every = np.ones(self.table.shape[1], np.float32)
         size_ = (TARGETS, self.table.shape[1])
         room = np.empty(size_, np.float32), np.empty(size_, np.float32)
-        for few in np.split(np.arange(len(doc)), range(TOGETHER, len(doc), TOGETHER)):
-            if len(few):
+        sums = np.empty((min(SORTED, len(doc)), STRIDE, ATTEND + 1), np.float32)
+        for begin in range(0, len(doc), SORTED):
+            end = min(begin + SORTED, len(doc))
+            for i in range(begin, end, TOGETHER):
+                few = slice(i, min(i + TOGETHER, end))
                 ids, valid = inputs(rows, first, doc[few], low[few], self.start)
                 ids[~valid] = self.start
-                query = np.ascontiguousarray(ids[:, OVERLAP:]).ravel()
-                shape = (len(few), STRIDE, ATTEND)
-                score = np.matmul(np.take(self.query, query, 0).reshape(shape), np.take(self.key, ids, 0).transpose(0, 2, 1))
+                score = np.matmul(np.take(self.query, ids[:, OVERLAP:], 0), np.take(self.key, ids, 0).transpose(0, 2, 1))
                 score += bias
                 edge = np.flatnonzero(~valid.all(1))  # windows at a document's ends
                 score[edge] += np.where(valid[edge], np.float32(0), np.float32(-1e9))[:, None, :]
                 if not moderate:
                     score -= score.max(2, keepdims=True)
                 np.exp(score, out=score)
-                mixed = np.matmul(score, np.take(self.value, ids, 0))
-                mixed /= score.sum(2, keepdims=True)
-                use = np.arange(STRIDE) < size[few][:, None]
-                use = use.ravel()
-                at = (low[few][:, None] + np.arange(STRIDE)).ravel()[use]
-                mixed, row, group = mixed.reshape(-1, ATTEND)[use], own[at], groups[at]
-                found = np.empty(len(at), np.float32)
-                for i in range(0, len(at), TARGETS):
-                    part = slice(i, i + TARGETS)
-                    n = len(row[part])
-                    logits = np.matmul(mixed[part], self.out, out=room[0][:n])
-                    # rows are all inside the table; in any other mode take() copies through a buffer
-                    logits += np.take(self.table, row[part], 0, out=room[1][:n], mode="clip")
-                    # logits are of moderate size: the table's rows are normalised
-                    weight = weights(logits, room[1][:n])
-                    np.divide(weight[_ALL[:n], group[part]], weight @ every, out=found[part])
-                out[at] += np.log(found)
+                np.matmul(score, np.take(value, ids, 0), out=sums[few.start - begin : few.stop - begin])
+            use = np.flatnonzero((np.arange(STRIDE) < size[begin:end, None]).ravel())
+            at = (low[begin:end, None] + np.arange(STRIDE)).ravel()[use]
+            order = np.argsort(own[at])
+            at, mixed = at[order], np.take(sums[: end - begin].reshape(-1, ATTEND + 1), use[order], 0)
+            mixed, row, group = mixed[:, :-1] / mixed[:, -1:], own[at], groups[at]
+            found = np.empty(len(at), np.float32)
+            for i in range(0, len(at), TARGETS):
+                part = slice(i, i + TARGETS)
+                n = len(row[part])
+                logits = np.matmul(mixed[part], self.out, out=room[0][:n])
+                # rows are all inside the table; in any other mode take() copies through a buffer
+                logits += np.take(self.table, row[part], 0, out=room[1][:n], mode="clip")
+                # logits are of moderate size: the table's rows are normalised
+                weight = weights(logits, room[1][:n])
+                np.divide(weight[_ALL[:n], group[part]], weight @ every, out=found[part])
+            out[at] += np.log(found)
         return out
 
 

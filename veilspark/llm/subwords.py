@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from itertools import chain
 
 import numpy as np
 
@@ -73,6 +74,11 @@ class Encoder:
         """A word is encoded as a whole, however long; the library's time grows as its length does."""
         return self.own._core_bpe.encode_ordinary(" " + word.decode("utf-8", "replace"))
 
+    def _encoded(self, words: kernel.Words, some: np.ndarray) -> list[list[int]]:
+        """encode() of some of the words. They are cut from one string of bytes, and each is a whole already, which the pattern needn't find."""
+        data, encode = words.data.tobytes(), self.own._core_bpe.encode_single_piece
+        return [encode(b" " + data[a:b]) for a, b in zip(words.start[some].tolist(), words.end[some].tolist(), strict=True)]
+
     @property
     def full(self) -> bool:
         return len(self.hashes) > REMEMBERED or len(self.ids) > REMEMBERED_PIECES
@@ -86,11 +92,11 @@ class Encoder:
         missing = np.flatnonzero(slot < 0)
         if len(missing):
             new, where = np.unique(hashes[missing], return_index=True)
-            lists = [self.encode(words.word(i)) for i in missing[where]]
+            lists = self._encoded(words, missing[where])
             size = np.fromiter(map(len, lists), np.int64, len(lists))
             self._insert(new, (len(self.hashes) + np.arange(len(new))).astype(np.int32))
             self.hashes = np.concatenate([self.hashes, new])
-            self.ids = np.concatenate([self.ids, np.fromiter((x for few in lists for x in few), np.int32, size.sum())])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(lists), np.int32, size.sum())])
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(size)])
             slot[missing] = self._find(hashes[missing])
         return slot, hashes
