@@ -259,3 +259,16 @@ def test_json_export_is_one_document_in_many_pieces(spark, sf):
     assert [(o["id"], o["entity_count"]) for o in found["operations"]] == want and len(want) > 0
     none = U.exported_json(log.limit(0), {}, F.lit("now")).orderBy("piece").collect()
     assert json.loads("".join(r.json for r in none))["operations"] == []
+
+
+def test_patterns_run_once_for_each_text_and_type(spark):
+    """Not on each mention, also where rows are kept by what the patterns give."""
+    rows = [(k, 1, ["M. Jean Petit", "à Lyon", "Mme", None][k % 4], ["PERSON", "LOCATION", "PERSON", None][k % 4]) for k in range(40)]
+    spans = spark.createDataFrame(rows, "doc_id long, span_ord int, text string, entity_type string")
+    found = A.mentions(spans).where("key <> ''")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan and "regexp_replace" in plan and "regexp_replace" not in plan[plan.index("Aggregate") :]
+    assert sorted((r.doc_id, r.key, r.first, r["last"], r.n_words) for r in found.collect()) == [
+        (k, *(("Jean Petit", "Jean", "Petit", 2) if k % 4 == 0 else ("Lyon", "à", "Lyon", 1))) for k in range(40) if k % 4 < 2
+    ]
+    assert A.mentions(spans).count() == 40  # rows without a text, or a type, stay

@@ -27,11 +27,23 @@ def _label(table: dict[str, str], entity_type: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), entity_type)
 
 
+def of_texts(rows: DataFrame, forms: dict[str, Column]) -> DataFrame:
+    """rows(text, entity_type, ...) with forms, which depend on these two alone and are worked out once for each two.
+
+    Patterns take far longer than a join, and a name occurs again and again.
+    """
+    own = rows.groupBy(F.col("text").alias("_text"), F.col("entity_type").alias("_type")).agg(F.count("*").alias("_n"))
+    # _n is never 0: a filter on a form that needs it isn't pushed below the grouping, where each row would be worked out
+    own = own.select("_text", "_type", *[F.when(F.col("_n") > 0, form).alias(name) for name, form in forms.items()])
+    same = F.col("text").eqNullSafe(F.col("_text")) & F.col("entity_type").eqNullSafe(F.col("_type"))
+    return rows.join(own, same).drop("_text", "_type")
+
+
 def mentions(spans: DataFrame) -> DataFrame:
     """spans with their key and name parts; doc_ord is doc_id where there is none."""
     rows = spans if "doc_ord" in spans.columns else spans.withColumn("doc_ord", F.col("doc_id"))
-    rows = rows.withColumn("key", T.normal_form("text", "entity_type"))
-    return rows.withColumn("_p", T.parse_name("text")).select(*rows.columns, "_p.first", "_p.last", F.size(T.words(F.col("key"))).alias("n_words"))
+    key, name = T.normal_form("_text", "_type"), T.parse_name("_text")
+    return of_texts(rows, {"key": key, "first": name["first"], "last": name["last"], "n_words": F.size(T.words(key))})
 
 
 def keys_of(rows: DataFrame) -> DataFrame:

@@ -284,8 +284,8 @@ def pseudonymised(docs: DataFrame, spans: DataFrame) -> DataFrame:
     spans = kept(spans)  # many joins read it
     ids = A.neutral_ids(spans).select("doc_id", "span_ord", "pseudonym")
     rows = spans.join(ids.hint("merge"), ["doc_id", "span_ord"], "left")
-    prefix = T.replacement_prefix("text", "entity_type")
-    rows = rows.withColumn("replacement", F.concat(prefix, "pseudonym")).select("doc_id", "start_pos", "end_pos", "replacement")
+    rows = A.of_texts(rows, {"prefix": T.replacement_prefix("_text", "_type")})
+    rows = rows.withColumn("replacement", F.concat("prefix", "pseudonym")).select("doc_id", "start_pos", "end_pos", "replacement")
     return R.rewritten(docs, rows)
 
 
