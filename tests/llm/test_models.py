@@ -483,6 +483,16 @@ def test_new_words_are_encoded_in_bulk_as_one_by_one(monkeypatch):
         assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == want
 
 
+def test_a_word_is_sought_once_among_the_frequent_ones(monkeypatch):
+    hashes, sought = np.array([9, 2**63 + 5, 4, 7], np.uint64), []
+    head, slots = np.sort(hashes[:3].view(np.int64)), np.array([0, 3, 0, 1, 1, 3, 0], np.int32)
+    search = np.searchsorted
+    monkeypatch.setattr(lm.np, "searchsorted", lambda a, v: (sought.append(len(v)), search(a, v))[1])
+    found = lm._places(hashes, slots, head)
+    assert sought == [3] and [int(head[k]) if k >= 0 else None for k in found] == [9, None, 9, 5 - 2**63, 5 - 2**63, None, 9]
+    assert (lm._places(hashes, slots, head[:0]) == -1).all() and len(lm._places(hashes[:0], slots[:0], head)) == 0
+
+
 def test_model_beats_the_base_on_unseen_documents(spark, sf):
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/documents.parquet")
     out = [r for r in lm.scores(docs).collect() if r.held_out]

@@ -151,7 +151,8 @@ class Model:
                 few = slice(i, min(i + TOGETHER, end))
                 ids, valid = inputs(rows, first, doc[few], low[few], self.start)
                 ids[~valid] = self.start
-                score = np.matmul(np.take(self.query, ids[:, OVERLAP:], 0), np.take(self.key, ids, 0).transpose(0, 2, 1))
+                # a copy: small products of transposed views take longer
+                score = np.matmul(np.take(self.query, ids[:, OVERLAP:], 0), np.ascontiguousarray(np.take(self.key, ids, 0).transpose(0, 2, 1)))
                 score += bias
                 edge = np.flatnonzero(~valid.all(1))  # windows at a document's ends
                 score[edge] += np.where(valid[edge], np.float32(0), np.float32(-1e9))[:, None, :]
@@ -161,7 +162,7 @@ class Model:
                 np.matmul(score, np.take(value, ids, 0), out=sums[few.start - begin : few.stop - begin])
             use = np.flatnonzero((np.arange(STRIDE) < size[begin:end, None]).ravel())
             at = (low[begin:end, None] + np.arange(STRIDE)).ravel()[use]
-            order = np.argsort(own[at])
+            order = np.argsort(own[at].astype(np.uint16), kind="stable")  # ROWS and PAIRS together are fewer than 2 ** 16
             at, mixed = at[order], np.take(sums[: end - begin].reshape(-1, ATTEND + 1), use[order], 0)
             mixed, row, group = mixed[:, :-1] / mixed[:, -1:], own[at], groups[at]
             found = np.empty(len(at), np.float32)

@@ -233,9 +233,19 @@ def _with_ends(encoder: subwords.Encoder, words: kernel.Words, slots: np.ndarray
 
 
 def _targets(encoder: subwords.Encoder, words: kernel.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As _with_ends(), and the words' hashes."""
-    slots, hashes = encoder.slots(words)
-    return *_with_ends(encoder, words, slots), hashes
+    """As _with_ends(), and the words' slots."""
+    slots, _ = encoder.slots(words)
+    return *_with_ends(encoder, words, slots), slots
+
+
+def _places(hashes: np.ndarray, slots: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Where in head each word stands, or -1. A word that occurs again isn't sought again. hashes: of slots."""
+    used = np.flatnonzero(np.bincount(slots, minlength=len(hashes)))
+    h, out = hashes[used].view(np.int64), np.full(len(hashes), -1, np.int32)
+    if len(head):
+        k = np.minimum(np.searchsorted(head, h), len(head) - 1)
+        out[used] = np.where(head[k] == h, k, -1)
+    return out[slots]
 
 
 def scores(docs: DataFrame, vocabulary: str = subwords.VOCABULARY, rate: float = 0.0) -> DataFrame:
@@ -269,17 +279,16 @@ def scores(docs: DataFrame, vocabulary: str = subwords.VOCABULARY, rate: float =
         for batch in batches:
             for words in kernel.chunks(batch.column("text")):
                 n = words.n_docs
-                target, at, hashes = _targets(encoder, words)
+                target, at, slots = _targets(encoder, words)
                 logs = np.concatenate([[0], np.cumsum(model.log_probabilities(target, at))])
                 doc = np.repeat(np.arange(n), words.counts)
-                h = hashes.view(np.int64)
-                k = np.minimum(np.searchsorted(head, h), max(0, len(head) - 1))
-                inside = head[k] == h if len(head) else np.zeros(len(h), bool)
+                k = _places(encoder.hashes, slots, head)
+                inside = k >= 0
                 sums = np.bincount(doc[inside], weight[k[inside]], n) if inside.any() else np.zeros(n)
                 sums += np.log10(n_ends + 1) - scale
                 found = np.bincount(doc[inside], minlength=n) + (n_ends > 0)
                 rest = np.searchsorted(np.flatnonzero(~inside), words.first)
-                tail = pa.ListArray.from_arrays(rest.astype(np.int32), pa.array(h[~inside]))
+                tail = pa.ListArray.from_arrays(rest.astype(np.int32), pa.array(encoder.hashes[slots[~inside]].view(np.int64)))
                 columns = [
                     pa.array(base + row + np.arange(n)),
                     batch.column("doc_id").slice(words.low, n),
